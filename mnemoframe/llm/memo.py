@@ -35,7 +35,15 @@ class PieceMemo(dict):
             self.clear()
             self.ids, self.ends = array("I"), array("q", [0])
 
-    def flat(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def learn(self, pieces: list, encode_many: Callable[[list], Iterable[Iterable[int]]]) -> None:
+        """Encodes the missing pieces of a block in one call."""
+        missing = list(set(pieces).difference(self))
+        for piece, ids in zip(missing, encode_many(missing) if missing else (), strict=True):
+            self.ids.extend(ids)
+            self.ends.append(len(self.ids))
+            self[piece] = len(self.ends) - 2
+
+    def flat(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after another, number of ids of each piece)."""
         at = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
         ends = np.frombuffer(self.ends, np.int64)
