@@ -21,7 +21,8 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LETTER_BASE = np.uint64(0xD1342543DE82EF95)
-_WORD_BASE = np.uint64(0xF1357AEA2E62A9C5)
+WORD_BASE = np.uint64(0xF1357AEA2E62A9C5)
+OTHER_BASE = np.uint64(0xAF251AF3B0F025B5)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -123,14 +124,14 @@ def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(h + (ends - starts).astype(np.uint64) * _ODD)
 
 
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, size: int, base: np.uint64 = WORD_BASE) -> np.ndarray:
     """Rabin-Karp hashes of all runs of ``size`` words of the block (also those
     that cross documents; callers mask these out)."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = _sums(words, _WORD_BASE)
-    return mixed((sums[size:] - sums[:n]) * powers(_WORD_BASE, len(words) + 1)[1][:n])
+    sums = _sums(words, base)
+    return mixed((sums[size:] - sums[:n]) * powers(base, len(words) + 1)[1][:n])
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -157,3 +158,36 @@ def unpack(blob: bytes, *types: type) -> list[np.ndarray]:
         out.append(np.frombuffer(raw, kind, int(n), at))
         at += int(n) * np.dtype(kind).itemsize
     return out
+
+
+def slices_by(groups: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, bounds): group g's members are order[bounds[g]:bounds[g + 1]], in their old order."""
+    small = groups.astype(np.uint16) if n <= 1 << 16 else groups
+    return np.argsort(small, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(groups.astype(np.int64), minlength=n))))
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal neighbours (of all keys together)."""
+    n = len(keys[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    change = np.ones(n, bool)
+    change[1:] = keys[0][1:] != keys[0][:-1]
+    for k in keys[1:]:
+        change[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(change)
+
+
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(_nullable(kind.value_type))
+    if pa.types.is_map(kind):
+        return pa.map_(_nullable(kind.key_type), _nullable(kind.item_type))
+    return kind
+
+
+def passed_on(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    """A column handed through a worker: Spark wants nullable fields back."""
+    return column.cast(_nullable(column.type))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, sst
+from . import byte_bpe, sst, substring
 
 RANKS = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +22,11 @@ def op4_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.read_shards(sst.write_shards(docs, public_tokenizers.path(WORD_VOCABULARY))).drop("ids")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs, keep_text=False).select("doc.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep_ids=False)
@@ -29,5 +34,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sst_shards": op4_sst_shards,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_byte_bpe": op9_byte_bpe,
 }
