@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterable
+from itertools import repeat
 
 import numpy as np
 
@@ -35,17 +36,27 @@ class PieceMemo(dict):
             self.clear()
             self.ids, self.ends = array("I"), array("q", [0])
 
-    def learn(self, pieces: list, encode_many: Callable[[list], Iterable[Iterable[int]]]) -> None:
-        """Encodes the missing pieces of a block in one call."""
-        missing = list(set(pieces).difference(self))
-        for piece, ids in zip(missing, encode_many(missing) if missing else (), strict=True):
-            self.ids.extend(ids)
-            self.ends.append(len(self.ids))
-            self[piece] = len(self.ends) - 2
-
-    def flat(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces one after another, number of ids of each piece)."""
-        at = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+    def learn(self, pieces: list, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Adds new pieces with their ids, given one after another."""
+        base, end = len(self.ends) - 1, len(self.ids)
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        self.ends.frombytes((end + np.cumsum(lengths, dtype=np.int64)).tobytes())
+        self.update(zip(pieces, range(base, base + len(pieces)), strict=True))
+
+    def flat(self, pieces: list, many: Callable[[list], Iterable[tuple]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, number of ids of each piece).
+
+        ``many`` encodes the block's missing pieces together, as batches for ``learn``.
+        """
+        if many is None:
+            at = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        else:
+            at = np.fromiter(map(self.get, pieces, repeat(-1)), np.int64, len(pieces))
+            gaps = np.flatnonzero(at < 0).tolist()
+            missing = [pieces[i] for i in gaps]
+            for batch in many(list(set(missing))):
+                self.learn(*batch)
+            at[gaps] = [self[p] for p in missing]
         ends = np.frombuffer(self.ends, np.int64)
         lengths = ends[at + 1] - ends[at]
         ids = np.frombuffer(self.ids, np.uint32)[ragged(ends[at], lengths)] if len(self.ids) else np.zeros(0, np.uint32)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import math
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from .storage import fresh_dir, written
 MAGIC = b"MFSST001"
 FOOTER = struct.Struct("<QQQQQQB8s")
 RESTART, BLOCK, BITS_PER_KEY, PROBES = 16, 256 << 10, 10, 7
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 
 
 def key_of(doc_id: int | None, nth: int = 0) -> bytes:
@@ -194,18 +195,63 @@ class Reader:
 
 _ready: dict[str, tuple] = {}
 
+#: Runs of ASCII punctuation between ASCII letters, digits or white space; the
+#: apostrophe and what touches other characters stay with their neighbours.
+_MARKS = re.compile(rb"(?<=[a-z0-9])[!-&(-/:-@\[-`{-~]+(?=[a-z0-9\s]|$)")
 
-def _encoder(spec, key: str):
-    """This worker's tokenizer and memo. The library drops white space between
-    its pieces, so pieces between ASCII white space encode independently."""
-    if key not in _ready:
+
+class WordEnds:
+    """A word-end vocabulary that drops white space, lower-cases, and splits
+    letters from marks, as this worker's encoder of pieces.
+
+    Texts are cut where such a vocabulary cuts anyway, so few distinct pieces
+    remain. All-letter pieces are encoded many at a time, joined by spaces, and
+    told apart by their word ends; others one by one.
+    """
+
+    def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(spec.value)
-        many = lambda pieces: (e.ids for e in tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False))
+        self.library = Tokenizer.from_str(spec)
+        vocabulary = self.library.get_vocab()
+        self.size = self.library.get_vocab_size()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.memo = PieceMemo(lambda p: self._ids([p.decode("utf-8")])[0], 400_000)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, text: bytes) -> list[bytes]:
+        if b"<|" in text:  # special tokens are told by their case
+            return text.split()
+        return _MARKS.sub(rb" \g<0> ", text.lower()).split()
+
+    def many(self, pieces: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+        """(pieces, their ids one after another, ids of each) in batches."""
+        plain, rest = [], []
+        for piece in pieces:
+            text = piece.decode("utf-8")
+            joins = text.isalpha() and (text.isascii() or max(text) < "\u0130")
+            (plain if joins else rest).append((piece, text))
+        for low in range(0, len(plain), 256):
+            some = plain[low : low + 256]
+            ids = np.array(self._ids([" ".join([t for _, t in some])])[0])
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some):
+                yield [p for p, _ in some], ids, np.diff(ends, prepend=0)
+            else:
+                rest += some
+        if rest:
+            found = self._ids([t for _, t in rest])
+            yield [p for p, _ in rest], np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found])
+
+
+def _encoder(spec, key: str) -> WordEnds:
+    if key not in _ready:
         _ready.clear()
-        _ready[key] = PieceMemo(lambda p: tokenizer.encode(p.decode("utf-8"), add_special_tokens=False).ids), many, tokenizer.get_vocab_size()
+        _ready[key] = WordEnds(spec.value)
     return _ready[key]
 
 
@@ -216,8 +262,8 @@ def write_shards(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     (ids in all shards before). One range shuffle of the texts; about
     ``shard_bytes`` of text a shard. A null text is empty (its end id only);
     null ids come first; rows of equal id are all kept, ordered by text. Other
-    columns are not read. The vocabulary must drop white space, as word-end
-    vocabularies do. An empty table gives an empty manifest.
+    columns are not read. The vocabulary must cut and lower-case as ``WordEnds``
+    says. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
@@ -228,7 +274,8 @@ def write_shards(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     key = f"{vocabulary}|{os.path.getmtime(vocabulary)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, many, size = _encoder(spec, key)
+        encoder = _encoder(spec, key)
+        memo = encoder.memo
         writer = uri = None
         last, nth = object(), 0
         for block in blocks(batches, "text"):
@@ -236,15 +283,14 @@ def write_shards(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             pieces: list[bytes] = []
             counts = []
             for text in block.column(1).cast(pa.binary()).to_pylist():
-                found = (text or b"").split()
+                found = encoder.pieces(text or b"")
                 pieces += found
                 counts.append(len(found))
-            memo.learn(pieces, many)
-            ids, lengths = memo.flat(pieces)
+            ids, lengths = memo.flat(pieces, encoder.many)
             ends = per_document(lengths, counts)
             if writer is None:
                 uri, sink = new_file(folder, f"shard-{TaskContext.get().partitionId():06d}", ".sst")
-                writer = Writer(sink, 2 if max(size, end_id + 1) <= 1 << 16 else 4)
+                writer = Writer(sink, 2 if max(encoder.size, end_id + 1) <= 1 << 16 else 4)
             for doc_id, a, b in zip(block.column(0).to_pylist(), ends, ends[1:], strict=False):
                 nth = nth + 1 if doc_id == last else 0
                 last = doc_id

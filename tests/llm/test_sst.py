@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -50,3 +51,14 @@ def test_documents_of_a_small_table(spark):
         ids = tokenizer.encode(text, add_special_tokens=False).ids + [2]
         assert (got[doc_id].start, got[doc_id].n_tokens, got[doc_id].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_pieces_encode_as_whole_texts():
+    with open(VOCABULARY, encoding="utf-8") as f:
+        encoder = sst.WordEnds(f.read())
+    tokenizer, rng = Tokenizer.from_file(VOCABULARY), random.Random(4)
+    letters = ["a", "B", "ß", "É", "e\u0301", "\u0130", "\u03a3", "'s", "'", ",", "...", "\u2026", " ", "\n", "\x1c", "\u00a0", "1", "\u00b2", "_", "-", "<|", "<|ENDOFTEXT|>", "<|endoftext|>", "\u4e2d", "\u0301", "$$$", "tion", "the"]
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))
+        pieces = encoder.pieces(text.encode())
+        assert encoder.memo.flat(pieces, encoder.many)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
