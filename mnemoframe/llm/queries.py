@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, set_join, sst, substring
+from . import byte_bpe, decontaminate, set_join, sst, substring
 
 RANKS = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -31,6 +31,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep_ids=False)
@@ -40,5 +46,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sst_shards": op4_sst_shards,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_ngram_join": op6_ngram_join,
+    "op7_decontamination": op7_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
 }
