@@ -188,6 +188,6 @@ def _nullable(kind: pa.DataType) -> pa.DataType:
     return kind
 
 
-def passed_on(column: pa.ChunkedArray) -> pa.ChunkedArray:
+def passed_on(column: pa.Array | pa.ChunkedArray) -> pa.Array | pa.ChunkedArray:
     """A column handed through a worker: Spark wants nullable fields back."""
     return column.cast(_nullable(column.type))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, set_join, sst, substring
+from . import byte_bpe, decontaminate, ppm, set_join, sst, substring
 
 RANKS = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = ppm.learn_languages(docs)
+    found = ppm.identify(docs.select("doc_id", "text"), trees)
+    return found.select("doc.doc_id", ppm.held_out("doc.doc_id").alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op4_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sst.read_shards(sst.write_shards(docs, public_tokenizers.path(WORD_VOCABULARY))).drop("ids")
@@ -43,6 +50,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op4_sst_shards": op4_sst_shards,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_ngram_join": op6_ngram_join,
