@@ -22,7 +22,7 @@ def new_file(folder: str, stem: str, suffix: str):
     name = f"{stem}-{uuid.uuid4().hex}{suffix}"
     store, path = opened(folder)
     store.create_dir(path, recursive=True)
-    return f"{folder}/{name}", store.open_output_stream(posixpath.join(path, name))
+    return f"{folder}/{name}", store.open_output_stream(posixpath.join(path, name), compression=None)
 
 
 def read_at(uri: str):

@@ -44,4 +44,14 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c, 0) AS n_hit, coale
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_substring_dedup": OP5, "op6_ngram_join": OP6, "op7_decontamination": OP7}
+OP10 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, strlen(h) AS n, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS f FROM p),
+v AS (SELECT *, [CAST('0x' || hex[5 * i + 1:5 * i + 5] AS BIGINT) for i in range(0, 8)] AS q FROM x)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((q[1 + j // 4] >> (15 - 5 * (j % 4))) & 31) AS BIGINT), 1) for j in range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM v
+"""
+
+ORACLES: dict[str, str] = {"op5_substring_dedup": OP5, "op6_ngram_join": OP6, "op7_decontamination": OP7, "op10_warc": OP10}

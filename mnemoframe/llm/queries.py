@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, ppm, set_join, sst, substring
+from . import byte_bpe, decontaminate, ppm, set_join, sst, substring, warc
 
 RANKS = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -49,6 +49,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_sst_shards": op4_sst_shards,
@@ -56,4 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_join": op6_ngram_join,
     "op7_decontamination": op7_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_warc": op10_warc,
 }
