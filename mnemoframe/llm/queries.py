@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, ppm, set_join, sst, substring, warc
+from . import byte_bpe, decontaminate, kmtree, ppm, set_join, sst, substring, warc
 
 RANKS = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return kmtree.Index(rows).search(rows.filter("vec_id % 100 = 0"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = ppm.learn_languages(docs)
@@ -55,6 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kmeans_tree": op1_kmeans_tree,
     "op3_language_id": op3_language_id,
     "op4_sst_shards": op4_sst_shards,
     "op5_substring_dedup": op5_substring_dedup,
