@@ -6,6 +6,30 @@ _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"'[^ \t-\r]+'"
 _TERMS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+OP2 = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, row_number() OVER () AS id FROM conversations),
+l0 AS (SELECT id, conv_id, turn, unnest(string_split_regex(coalesce(text, ''), '\r\n?|\n')) AS line, generate_subscripts(string_split_regex(coalesce(text, ''), '\r\n?|\n'), 1) AS pos FROM m),
+l1 AS (SELECT id, conv_id, turn, pos, len(regexp_replace(regexp_extract(line, '^[ \t]*(>[> \t]*)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^[ \t]*>[> \t]*', '') AS body FROM l0),
+l2 AS (SELECT *, level = 0 AND coalesce(lead(level) OVER w, 0) > 0 AND regexp_matches(trim(body), '(?i)^(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\bécrit|el\b.*\bescribió)\s*:$') AS attribution,
+  trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS norm, lag(level) OVER w IS DISTINCT FROM level AS starts FROM l1 WINDOW w AS (PARTITION BY id ORDER BY pos)),
+l AS (SELECT *, max(CASE WHEN starts THEN pos END) OVER (PARTITION BY id ORDER BY pos) AS passage FROM l2),
+own AS (SELECT DISTINCT conv_id, norm, turn FROM l WHERE level = 0 AND NOT attribution AND norm <> ''),
+q AS (SELECT id, level, passage, (SELECT max(own.turn) FROM own WHERE own.conv_id = l.conv_id AND own.norm = l.norm AND own.turn < l.turn) AS found FROM l WHERE level > 0 AND norm <> ''),
+votes AS (SELECT id, level, passage, found, count(*) AS n FROM q WHERE found IS NOT NULL GROUP BY ALL),
+parent AS (SELECT id, arg_max(found, {'l': -level, 'n': n, 'f': found}) AS parent FROM votes GROUP BY id),
+counts AS (SELECT id, count(*) AS n_quoted, count(found) AS n_found FROM q GROUP BY id),
+heads AS (SELECT conv_id, turn, max(parent) AS parent FROM parent JOIN m USING (id) GROUP BY ALL),
+own_body AS (SELECT id, bool_or(level > 0) AS quoting, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE level = 0 AND NOT attribution), ''), '^\s+|\s+$', '', 'g') AS body FROM l GROUP BY id),
+turns AS (SELECT t.conv_id, t.turn, (SELECT max(h.turn) FROM heads h WHERE h.conv_id = t.conv_id AND h.turn <= t.turn) AS run,
+  lag(t.turn) OVER (PARTITION BY t.conv_id ORDER BY t.turn) AS before_ FROM (SELECT DISTINCT conv_id, turn FROM m) t),
+path AS (SELECT h.conv_id, h.turn AS run, h.parent, t.run AS up, CAST(-h.parent AS VARCHAR) || '/' || h.turn AS thread FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.turn = h.parent
+  UNION ALL SELECT p.conv_id, p.run, h.parent, t.run, -h.parent || '/' || h.turn || '/' || p.thread FROM path p JOIN heads h ON h.conv_id = p.conv_id AND h.turn = p.up JOIN turns t ON t.conv_id = h.conv_id AND t.turn = h.parent)
+SELECT m.conv_id, m.turn, m.role, CASE WHEN quoting THEN b.body ELSE m.text END AS body, coalesce(parent.parent, before_) AS reply_to, parent.parent IS NOT NULL AS linked,
+  coalesce(n_quoted, 0) AS n_quoted, coalesce(n_found, 0) AS n_found, coalesce(path.thread, '') AS thread
+FROM m JOIN own_body b USING (id) LEFT JOIN parent USING (id) LEFT JOIN counts USING (id) JOIN turns ON turns.conv_id = m.conv_id AND turns.turn = m.turn
+LEFT JOIN path ON path.conv_id = m.conv_id AND path.run = turns.run AND path.up IS NULL
+"""
+
 OP5 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
 win AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
@@ -54,4 +78,4 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM v
 """
 
-ORACLES: dict[str, str] = {"op5_substring_dedup": OP5, "op6_ngram_join": OP6, "op7_decontamination": OP7, "op10_warc": OP10}
+ORACLES: dict[str, str] = {"op2_quotation_linking": OP2, "op5_substring_dedup": OP5, "op6_ngram_join": OP6, "op7_decontamination": OP7, "op10_warc": OP10}
