@@ -15,12 +15,13 @@ Plan. (1) Per row a digest of its set: equal sets are one class from then on.
 packed by hash buckets. (3) A bucket finds the classes of each signature. Up to
 ``FEW`` of them: all pairs, counted; a linked pair must share at least
 max(parts of either) - k parts, which removes pairs that merely share a passage.
-More: the signature is hot, its members are kept as rows, and a class that still
-has more than k parts that are not hot has its pairs found there. (4) The rest
-of the hot members are linked to a pivot per signature first; only signatures
-that still hold several components are compared in blocks, across components.
-(5) Candidate pairs are verified exactly on the sets: first one partner for each
-class, then whatever pairs the resulting components leave open. Links within a
+More: the signature is hot, and its members are kept as rows. A class with more
+than k parts that are not hot has its pairs found there; the others (4) share
+at least parts - k hot signatures with any partner not found yet, so the rarest
+hot - (parts - k) + 1 of each meet. (5) Candidate pairs are verified exactly on
+the sets: first one partner for each class (for hot members a pivot), then whatever pairs the resulting components
+leave open, and for hot members a few more pivots. What then still lies in
+different components of a hot signature is compared in blocks, on whole sets. Links within a
 component are never expanded into all pairs.
 """
 
@@ -38,7 +39,8 @@ from .arrays import SPACES, blocks, longs, mixed, pack, ragged, runs, slices_by,
 from .graph import components
 from .storage import release, written
 
-BUCKET_BYTES, FEW, CHUNK, SLACK = 24 << 20, 24, 1000, 1.35
+BUCKET_BYTES, FEW, CHUNK, SLACK = 24 << 20, 24, 500, 1.35
+ROUNDS, TRIES = 3, 3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _U = np.uint64
@@ -104,6 +106,10 @@ class Bands:
         """Most features in which two linked sets differ, by the sum of their sizes."""
         return (100 - self.percent) * total // (100 + self.percent)
 
+    def common(self, total):
+        """Fewest features that two linked sets share, by the sum of their sizes."""
+        return -(-self.percent * total // (100 + self.percent))
+
     def most(self, size):
         """The same for one set and any partner."""
         return (100 - self.percent) * size // self.percent
@@ -207,7 +213,7 @@ def _meet(percent: int):
         sig, row = sig[first], row[first]
         group = runs(sig)
         many = np.repeat(np.diff(np.append(group, len(sig))) > FEW, np.diff(np.append(group, len(sig))))
-        a, b, need = [], [], []
+        a, b, need, where = [], [], [], []
         for i, j in _pairs_of(group, len(sig)):
             x, y = row[i], row[j]
             small, large = np.minimum(n[x], n[y]).astype(np.int64), np.maximum(n[x], n[y]).astype(np.int64)
@@ -217,11 +223,12 @@ def _meet(percent: int):
             a.append(cls[x])
             b.append(cls[y])
             least = np.maximum(occupied[x], occupied[y]).astype(np.int64) - bands.differing(small + large)[fits]
-            need.append(np.where(element[fits], 0, least))
-        a, b, need = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, need))
-        order = np.lexsort((need, b, a))
-        a, b, need = a[order], b[order], need[order]
-        first = runs(a, b, need)
+            need.append(np.where(element[fits], bands.common(small + large)[fits], least))
+            where.append(inst[x])
+        a, b, need, where = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, need, where))
+        order = np.lexsort((where, need, b, a))
+        a, b, need, where = a[order], b[order], need[order], where[order]
+        first = runs(a, b, need, where)
         count = np.diff(np.append(first, len(a)))
         hot = row[many]
         nothing = [None] * len(hot)
@@ -233,7 +240,7 @@ def _meet(percent: int):
                 "shared": pa.array([*count.tolist(), *nothing], pa.int64()),
                 "need": pa.array([*need[first].tolist(), *nothing], pa.int64()),
                 "sig": pa.array([*empty, *(bucket << 32 | sig[many].astype(np.int64)).tolist()], pa.int64()),
-                "inst": pa.array([*empty, *inst[hot].tolist()], pa.int64()),
+                "inst": pa.array(np.concatenate((where[first].astype(np.int64), inst[hot].astype(np.int64)))),
                 "n": pa.array([*empty, *n[hot].tolist()], pa.int64()),
                 "occupied": pa.array([*empty, *occupied[hot].tolist()], pa.int64()),
             }
@@ -273,14 +280,27 @@ def _sets(words: int, seed: int):
 
 
 def _across(percent: int):
-    """Links between components within two chunks of a hot signature's members."""
+    """Links across components within two chunks of a hot signature's members:
+    as many as join what is linked, compared on the whole sets."""
 
     def run(table: pa.Table) -> pa.Table:
         cls, comp = longs(table.column("cls").combine_chunks()), longs(table.column("comp").combine_chunks())
         side = table.column("side").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), _U) for x in table.column("features")]
-        flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+        sizes = np.array([len(x) for x in sets])
         owner = np.repeat(np.arange(len(sets)), sizes)
+        _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner, place = owner[times[place] > 1], place[times[place] > 1]
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], np.cumsum(np.diff(place[order], prepend=place[order[:1]]) > 0)
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+            a, b = np.searchsorted(place, [low, low + 4096])
+            has = np.zeros((len(sets), min(4096, int(place[-1]) + 1 - low)), np.float32)
+            has[owner[a:b], place[a:b] - low] = 1
+            both += has @ has.T
+        i, j = np.nonzero(np.triu(both, 1))
+        near = (100 * both[i, j].astype(np.int64) >= percent * (sizes[i] + sizes[j] - both[i, j].astype(np.int64))) & (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
         root = {c: c for c in comp.tolist()}
 
         def find(c: int) -> int:
@@ -289,16 +309,12 @@ def _across(percent: int):
             return c
 
         a, b = [], []
-        for i in range(len(sets)):
-            # only across the two chunks, or within the one there is
-            both = np.bincount(owner[np.isin(flat, sets[i])], minlength=len(sets))
-            near = (100 * both >= percent * (sizes + sizes[i] - both)) & (comp != comp[i]) & ((side != side[i]) | (side == 2))
-            for j in np.flatnonzero(near):
-                x, y = find(int(comp[i])), find(int(comp[j]))
-                if x != y:
-                    root[x] = y
-                    a.append(int(cls[i]))
-                    b.append(int(cls[j]))
+        for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            p, q = find(int(comp[x])), find(int(comp[y]))
+            if p != q:
+                root[p] = q
+                a.append(int(cls[x]))
+                b.append(int(cls[y]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -339,19 +355,24 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = written(met, "set-pairs")
     release(spark)
 
-    bands = Bands(percent)
-    hot = met.filter("sig is not null")
-    heat = hot.groupBy("a", "inst").agg(F.count("*").alias("hot"))
-    most = (100 - percent) * F.col("n") / percent
-    risky = hot.join(heat, ["a", "inst"]).filter((F.col("inst") == ELEMENTS) | (F.col("occupied") - F.floor(most) <= F.col("hot")))
-    risky = written(risky.select("sig", F.col("a").alias("cls")), "hot-members")
-    hottest = heat.filter(F.col("inst") != ELEMENTS).groupBy("a").agg(F.max("hot").alias("hot"))
-    pairs = met.filter("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
-    if not hot.isEmpty():
-        pairs = pairs.join(hottest.withColumnRenamed("hot", "ha"), "a", "left").join(hottest.select(F.col("a").alias("b"), F.col("hot").alias("hb")), "b", "left")
-    else:
+    hot = met.filter("sig is not null").select("sig", F.col("a").alias("cls"), "inst", "n", "occupied")
+    heat = hot.groupBy("cls", "inst").agg(F.count("*").alias("hot"))
+    # a pair that only hot signatures hold shares this many of them
+    least = F.when(F.col("inst") == ELEMENTS, F.ceil(percent * F.col("n") / 100)).otherwise(F.greatest(F.lit(1), F.col("occupied") - F.floor((100 - percent) * F.col("n") / percent)))
+    risky = hot.join(heat, ["cls", "inst"]).withColumn("least", least).filter("hot >= least")
+    often = risky.groupBy("sig").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("cls", "inst").orderBy("often", "sig")
+    lists = risky.join(often, "sig").withColumn("rank", F.row_number().over(rarest))
+    risky = written(lists.select("sig", "cls", "inst", "n", "occupied", (F.col("rank") <= F.col("hot") - F.col("least") + 1).alias("prefix")), "hot-members")
+    pairs = met.filter("b is not null").groupBy("a", "b", "inst").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+    if hot.isEmpty():
         pairs = pairs.withColumns({"ha": F.lit(0), "hb": F.lit(0)})
-    pairs = written(pairs.filter(F.col("shared") >= F.col("need") - F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))).select("a", "b"), "candidates")
+    else:
+        pairs = pairs.join(heat.select(F.col("cls").alias("a"), "inst", F.col("hot").alias("ha")), ["a", "inst"], "left")
+        pairs = pairs.join(heat.select(F.col("cls").alias("b"), "inst", F.col("hot").alias("hb")), ["b", "inst"], "left")
+    pairs = pairs.filter(F.col("shared") >= F.col("need") - F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
+    pairs = written(pairs.select("a", "b").distinct(), "candidates")
+    release(spark)
 
     # the sets of all classes that have candidates, from their representatives' texts
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(risky.select("cls")).distinct()
@@ -365,7 +386,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("features").alias("fa")), "a")
         return both.select("a", "b", "fa", "fb").mapInArrow(_verify(percent), "a long, b long")
 
-    pivots = risky.join(risky.groupBy("sig").agg(F.min("cls").alias("a")), "sig").select("a", F.col("cls").alias("b")).filter("a <> b")
+    # one partner for each class: its smallest candidate, and the smallest member of most of its hot signatures
+    held = risky.filter("prefix")
+    pivots = held.join(held.groupBy("sig").agg(F.min("cls").alias("a")), "sig").filter("a <> cls").groupBy("cls", "a").count()
+    pivots = pivots.groupBy(F.col("cls").alias("b")).agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(pivots).distinct()
     links = written(verified(first), "links")
     comps = components(links)
@@ -373,10 +397,33 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def open_pairs(comps: DataFrame) -> DataFrame:
         return _labelled(_labelled(pairs, "a", comps, "ca"), "b", comps, "cb").filter("ca <> cb").select("a", "b")
 
-    more = verified(open_pairs(comps))
-    members = _labelled(risky, "cls", comps, "comp")
-    several = members.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("sig")
-    members = members.join(several, "sig")
+    def several(comps: DataFrame) -> DataFrame:
+        """Members (sig, cls, comp) of the hot signatures that hold several components."""
+        members = _labelled(held, "cls", comps, "comp")
+        mixed_ = members.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+        return members.join(mixed_.select("sig"), "sig").select("sig", "cls", "comp")
+
+    # pairs left open, and for some rounds a few other pivots for those outside a signature's largest component
+    for r in range(ROUNDS + 1):
+        members = written(several(comps), "mixed-members")
+        some = open_pairs(comps) if r == 0 else None
+        if r < ROUNDS and not members.isEmpty():
+            largest = members.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.min_by("cls", F.xxhash64("cls", "sig", F.lit(r))).alias("a"))
+            largest = largest.groupBy("sig").agg(F.max(F.struct("n", "comp", "a")).alias("l")).select("sig", "l.comp", "l.a")
+            tries = members.join(largest.withColumnRenamed("comp", "most"), "sig").filter("comp <> most").select(F.col("cls").alias("b"), "a").distinct()
+            few = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))
+            tries = tries.withColumn("nth", few).filter(F.col("nth") <= TRIES << r).select("a", "b")
+            some = tries if some is None else some.union(tries)
+        if some is None:
+            break
+        found = written(verified(some), "links")
+        release(spark)
+        if not found.isEmpty():
+            links = links.union(found)
+            comps = components(links)
+        elif r:
+            break
+    members = written(several(comps), "mixed-members")
     if not members.isEmpty():
         place = F.row_number().over(Window.partitionBy("sig").orderBy("comp", "cls"))
         members = written(members.withColumn("chunk", F.floor((place - 1) / CHUNK).cast("long")), "hot-chunks")
@@ -386,9 +433,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sides = tasks.select("sig", "chunk", "chunk2", F.col("chunk").alias("own"), F.when(F.col("chunk") == F.col("chunk2"), 2).otherwise(0).alias("side"))
         sides = sides.union(tasks.filter("chunk <> chunk2").select("sig", "chunk", "chunk2", "chunk2", F.lit(1)))
         placed = sides.join(members.withColumnRenamed("chunk", "own"), ["sig", "own"]).join(sets, "cls")
-        more = more.union(placed.groupBy("sig", "chunk", "chunk2").applyInArrow(_across(percent), "a long, b long"))
-    more = written(more, "links")
-    comps = comps if more.isEmpty() else components(links.union(more))
+        more = written(placed.groupBy("sig", "chunk", "chunk2").applyInArrow(_across(percent), "a long, b long"), "links")
+        release(spark)
+        if not more.isEmpty():
+            comps = components(links.union(more))
 
     labels = _labelled(classes.select("cls", "rep"), "cls", comps, "comp")
     smallest = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,13 +157,13 @@ def _cut(size: int, keep_text: bool):
         removed = np.concatenate(([0], np.cumsum(gone)))[firsts]
         kept = np.flatnonzero(~gone)
         sizes = ends[kept] - starts[kept]
-        # the words with one space after each; a document's last space is left out of its slice
+        # the kept words with one space after each; a document's last space is left out of its slice
         put = np.concatenate(([0], np.cumsum(sizes + 1)))
         text = np.full(int(put[-1]), 0x20, np.uint8)
         text[ragged(put[:-1], sizes)] = body[ragged(starts[kept], sizes)]
         text = text.tobytes()
         cuts = put[np.searchsorted(kept, firsts)]
-        parts = [text[a : max(a, b - 1)] for a, b in zip(cuts, cuts[1:], strict=False)]
+        hashes = [hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]
         edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
         # intervals end at their document's end too
         spans: list[list[dict]] = [[] for _ in ids]
@@ -177,11 +178,22 @@ def _cut(size: int, keep_text: bool):
             "doc": passed_on(docs.column("doc")),
             "n_words": pa.array(n_words.astype(np.int64)),
             "n_removed": pa.array(np.diff(removed).astype(np.int64)),
-            "kept_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()),
+            "kept_sha256": pa.array(hashes, pa.string()),
             "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         }
         if keep_text:
-            columns["kept_text"] = pa.array(parts, pa.binary()).cast(pa.string())
+            # a cut word takes along what separates it from the next, or from the document's end
+            after = np.append(starts[1:], 0)
+            last = np.flatnonzero(np.diff(firsts)) + 1
+            after[firsts[last] - 1] = offsets[last]
+            step = np.zeros(len(body) + 1, np.int8)
+            step[starts[gone]] += 1
+            step[after[gone]] -= 1
+            stays = np.cumsum(step[:-1], dtype=np.int8) == 0
+            length = np.concatenate(([0], np.cumsum(stays)))[offsets]
+            rest = body[stays].tobytes()
+            texts_out = pa.array([rest[a:b] for a, b in zip(length, length[1:], strict=False)], pa.binary()).cast(pa.string())
+            columns["kept_text"] = pa.chunked_array([pc.if_else(pc.is_null(docs.column("text").combine_chunks()), None, texts_out)])
         return pa.table(columns)
 
     return run
@@ -193,9 +205,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are the maximal runs of bytes other than space and 09-0D. Returns per
     row: doc (struct of all columns but the text, whatever their names),
     n_words, n_removed, kept_sha256, removed (maximal word intervals, end
-    exclusive) and, if ``keep_text``, kept_text (kept words, one space
-    between). A null or empty text has no words, and kept_text is empty. A null
-    id sorts before all others. Rows of equal id keep what neither an earlier
+    exclusive) and, if ``keep_text``, kept_text: the text without the removed
+    words and what separates each from the next, so a text that loses nothing
+    stays as it is. ``kept_sha256`` is of the kept words with one space
+    between. A null or empty text has no words and stays. A null id sorts before all others. Rows of equal id keep what neither an earlier
     start nor a smaller id repeats, so identical rows get identical results. A
     text of any length is one block. An empty table gives no rows.
     """

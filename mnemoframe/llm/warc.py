@@ -165,6 +165,8 @@ def normalise(captured: DataFrame, min_bytes: int = 0, folder: str | None = None
     again = counted.withColumn("salt", F.pmod("nth", F.lit(SALTS)).cast("int")).join(first, ["digest", "salt"]).filter(place != F.col("first"))
     again = again.select(F.col("archive").alias("home"), F.col("nth").alias("place"), F.col("first.p").alias("original"))
     archives = captured.groupBy("archive").agg(F.count("*").alias("records"))
+    # an archive is much work from one small row, which adaptive coalescing can't see
+    archives = archives.repartition(max(spark.sparkContext.defaultParallelism, archives.count()), "archive")
 
     def run(table_: pa.Table, revisits: pa.Table) -> pa.Table:
         if not table_.num_rows:

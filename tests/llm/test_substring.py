@@ -23,7 +23,11 @@ def brute(rows, size):
             if first[tuple(w[s : s + size])] < (i, s):
                 gone |= set(range(s, s + size))
         kept = b" ".join(x for n, x in enumerate(w) if n not in gone)
-        out.append((raw, len(w), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
+        text = rows[len(out)][1]
+        if gone:
+            spans = [(m.start(), m.end()) for m in WORD.finditer(text.encode())] + [(len(text.encode()), 0)]
+            text = b"".join(text.encode()[a:b] for a, b in [(0, spans[0][0])] + [(spans[n][0], spans[n + 1][0]) for n in range(len(w)) if n not in gone]).decode()
+        out.append((raw, len(w), len(gone), hashlib.sha256(kept).hexdigest(), text))
     return sorted(out, key=repr)
 
 
