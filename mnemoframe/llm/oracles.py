@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import TEMPLATES
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"'[^ \t-\r]+'"
 _TERMS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -68,6 +70,29 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c, 0) AS n_hit, coale
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
+_TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+_TERM = r"'[a-z0-9]+(?:\.[0-9]+)*'"
+
+OP8 = f"""
+WITH t(license, x) AS (VALUES {_TEMPLATES}),
+tb AS (SELECT license, term, count(*) AS n FROM (SELECT license, unnest(regexp_extract_all(lower(x), {_TERM})) AS term FROM t) GROUP BY ALL),
+f AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, coalesce(source, '_') AS a, coalesce(source, '_') || '/' || coalesce(lang, '_') AS b, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || doc_id || '.txt' AS path FROM documents),
+df AS (SELECT term, count(*) AS c FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), {_TERM}))) AS term FROM f) GROUP BY term),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM f)) / (1.0 + coalesce(c, 0))) + 1 AS w FROM (SELECT DISTINCT term FROM tb) LEFT JOIN df USING (term)),
+u AS (SELECT id, 0 AS pos, text AS unit FROM f UNION ALL
+      SELECT id, pos, unit FROM (SELECT id, unnest(string_split_regex(text, '\\r\\n?|\\n')) AS unit, generate_subscripts(string_split_regex(text, '\\r\\n?|\\n'), 1) AS pos FROM f) WHERE trim(unit) <> ''),
+ub AS (SELECT id, pos, term, count(*) AS n FROM (SELECT id, pos, unnest(regexp_extract_all(lower(unit), {_TERM})) AS term FROM u) GROUP BY ALL),
+un AS (SELECT id, pos, sqrt(sum(pow(n * coalesce(w, ln(1 + (SELECT count(*) FROM f)) + 1), 2))) AS norm FROM ub LEFT JOIN idf USING (term) GROUP BY ALL),
+tn AS (SELECT license, sqrt(sum(pow(n * w, 2))) AS norm FROM tb JOIN idf USING (term) GROUP BY license),
+dot AS (SELECT id, pos, license, sum(ub.n * tb.n * w * w) AS d FROM ub JOIN tb USING (term) JOIN idf USING (term) GROUP BY ALL),
+sc AS (SELECT id, pos, license, round(d / un.norm / tn.norm, 9) AS s FROM dot JOIN un USING (id, pos) JOIN tn USING (license) WHERE round(d / un.norm / tn.norm, 9) >= 0.6),
+best AS (SELECT id, license, s FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, license, pos) = 1),
+decl AS (SELECT b AS dir, license, s FROM best JOIN f USING (id) WHERE id IN (SELECT id FROM sc WHERE pos = 0) QUALIFY row_number() OVER (PARTITION BY b ORDER BY s DESC, path) = 1)
+SELECT doc_id, path, coalesce(best.license, decl.license) AS license, round(coalesce(best.s, decl.s), 6) AS score,
+  CASE WHEN best.license IS NOT NULL THEN 'own' WHEN decl.license IS NOT NULL THEN 'inherited' END AS origin
+FROM f LEFT JOIN best USING (id) LEFT JOIN decl ON decl.dir = f.b
+"""
+
 OP10 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 x AS (SELECT page_id, strlen(h) AS n, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS f FROM p),
@@ -78,4 +103,4 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM v
 """
 
-ORACLES: dict[str, str] = {"op2_quotation_linking": OP2, "op5_substring_dedup": OP5, "op6_ngram_join": OP6, "op7_decontamination": OP7, "op10_warc": OP10}
+ORACLES: dict[str, str] = {"op2_quotation_linking": OP2, "op5_substring_dedup": OP5, "op6_ngram_join": OP6, "op7_decontamination": OP7, "op8_license_scan": OP8, "op10_warc": OP10}
