@@ -106,9 +106,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
         weights += [(t, idf[t], name, own.count(t) * idf[t] / norm) for t in sorted(set(own))]
     held = F.broadcast(spark.createDataFrame(weights, "term string, idf double, license string, weight double"))  # fixed size
 
-    # units of the files that have a signal
-    regex = "(?<![a-z0-9])(?:" + "|".join(map(re.escape, signals(templates, idf, threshold))) + ")"
-    hot = rows.filter(F.coalesce(text_matches("text", regex), F.lit(False))).select("path", F.xxhash64("text").alias("hash"), "text").distinct()
+    # units of the files that have a signal; identical rows add up, which no cosine sees
+    regex = "(?<![a-z0-9])(?:" + "|".join(map(re.escape, signals(templates, idf, threshold))) + ")(?![a-z0-9])"
+    hot = rows.filter(F.coalesce(text_matches("text", regex), F.lit(False))).select("path", F.xxhash64("text").alias("hash"), "text")
     base = F.expr("lower(regexp_replace(regexp_extract(path, '[^/]*$', 0), '\\\\.[^.]*$', ''))")
     named = F.coalesce(base.isin(LICENSE_FILES), F.lit(False))
     lines = F.expr("filter(split(text, '\\\\r\\\\n?|\\\\n'), l -> trim(l) <> '')")
