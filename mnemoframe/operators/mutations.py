@@ -44,10 +44,11 @@ def detach_delete(nodes: DataFrame, ids: DataFrame, edges: dict[str, tuple[DataF
     gone = ids.select("id").distinct()
     out = {}
     for name, (table, ends) in edges.items():
+        columns = table.columns
         for end in ends:
             table = table.join(gone.select(F.col("id").alias(end)), end, "left_anti")
-        out[name] = table
-    return nodes.join(gone, "id", "left_anti"), out
+        out[name] = table.select(*columns)
+    return nodes.join(gone, "id", "left_anti").select(*nodes.columns), out
 
 
 def linked_existing(edges: DataFrame, left: DataFrame, left_col: str, right: DataFrame, right_col: str) -> DataFrame:
