@@ -39,8 +39,7 @@ from .arrays import SPACES, blocks, longs, mixed, pack, ragged, runs, slices_by,
 from .graph import components
 from .storage import release, written
 
-BUCKET_BYTES, FEW, CHUNK, SLACK = 24 << 20, 24, 500, 1.35
-ROUNDS, TRIES = 3, 3
+BUCKET_BYTES, FEW, CHUNK, SLACK, TRIES = 24 << 20, 24, 1500, 1.35, 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _U = np.uint64
@@ -293,14 +292,15 @@ def _across(percent: int):
         owner, place = owner[times[place] > 1], place[times[place] > 1]
         order = np.argsort(place, kind="stable")
         owner, place = owner[order], np.cumsum(np.diff(place[order], prepend=place[order[:1]]) > 0)
+        n_places = int(place[-1]) + 1 if len(place) else 0
         both = np.zeros((len(sets), len(sets)), np.float32)
-        for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
-            a, b = np.searchsorted(place, [low, low + 4096])
-            has = np.zeros((len(sets), min(4096, int(place[-1]) + 1 - low)), np.float32)
+        for low in range(0, n_places, 1024):
+            a, b = np.searchsorted(place, [low, low + 1024])
+            has = np.zeros((len(sets), min(1024, n_places - low)), np.float32)
             has[owner[a:b], place[a:b] - low] = 1
-            both += has @ has.T
-        i, j = np.nonzero(np.triu(both, 1))
-        near = (100 * both[i, j].astype(np.int64) >= percent * (sizes[i] + sizes[j] - both[i, j].astype(np.int64))) & (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            for r in range(0, len(sets), 512):
+                both[r : r + 512] += has[r : r + 512] @ has.T
+        del owner, place, times, order
         root = {c: c for c in comp.tolist()}
 
         def find(c: int) -> int:
@@ -309,12 +309,15 @@ def _across(percent: int):
             return c
 
         a, b = [], []
-        for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
-            p, q = find(int(comp[x])), find(int(comp[y]))
-            if p != q:
-                root[p] = q
-                a.append(int(cls[x]))
-                b.append(int(cls[y]))
+        for x in range(len(sets)):
+            shared = both[x].astype(np.float64)
+            near = (100 * shared >= percent * (sizes[x] + sizes - shared)) & (comp != comp[x]) & ((side != side[x]) | (side == 2))
+            for y in np.flatnonzero(near[:x]).tolist():
+                p, q = find(int(comp[x])), find(int(comp[y]))
+                if p != q:
+                    root[p] = q
+                    a.append(int(cls[x]))
+                    b.append(int(cls[y]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -360,10 +363,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a pair that only hot signatures hold shares this many of them
     least = F.when(F.col("inst") == ELEMENTS, F.ceil(percent * F.col("n") / 100)).otherwise(F.greatest(F.lit(1), F.col("occupied") - F.floor((100 - percent) * F.col("n") / percent)))
     risky = hot.join(heat, ["cls", "inst"]).withColumn("least", least).filter("hot >= least")
-    often = risky.groupBy("sig").agg(F.count("*").alias("often"))
+    # of each hot signature: how often, its smallest member, and some others
+    others = [F.min_by("cls", F.xxhash64("cls", "sig", F.lit(r))) for r in range(3)]
+    stats = risky.groupBy("sig").agg(F.count("*").alias("often"), F.array(F.min("cls"), *others).alias("pivots"))
     rarest = Window.partitionBy("cls", "inst").orderBy("often", "sig")
-    lists = risky.join(often, "sig").withColumn("rank", F.row_number().over(rarest))
-    risky = written(lists.select("sig", "cls", "inst", "n", "occupied", (F.col("rank") <= F.col("hot") - F.col("least") + 1).alias("prefix")), "hot-members")
+    ranked = risky.join(stats, "sig").withColumn("rank", F.row_number().over(rarest))
+    held = ranked.filter(F.col("rank") <= F.col("hot") - F.col("least") + 1).select("sig", "cls", "pivots")
+    held = written(held, "hot-members")
     pairs = met.filter("b is not null").groupBy("a", "b", "inst").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
     if hot.isEmpty():
         pairs = pairs.withColumns({"ha": F.lit(0), "hb": F.lit(0)})
@@ -375,7 +381,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     release(spark)
 
     # the sets of all classes that have candidates, from their representatives' texts
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(risky.select("cls")).distinct()
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(held.select("cls")).distinct()
     ids = classes.join(wanted, "cls", "left_semi").select(F.col("rep").alias("id"))
     sets = written(rows.join(ids, "id", "left_semi").select("text").mapInArrow(_sets(words, seed), "cls long, features binary"), "candidate-sets")
     release(spark)
@@ -386,57 +392,32 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("features").alias("fa")), "a")
         return both.select("a", "b", "fa", "fb").mapInArrow(_verify(percent), "a long, b long")
 
-    # one partner for each class: its smallest candidate, and the smallest member of most of its hot signatures
-    held = risky.filter("prefix")
-    pivots = held.join(held.groupBy("sig").agg(F.min("cls").alias("a")), "sig").filter("a <> cls").groupBy("cls", "a").count()
-    pivots = pivots.groupBy(F.col("cls").alias("b")).agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(pivots).distinct()
+    # some partners for each class: its smallest candidate; of its hot signatures the most common
+    # smallest member, and a few others
+    by_class = held.groupBy("cls").agg(F.mode(F.col("pivots")[0], True).alias("most"), F.slice(F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list(F.slice("pivots", 2, 3)))), lambda p: F.struct(F.xxhash64(p, F.lit(7)).alias("h"), p.alias("p")))), 1, TRIES).alias("some"))
+    pivots = by_class.select(F.col("cls").alias("b"), F.explode(F.array_union(F.array("most"), F.col("some.p"))).alias("a")).filter("a <> b")
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("b", "a").union(pivots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = written(verified(first), "links")
     comps = components(links)
 
-    def open_pairs(comps: DataFrame) -> DataFrame:
-        return _labelled(_labelled(pairs, "a", comps, "ca"), "b", comps, "cb").filter("ca <> cb").select("a", "b")
-
-    def several(comps: DataFrame) -> DataFrame:
-        """Members (sig, cls, comp) of the hot signatures that hold several components."""
-        members = _labelled(held, "cls", comps, "comp")
-        mixed_ = members.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
-        return members.join(mixed_.select("sig"), "sig").select("sig", "cls", "comp")
-
-    # pairs left open, and for some rounds a few other pivots for those outside a signature's largest component
-    for r in range(ROUNDS + 1):
-        members = written(several(comps), "mixed-members")
-        some = open_pairs(comps) if r == 0 else None
-        if r < ROUNDS and not members.isEmpty():
-            largest = members.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.min_by("cls", F.xxhash64("cls", "sig", F.lit(r))).alias("a"))
-            largest = largest.groupBy("sig").agg(F.max(F.struct("n", "comp", "a")).alias("l")).select("sig", "l.comp", "l.a")
-            tries = members.join(largest.withColumnRenamed("comp", "most"), "sig").filter("comp <> most").select(F.col("cls").alias("b"), "a").distinct()
-            few = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))
-            tries = tries.withColumn("nth", few).filter(F.col("nth") <= TRIES << r).select("a", "b")
-            some = tries if some is None else some.union(tries)
-        if some is None:
-            break
-        found = written(verified(some), "links")
-        release(spark)
-        if not found.isEmpty():
-            links = links.union(found)
-            comps = components(links)
-        elif r:
-            break
-    members = written(several(comps), "mixed-members")
+    # what is left: candidate pairs in two components, and hot signatures that hold several
+    open_ = _labelled(_labelled(pairs, "a", comps, "ca"), "b", comps, "cb").filter("ca <> cb").select("a", "b")
+    more = verified(open_)
+    members = _labelled(held.select("sig", "cls"), "cls", comps, "comp")
+    several = members.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("sig")
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("comp", "cls"))
+    members = written(members.join(several, "sig").withColumn("chunk", F.floor((place - 1) / CHUNK).cast("long")), "hot-chunks")
     if not members.isEmpty():
-        place = F.row_number().over(Window.partitionBy("sig").orderBy("comp", "cls"))
-        members = written(members.withColumn("chunk", F.floor((place - 1) / CHUNK).cast("long")), "hot-chunks")
         chunks = members.groupBy("sig", "chunk").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
         other = chunks.select("sig", F.col("chunk").alias("chunk2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
         tasks = chunks.join(other, "sig").filter("chunk <= chunk2 and (x <> y or x2 <> y2 or x <> x2)").select("sig", "chunk", "chunk2")
         sides = tasks.select("sig", "chunk", "chunk2", F.col("chunk").alias("own"), F.when(F.col("chunk") == F.col("chunk2"), 2).otherwise(0).alias("side"))
         sides = sides.union(tasks.filter("chunk <> chunk2").select("sig", "chunk", "chunk2", "chunk2", F.lit(1)))
         placed = sides.join(members.withColumnRenamed("chunk", "own"), ["sig", "own"]).join(sets, "cls")
-        more = written(placed.groupBy("sig", "chunk", "chunk2").applyInArrow(_across(percent), "a long, b long"), "links")
-        release(spark)
-        if not more.isEmpty():
-            comps = components(links.union(more))
+        more = more.union(placed.groupBy("sig", "chunk", "chunk2").applyInArrow(_across(percent), "a long, b long"))
+    more = written(more, "links")
+    release(spark)
+    comps = comps if more.isEmpty() else components(links.union(more))
 
     labels = _labelled(classes.select("cls", "rep"), "cls", comps, "comp")
     smallest = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))

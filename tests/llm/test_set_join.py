@@ -67,12 +67,12 @@ def test_against_brute_force(spark, monkeypatch, seed):
     assert result(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
+@pytest.mark.parametrize("rounds", [1, 4])
 def test_hot_groups(spark, monkeypatch, rounds):
     """More near copies than FEW, loose enough that no pivot reaches all, and a common passage."""
     monkeypatch.setattr(set_join, "FEW", 3)
     monkeypatch.setattr(set_join, "CHUNK", 7)
-    monkeypatch.setattr(set_join, "ROUNDS", rounds)
+    monkeypatch.setattr(set_join, "TRIES", rounds)
     rng = random.Random(5)
     rows = near_copies(rng, 3, 40, 60, 90)
     passage = " ".join(f"p{i}" for i in range(40))
