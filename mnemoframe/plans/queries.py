@@ -345,3 +345,16 @@ _CHANNELS = " UNION ALL ".join(f"SELECT query_id, cand_id, '{c}' AS c, {i} AS o,
 ORACLES["recall_fused"] = f"""{ctes("events")}, u AS ({_CHANNELS}), f AS (SELECT query_id, cand_id, sum(w * s) AS a, max(s) AS m, arg_max(c, {{'s': s, 'o': -o}}) AS channel, string_agg(c, ',' ORDER BY c) AS channels FROM u WHERE query_id <> cand_id GROUP BY query_id, cand_id),
   k AS (SELECT f.*, e.last_active AS t FROM f JOIN g_events e ON e.id = cand_id WHERE round(a, 9) >= 0.12 AND status NOT IN ('merged', 'archived'))
   SELECT query_id, cand_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(a, 6) DESC, m DESC, t DESC, cand_id) AS INTEGER) AS rank, channel, round(a, 5) AS aggregate_score, channels FROM k QUALIFY rank <= 10"""
+ORACLES["candidate_contexts"] = f"""{ctes("contexts")}, p AS (SELECT *, summary || ' ' || description AS x FROM g_contexts WHERE status = 'active' ORDER BY last_seen_at DESC, id LIMIT 64),
+  l AS (SELECT *, {_JACCARD} AS lex FROM (SELECT *, {_GRAMS.format(x="x")} AS a, {_GRAMS.format(x="'the and thon'")} AS b FROM p)),
+  s AS (SELECT *, lex > 0 AS hit, CASE WHEN lex > 0 THEN lex + 0.15 * confidence END AS score FROM l),
+  r AS (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY score DESC, last_seen_at DESC, confidence DESC, support_count DESC, id) AS rn, least(count(*) FILTER (WHERE hit) OVER (), 16) AS hits FROM s)
+  SELECT id, round(score, 6) AS score FROM r WHERE CASE WHEN hit THEN rn <= 16 ELSE rn <= least(4, 16 - hits) END"""
+_NORMAL = "regexp_replace(lower(trim({x})), '[\\s，,。；;：:、/\\\\-]+', '', 'g')"
+_SHORT = "list_distinct(regexp_extract_all(lower({x}), '[a-z0-9_]+'))"
+_CHARS = "list_distinct(string_split(regexp_replace({x}, '\\s+', '', 'g'), ''))"
+ORACLES["turn_overlap"] = f"""WITH t AS (SELECT a.conv_id, a.turn, a.text AS p, b.text AS q FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+  n AS (SELECT *, {_NORMAL.format(x="p")} AS x, {_NORMAL.format(x="q")} AS y, {_SHORT.format(x="p")} AS a, {_SHORT.format(x="q")} AS b, {_CHARS.format(x="p")} AS c, {_CHARS.format(x="q")} AS d FROM t)
+  SELECT conv_id, turn, round(CASE WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 WHEN len(x) <= len(y) AND contains(y, x) THEN len(x) / CAST(len(y) AS DOUBLE) WHEN len(x) > len(y) AND contains(x, y) THEN len(y) / CAST(len(x) AS DOUBLE) ELSE {_JACCARD} END, 6) AS overlap,
+  round(len(list_intersect(c, d)) / CAST(len(d) AS DOUBLE), 6) AS characters FROM n"""
+ORACLES["pattern_sections"] = """SELECT CAST(doc_id AS VARCHAR) AS entity_id, 'section' AS mode, length('intro' || chr(10) || '## First ' || lang || chr(10) || text || chr(10) || '## Second' || chr(10) || source) AS total_chars, 1 AS n_sections, '## First ' || lang AS heading FROM documents"""
