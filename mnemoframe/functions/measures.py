@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col, text
@@ -130,3 +130,9 @@ def event_key(summary: Column | str, at: Column | str, episode: Column | str, in
 
 def context_key(subtype: Column | str, summary: Column | str) -> Column:
     return F.concat(F.lit("ctx_"), F.substring(F.sha2(F.concat_ws("|", F.lit("context"), text(subtype), text(summary)), 256), 1, 20))
+
+
+def row_hash(rows: DataFrame, columns: list[str]) -> Column:
+    """A hash of columns of any type; maps, which have no hash, by their JSON."""
+    kinds = dict(rows.dtypes)
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kinds[c] else F.col(c) for c in columns])

@@ -224,3 +224,36 @@ def weakened(contexts: DataFrame, now: int) -> DataFrame:
     return contexts.withColumns({"status": F.when(alive & (lower < 0.25), "deprecated").when(alive, "weakened").otherwise(F.col("status")), "valid_to": F.when(alive & (lower < 0.25) & (F.coalesce("valid_to", F.lit(0)) == 0), F.lit(now)).otherwise(F.col("valid_to")), "confidence": F.when(alive, lower).otherwise(F.col("confidence")), "updated_at": F.when(alive, F.lit(now)).otherwise(F.col("updated_at"))})
 
 
+
+
+def apply_merges(contexts: DataFrame, plan: DataFrame, now: int) -> DataFrame:
+    """Contexts after a disjoint plan: the canonical one takes the longer texts, missing facts, the support and the
+    lineage; the merged one is marked and ends."""
+    has = set(contexts.columns)
+    fields = [c for c in ("id", "summary", "description", "subject", "condition", "applies_when", "facts", "support_count", "confidence", "last_seen_at", "source_refs", "merged_from") if c in has]
+    source = contexts.select(F.col("id").alias("merged_id"), F.struct(*[F.col(c) for c in fields]).alias("m"))
+    taken = plan.select("canonical_id", "merged_id").join(source, "merged_id").select(F.col("canonical_id").alias("id"), "m")
+    gone = plan.select(F.col("merged_id").alias("id"), F.lit(True).alias("gone"))
+    out = contexts.join(taken, "id", "left").join(gone, "id", "left")
+    hit, m = F.col("m").isNotNull(), lambda c: F.col(f"m.{c}")
+    none = F.expr("cast(array() as array<string>)")
+    empty = F.expr("map()").cast("map<string,string>")
+    summary = longer(F.trim(text("summary")), F.trim(text("m.summary")))
+    changes = {
+        "summary": F.substring(F.when(summary != "", summary).otherwise(F.col("subtype")), 1, 128),
+        "description": longer(F.col("description"), m("description")) if "description" in has else None,
+        "subject": F.when(text("subject") != "", F.col("subject")).otherwise(m("subject")) if "subject" in has else None,
+        "condition": longer(F.col("condition"), m("condition")) if "condition" in has else None,
+        "applies_when": longer(F.col("applies_when"), m("applies_when")) if "applies_when" in has else None,
+        "facts": F.map_zip_with(F.coalesce("facts", empty), F.coalesce(m("facts"), empty), lambda k, x, y: F.coalesce(F.when(x != "", x), y)) if "facts" in has else None,
+        "support_count": F.col("support_count") + F.greatest(F.lit(1), m("support_count")),
+        "confidence": F.least(F.lit(1.0), F.greatest("confidence", m("confidence")) + 0.03),
+        "last_seen_at": F.greatest("last_seen_at", m("last_seen_at"), F.lit(now)),
+        # maps have no equality in Spark: lists of references are joined as they are
+        "source_refs": F.concat(F.coalesce("source_refs", m("source_refs")), F.coalesce(F.when(F.col("source_refs").isNotNull(), m("source_refs")), F.expr("cast(array() as array<map<string,string>>)"))) if "source_refs" in has else None,
+        "merged_from": F.array_sort(F.array_union(F.coalesce("merged_from", none), F.array_union(F.array(m("id")), F.coalesce(m("merged_from"), none)))) if "merged_from" in has else None,
+    }
+    closed = F.col("gone").isNotNull()
+    ends = {"status": F.when(closed, "merged").otherwise(F.col("status")), "valid_to": F.when(closed, F.lit(now)).otherwise(F.col("valid_to")), "updated_at": F.when(closed | hit, F.lit(now)).otherwise(F.col("updated_at"))}
+    pick = lambda c: F.when(hit, changes[c]).otherwise(F.col(c)).alias(c) if changes.get(c) is not None else (ends[c].alias(c) if c in ends else F.col(c))
+    return out.select(*[pick(c) for c in contexts.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.measures import row_hash
 from ..plans.model import relation_type
 from .scans import with_statuses
 
@@ -89,7 +90,7 @@ def graph_delta(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFra
     def hashed(df: DataFrame, name: str) -> DataFrame:
         status = F.col("status") if "status" in df.columns else F.lit(None).cast("string")
         rest = sorted(c for c in df.columns if c not in keys)
-        return df.select(*keys, F.xxhash64(*[F.col(c) for c in rest]).alias(f"{name}_hash"), status.alias(f"{name}_status"), F.lit(True).alias(name))
+        return df.select(*keys, row_hash(df, rest).alias(f"{name}_hash"), status.alias(f"{name}_status"), F.lit(True).alias(name))
 
     both = hashed(before, "before").join(hashed(after, "after"), keys, "full_outer")
     became = lambda *names: F.col("after_status").isin(*names) & ~F.col("before_status").eqNullSafe(F.col("after_status"))

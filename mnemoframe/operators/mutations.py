@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.measures import row_hash
 from ..functions.text import text
 from .scans import canonical_ids
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """``table`` with ``rows`` in place of those of the same keys (of equal ones the last by updated_at); ``keep`` columns stay the old ones'."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("updated_at") if "updated_at" in rows.columns else F.lit(0), F.xxhash64(*rows.columns)))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("updated_at") if "updated_at" in rows.columns else F.lit(0), row_hash(rows, rows.columns)))
     new = rows.select(*table.columns).withColumn("_r", rank).filter("_r = 1").drop("_r")
     if keep:
         old = table.select(*keys, *[F.col(c).alias(f"_{c}") for c in keep])
@@ -75,7 +76,7 @@ def relink(edges: DataFrame, mapping: DataFrame, ends: list[str], keys: list[str
         out = out.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
     if len(ends) == 2:
         out = out.filter(F.col(ends[0]) != F.col(ends[1]))
-    latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(recency), F.xxhash64(*edges.columns)))
+    latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(recency), row_hash(edges, edges.columns)))
     return out.withColumn("_r", latest).filter("_r = 1").select(*edges.columns)
 
 

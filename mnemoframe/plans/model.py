@@ -76,6 +76,6 @@ def context_status(x: Column | str) -> Column:
 def with_event_defaults(events: DataFrame) -> DataFrame:
     """Fills times from one another, the id from the summary, status and support."""
     known = lambda *xs: F.coalesce(*[F.when(col(x) != 0, col(x)) for x in xs])
-    out = events.withColumn("timestamp", known("timestamp", "last_active"))
+    out = events.withColumn("timestamp", known("timestamp", "last_active")).withColumn("last_active", known("last_active", "timestamp"))
     out = out.withColumn("created_at", known("created_at", "timestamp")).withColumn("updated_at", known("updated_at", "last_active", "timestamp")).withColumn("valid_from", known("valid_from", "timestamp"))
     return out.withColumns({"id": F.coalesce(F.when(text("id") != "", F.col("id")), F.sha2(text("summary"), 256)), "status": F.coalesce("status", F.lit("active")), "support_count": F.coalesce("support_count", F.lit(1))})
