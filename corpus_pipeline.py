@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from mnemoframe.llm import byte_bpe, decontaminate, ppm, set_join, substring
 from mnemoframe.llm.storage import written
 
-#: A text is rejected if no language's code for it is shorter than this, bits a
-#: byte (prose takes 2 to 4, random bytes more than 8), or no language leads.
-MOST_BITS, LEAST_SCORE = 6.5, 0.5
+#: A text is rejected if no language's code for it is shorter than its bytes are
+#: (prose takes 2 to 4 bits a byte, also with a key or a number in it), or if no
+#: language leads.
+MOST_BITS, LEAST_SCORE = 8.0, 0.5
 
 
 def _sized(docs: DataFrame) -> DataFrame:

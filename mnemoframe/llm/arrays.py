@@ -7,6 +7,8 @@ so a worker's memory follows the block size and never the partition size.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +17,11 @@ import zstandard
 
 BLOCK_BYTES = 2 << 20
 
+# Large arrays go back to the system when freed (M_MMAP_THRESHOLD), as workers
+# are reused and several share an executor's memory.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 4 << 20)
+
 #: White space of the word definitions: space and the controls 09 to 0D.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrays import blocks, ragged, utf8
 from .memo import PieceMemo, per_document
+from .storage import lean
 
 
 class PerfectHash:
@@ -167,6 +168,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     not read. One pass, no shuffle; a text of any length is one block.
     """
     spark = docs.sparkSession
+    lean(spark)
     codec = ByteBpe(load_ranks(ranks_path), pattern)
     shipped, key = spark.sparkContext.broadcast(codec), f"{ranks_path}|{pattern}"
     # the broadcast is of the vocabulary's size, whatever the corpus

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks, passed_on, utf8
+from .storage import lean
 
 ORDER = 3
 UNDETERMINED = "und"
@@ -124,6 +125,7 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_la
     taken by a hash of their ids. Grams are counted in Spark; the driver gets
     the distinct grams of the sample, at most 2**32 whatever the corpus."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id")).filter("lang is not null and text is not null and id is not null")
+    lean(labelled.sparkSession)
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return ContextTrees([], [{} for _ in range(ORDER + 1)])
@@ -161,6 +163,7 @@ def identify(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> Da
     learned language: ``und``, score 0, bits null. Equal codes: the language
     first in order. A text of any length is one block; one pass, no shuffle.
     """
+    lean(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from .arrays import SPACES, blocks, longs, mixed, pack, ragged, runs, slices_by, unpack, utf8, window_hashes, word_hashes, word_spans
 from .graph import components
-from .storage import release, written
+from .storage import lean, release, written
 
-BUCKET_BYTES, FEW, CHUNK, SLACK, TRIES = 24 << 20, 24, 1500, 1.35, 4
+BUCKET_BYTES, FEW, CHUNK, SLACK, TRIES = 16 << 20, 24, 1500, 1.35, 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _U = np.uint64
@@ -341,6 +341,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives no rows. Features are 64-bit hashes; links are decided on whole sets.
     """
     spark = docs.sparkSession
+    lean(spark)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -378,7 +379,6 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = pairs.join(heat.select(F.col("cls").alias("b"), "inst", F.col("hot").alias("hb")), ["b", "inst"], "left")
     pairs = pairs.filter(F.col("shared") >= F.col("need") - F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
     pairs = written(pairs.select("a", "b").distinct(), "candidates")
-    release(spark)
 
     # the sets of all classes that have candidates, from their representatives' texts
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(held.select("cls")).distinct()
@@ -416,7 +416,6 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         placed = sides.join(members.withColumnRenamed("chunk", "own"), ["sig", "own"]).join(sets, "cls")
         more = more.union(placed.groupBy("sig", "chunk", "chunk2").applyInArrow(_across(percent), "a long, b long"))
     more = written(more, "links")
-    release(spark)
     comps = comps if more.isEmpty() else components(links.union(more))
 
     labels = _labelled(classes.select("cls", "rep"), "cls", comps, "comp")

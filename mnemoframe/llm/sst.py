@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .arrays import blocks
 from .files import new_file, read_at
 from .memo import PieceMemo, per_document
-from .storage import fresh_dir, written
+from .storage import fresh_dir, lean, written
 
 MAGIC = b"MFSST001"
 FOOTER = struct.Struct("<QQQQQQB8s")
@@ -266,6 +266,7 @@ def write_shards(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     says. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
+    lean(spark)
     with open(vocabulary, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # the vocabulary's size
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,5 +39,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nobody holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees holds references itself
+        gc.collect()
+        time.sleep(0.2)  # the bridge drops Java objects in a thread of its own
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of texts stay small, unless the session says otherwise: at
+    the default of 10,000 rows a batch of long documents is a worker's memory."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "1000")

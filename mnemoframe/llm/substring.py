@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import OTHER_BASE, SPACES, blocks, longs, pack, passed_on, ragged, runs, slices_by, unpack, utf8, window_hashes, word_hashes, word_spans
-from .storage import release, written
+from .storage import lean, release, written
 
-BUCKET_BYTES, GROUP_BYTES = 16 << 20, 6 << 20
+BUCKET_BYTES, GROUP_BYTES = 8 << 20, 3 << 20
 
 
 def _groups_of(ids: np.ndarray, n: int) -> np.ndarray:
@@ -213,6 +213,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text of any length is one block. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    lean(spark)
     text = F.col(text_col).cast("string")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_buckets, n_groups = max(1, math.ceil(total / BUCKET_BYTES)), max(1, math.ceil(total / GROUP_BYTES))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .arrays import blocks
 from .files import new_file, read_at
-from .storage import fresh_dir, release, written
+from .storage import fresh_dir, lean, release, written
 
 ARCHIVE_BYTES, READ, SALTS = 32 << 20, 1 << 20, 16
 _EPOCH = "1970-01-01T00:00:00Z"  # captures carry no time; a fixed one keeps files reproducible
@@ -118,6 +118,7 @@ def capture(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     file, whole records only.
     """
     spark = pages.sparkSession
+    lean(spark)
     folder = folder or fresh_dir(spark, "warc-capture")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
