@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what is in one of the learned languages."""
     found = ppm.identify(docs, ppm.learn_languages(docs))
     kept = (F.col("lang_pred") != ppm.UNDETERMINED) & (F.col("bits_per_byte") <= MOST_BITS) & (F.col("score") >= LEAST_SCORE)
-    return found.filter(kept).select("doc.*")
+    return found.filter(kept).select(*[F.col(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

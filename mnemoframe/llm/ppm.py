@@ -154,11 +154,11 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_la
     return ContextTrees(known, counts)
 
 
-def identify(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, trees: ContextTrees, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Language of every whole text.
 
-    Returns doc (struct of all input columns, whatever their names), lang_pred,
-    score (share of the winner if each language were as likely before; 0 to 1),
+    Returns doc (struct of all other columns, whatever their names), text (if
+    ``keep_text``; it passes through the worker once), lang_pred, score (share of the winner if each language were as likely before; 0 to 1),
     bits_per_byte (the winner's). A null text, one without a letter, or no
     learned language: ``und``, score 0, bits null. Equal codes: the language
     first in order. A text of any length is one block; one pass, no shuffle.
@@ -180,11 +180,13 @@ def identify(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> Da
                 share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
                 best, score = np.where(has_letter, top, best), np.where(has_letter, share, 0.0)
                 per_byte = np.where(has_letter, least / np.maximum(np.diff(offsets), 1), np.nan)
-            yield pa.RecordBatch.from_pydict({"doc": passed_on(block.column(0)), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": score, "bits_per_byte": pa.array(per_byte, from_pandas=True)})
+            kept = {"text": block.column(1)} if keep_text else {}
+            yield pa.RecordBatch.from_pydict({"doc": passed_on(block.column(0)), **kept, "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": score, "bits_per_byte": pa.array(per_byte, from_pandas=True)})
 
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others).alias("doc"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, " + "text string, " * keep_text + "lang_pred string, score double, bits_per_byte double")
 
 
 def held_out(id_col: str = "doc_id"):

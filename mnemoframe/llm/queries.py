@@ -32,7 +32,7 @@ def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = ppm.learn_languages(docs)
-    found = ppm.identify(docs.select("doc_id", "text"), trees)
+    found = ppm.identify(docs.select("doc_id", "text"), trees, keep_text=False)
     return found.select("doc.doc_id", ppm.held_out("doc.doc_id").alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 

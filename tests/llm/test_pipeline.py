@@ -33,7 +33,7 @@ def cut_leaks(docs, items, size=10):
 
 def brute(spark, sf_dir, docs):
     trees = ppm.learn_languages(docs)
-    rows = [(r.doc.doc_id, r.doc.text) for r in ppm.identify(docs, trees).collect() if r.lang_pred != "und" and r.bits_per_byte <= cp.MOST_BITS and r.score >= cp.LEAST_SCORE]
+    rows = [(r.doc.doc_id, r.text) for r in ppm.identify(docs, trees).collect() if r.lang_pred != "und" and r.bits_per_byte <= cp.MOST_BITS and r.score >= cp.LEAST_SCORE]
     stay = {d for d, _, c in near.brute(rows) if c == d}
     rows = list({(d, t) for d, t in rows if d in stay})
     rows = [(r[0], r[4]) for r in repeats.brute(rows, 20)]

@@ -62,7 +62,7 @@ def test_held_out_accuracy_and_edges(spark):
     rows = found.select("doc.lang", "lang_pred", "score").collect()
     assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
     odd = spark.createDataFrame([(None, None), (1, ""), (2, "123 !?"), (3, "the and of " * 40_000), (3, "中文")], "doc_id long, text string").selectExpr("*", "1 as score", "2 as doc")
-    got = {(r.doc.doc_id, (r.doc.text or "")[:3]): (r.lang_pred, r.score) for r in ppm.identify(odd, model).collect()}
+    got = {(r.doc.doc_id, (r.text or "")[:3]): (r.lang_pred, r.score) for r in ppm.identify(odd, model).collect()}
     assert got[(None, "")] == got[(1, "")] == got[(2, "123")] == ("und", 0.0)
     assert got[(3, "the")] == ("en", 1.0) and got[(3, "中文")][0] in model.languages
     assert ppm.identify(odd.limit(0), model).count() == 0
