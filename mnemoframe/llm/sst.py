@@ -218,7 +218,7 @@ class WordEnds:
         self.size = self.library.get_vocab_size()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.memo = PieceMemo(lambda p: self._ids([p.decode("utf-8")])[0], 400_000)
+        self.memo = PieceMemo(lambda p: self._ids([p.decode("utf-8")])[0], 800_000)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
