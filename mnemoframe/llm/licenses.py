@@ -45,6 +45,8 @@ LICENSE_FILES = ["license", "licence", "copying", "copyright", "notice", "unlice
 
 _TERM = r"[a-z0-9]+(?:\\.[0-9]+)*"
 SALTS = 16
+#: A term with more than this part (1 in FREQUENT) of the units' rows counts as frequent.
+FREQUENT = 5000
 
 
 def terms_of(text: str) -> Column:
@@ -89,15 +91,13 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     path, text = F.col(path_col).cast("string"), F.col(text_col).cast("string")
     rows = files.select(F.struct(*[F.col(f"`{c}`") for c in files.columns if c != text_col]).alias("doc"), path.alias("path"), text.alias("text"))
 
-    # document frequencies of the templates' terms: as many rows as they have terms
+    # document frequencies of every term, over all files; the empty term counts the files
+    bag = F.coalesce(F.array_distinct(terms_of("text")), F.expr("cast(array() as array<string>)"))
+    counted = written(rows.select(F.explode(F.concat(F.array(F.lit("")), bag)).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "term-files")
     vocabulary = sorted({t for x in templates.values() for t in _terms(x)})
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    found = rows.select(F.array_intersect(F.array_distinct(terms_of("text")), known).alias("t"))
-    counted = found.select(F.explode(F.when(F.size("t") > 0, F.concat("t", F.array(F.lit("")))).otherwise(F.array(F.lit("")))).alias("t")).groupBy("t").count()
-    df = {r["t"]: r["count"] for r in counted.collect()}
+    df = {r["term"]: r["df"] for r in counted.filter(F.col("term").isin(["", *vocabulary])).collect()}
     n_files = df.pop("", 0)
     idf = {t: math.log((1 + n_files) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
-    unknown = math.log(1 + n_files) + 1
 
     weights = []
     for name, x in sorted(templates.items()):
@@ -114,15 +114,21 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     lines = F.expr("filter(split(text, '\\\\r\\\\n?|\\\\n'), l -> trim(l) <> '')")
     units = hot.select("path", "hash", F.posexplode(F.concat(F.array("text"), lines)).alias("pos", "unit")).filter(text_matches("unit", regex))
     units = units.select("path", "hash", "pos", F.explode(terms_of("unit")).alias("term")).groupBy("path", "hash", "pos", "term").agg(F.count("*").alias("n"))
-    idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    norms = units.join(idfs, "term", "left").groupBy("path", "hash", "pos").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("idf", F.lit(unknown)), F.lit(2.0)))).alias("norm"))
+    units = written(units, "license-units")
+    # each term's weight: those with many rows are fewer than FREQUENT and are broadcast, the others meet by a shuffle
+    used = units.groupBy("term").agg(F.count("*").alias("rows")).join(counted, "term")
+    used = written(used.select("term", "rows", (F.log((1.0 + n_files) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "term-weights")
+    many = F.col("rows") * FREQUENT > (used.agg(F.sum("rows")).first()[0] or 0)
+    weighed = units.join(F.broadcast(used.filter(many).select("term", "idf")), "term", "left")
+    rest = weighed.filter("idf is null").drop("idf").join(used.filter(~many).select("term", "idf"), "term")
+    weighed = weighed.filter("idf is not null").unionByName(rest)
+    norms = weighed.groupBy("path", "hash", "pos").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), F.lit(2.0)))).alias("norm"))
     dots = units.join(held, "term").groupBy("path", "hash", "pos", "license").agg(F.sum(F.col("n") * F.col("idf") * F.col("weight")).alias("dot"))
     same = lambda a, b: (F.col(f"{a}.hash") == F.col(f"{b}.hash")) & F.col(f"{a}.path").eqNullSafe(F.col(f"{b}.path"))
     scored = dots.alias("d").join(norms.alias("n"), same("d", "n") & (F.col("d.pos") == F.col("n.pos"))).select("d.path", "d.hash", "d.pos", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
     # the whole text stands at 0: it tells licence files, and counts for these
-    whole = scored.filter("pos = 0").select("path", "hash").distinct().withColumn("is_text", F.lit(True))
-    best = scored.groupBy("path", "hash").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("path", "hash", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
-    best = best.alias("b").join(whole.alias("w"), same("b", "w"), "left").select("b.path", "b.hash", "license", "score", F.coalesce("is_text", F.lit(False)).alias("is_text"))
+    best = scored.groupBy("path", "hash").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.max(F.col("pos") == 0).alias("is_text"))
+    best = best.select("path", "hash", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "is_text")
     best = written(best, "own-licenses")
 
     directory = F.expr("regexp_extract(path, '^(.*)/[^/]*$', 1)")
