@@ -3,9 +3,13 @@ conversations without quotes. DataFrame functions only.
 
 A line's level is its number of leading quote marks; a passage is a run of lines
 of one level. Each quoted line is normalised and hashed, and joined to the
-latest earlier message of the conversation that has the line as its own; a
-passage belongs to the message that holds most of its lines (partial quotes
-link too). "Latest earlier" is computed by windows over blocks of turns and over
+latest earlier message of the conversation that has the line as its own. Lines
+without such a message are looked up as running text: line breaks count as
+spaces, and a passage's windows of words are joined to those of the messages'
+own texts, so quotes that were wrapped anew or that begin or end within a line
+link too; such a line is found if windows cover all its words, and it comes from
+the message with most of them. A passage belongs to the message that holds most
+of its lines. "Latest earlier" is computed by windows over blocks of turns and over
 the blocks' maxima, never by pairs, so a line that everybody repeats costs one
 row for each message it is in.
 
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from .storage import written
 
 BLOCK = 1024
+#: Words of a window; shorter passages are looked up whole, by windows of their length.
+WINDOW = 5
 _LOW = -(1 << 62)
 _QUOTED = r"(?:^|\\r|\\n)[ \\t]*>"
 #: "On ... wrote:" before a quote, in four languages.
@@ -47,9 +53,52 @@ transform(split(text, '\\r\\n?|\\n'), l -> struct(
   regexp_replace(l, '^[ \\t]*>[> \\t]*', '') as body))
 """
 _ATTRIBUTED = f"transform(parsed, (l, i) -> struct(l.level, l.body, l.level = 0 and coalesce(get(parsed, i + 1).level, 0) > 0 and trim(l.body) rlike '{_ATTRIBUTION}' as attribution))"
+#: Words of a normalised line; scripts without spaces count by characters.
+_SCRIPTS = r"\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}"
+_WORDS = rf"regexp_extract_all(norm, '[{_SCRIPTS}]|[\\p{{L}}\\p{{M}}\\p{{N}}&&[^{_SCRIPTS}]]+', 0)"
 _OWN = "transform(filter(parsed, l -> l.level = 0 and not l.attribution), l -> l.body)"
 
 
+def in_order(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``words`` of the lines of equal keys, one after the other, and ``owners``, each word's line."""
+    said = F.array_sort(F.collect_list(F.struct("pos", "words")))
+    texts = lines.groupBy(*keys).agg(said.alias("said"))
+    return texts.select(*keys, F.expr("flatten(transform(said, l -> l.words))").alias("words"), F.expr("flatten(transform(said, l -> array_repeat(l.pos, size(l.words))))").alias("owners"))
+
+
+def windows(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """``line``, the hash of each run of ``n`` words, its place and the lines of its words."""
+    each = "transform(sequence(0, size(words) - n), i -> struct(i, xxhash64(n, array_join(slice(words, i + 1, n), ' ')) as line, slice(owners, i + 1, n) as owners))"
+    return texts.filter("size(words) >= n").select(*keys, F.explode(F.expr(each)).alias("w")).select(*keys, "w.*")
+
+
+def found_by_windows(met: DataFrame, lines: DataFrame) -> DataFrame | None:
+    """(key, at, hash, pos, found) of the quoted lines in ``met`` without an
+    original whose words the own texts in ``lines`` hold; None if nothing is asked."""
+    message = ["key", "at", "hash"]
+    run = [*message, "passage", "run"]
+    near = Window.partitionBy(*message, "passage").orderBy("pos")
+    quoted = met.withColumn("run", F.col("pos") - F.row_number().over(near)).withColumn("words", F.expr(_WORDS))  # blank lines end a run
+    open_runs = quoted.filter("found is null").select(*run).distinct()
+    asked = in_order(quoted.join(open_runs, run, "left_semi"), run).filter("size(words) > 0").withColumn("n", F.least(F.size("words"), F.lit(WINDOW)))
+    asked = written(windows(asked, run), "quoted-windows")
+    sizes = [r["n"] for r in asked.select(F.size("owners").alias("n")).distinct().collect()]  # WINDOW at most
+    if not sizes:
+        return None
+    own = lines.filter("level = 0 and not attribution and norm <> ''").join(asked.select("key").distinct(), "key", "left_semi").withColumn("words", F.expr(_WORDS))
+    own = in_order(own, [*message, "passage"]).withColumn("n", F.explode(F.array(*[F.lit(n) for n in sorted(sizes)])))
+    own = windows(own, ["key", "at"]).select("key", "line", "at", F.lit(True).alias("mark"))
+    events = own.union(asked.select("key", "line", "at", F.lit(False).alias("mark"))).distinct()
+    origin = latest_before(events, ["key", "line"]).filter("not mark and found is not null").select("key", "line", "at", "found")
+    hits = asked.join(origin, ["key", "line", "at"]).select(*run, "i", "found", F.posexplode("owners").alias("k", "pos"))
+    words = hits.select(*message, "pos", "passage", "run", (F.col("i") + F.col("k")).alias("word"), "found").distinct()
+    one = [*message, "pos"]
+    covered = words.select(*one, "word").distinct().groupBy(*one).agg(F.count("*").alias("covered"))
+    best = words.groupBy(*one, "found").agg(F.count("*").alias("n")).groupBy(*one).agg(F.max(F.struct("n", "found")).getField("found").alias("found"))
+    wanted = quoted.filter("found is null").select(*one, F.size("words").cast("long").alias("covered"))
+    return wanted.join(covered, [*one, "covered"], "left_semi").join(best, one).select(*one, "found")
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """One row per message: doc (struct of all input columns, whatever their
     names), body, reply_to, linked, n_quoted, n_found, thread.
@@ -76,13 +125,16 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     lines = lines.select("key", "at", "hash", "pos", "l.level", "l.attribution", F.expr("trim(regexp_replace(lower(l.body), '\\\\s+', ' '))").alias("norm"))
     by_message = Window.partitionBy("key", "at", "hash").orderBy("pos")
     starts = F.when(F.coalesce(F.lag("level").over(by_message) != F.col("level"), F.lit(True)), F.col("pos"))
-    quoted = lines.withColumn("start", starts).withColumn("passage", F.max("start").over(by_message.rowsBetween(Window.unboundedPreceding, 0)))
-    quoted = quoted.filter("level > 0 and norm <> ''").withColumn("line", F.xxhash64("norm"))
+    lines = lines.withColumn("start", starts).withColumn("passage", F.max("start").over(by_message.rowsBetween(Window.unboundedPreceding, 0)))
+    quoted = lines.filter("level > 0 and norm <> ''").withColumn("line", F.xxhash64("norm"))
     own = lines.filter("level = 0 and not attribution and norm <> ''").select("key", F.xxhash64("norm").alias("line"), "at", F.lit(True).alias("mark"))
     asked = quoted.select("key", "line", "at", F.lit(False).alias("mark"))
     origin = latest_before(own.union(asked).distinct(), ["key", "line"]).filter("not mark and found is not null").select("key", "line", "at", "found")
-    met = quoted.join(origin, ["key", "line", "at"], "left")
+    met = written(quoted.join(origin, ["key", "line", "at"], "left"), "quoted-lines")
     message = ["key", "at", "hash"]
+    by_words = found_by_windows(met, lines)
+    if by_words is not None:
+        met = met.join(by_words.withColumnRenamed("found", "by_words"), [*message, "pos"], "left").withColumn("found", F.coalesce("found", "by_words"))
     passages = met.groupBy(*message, "level", "passage", "found").agg(F.count("*").alias("n"))
     passages = passages.groupBy(*message, "level", "passage").agg(F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("found").isNotNull(), F.col("n"))).alias("n_found"), F.max(F.when(F.col("found").isNotNull(), F.struct("n", "found"))).alias("best"))
     outermost = F.struct(-F.col("level"), F.col("best.n"), F.col("best.found").alias("found"))
