@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import clamp, context_key, cosine, temporal_compatibility
 from ..functions.text import context_description, current_intent, evidence_matches, labelled_card, negation_conflict, normalized, overlap, text, valid_draft
+from ..llm.storage import fresh_dir, written
 from ..plans.model import context_subtype
 
 REUSE_LIMIT, REUSE_SCORE, MIN_SUMMARY, MIN_EVIDENCE = 8, 0.72, 0.65, 0.40
@@ -139,26 +140,36 @@ def merge_candidates(contexts: DataFrame, threshold: float = 0.58, blocks: Colum
     return pairs.select(F.when(first, F.col("a.id")).otherwise(F.col("b.id")).alias("canonical_id"), F.when(first, F.col("b.id")).otherwise(F.col("a.id")).alias("merged_id"), F.round("score", 4).alias("score"))
 
 
-def disjoint_plan(pairs: DataFrame, max_pairs: int | None = None, rounds: int = 50) -> DataFrame:
+def disjoint_plan(pairs: DataFrame, max_pairs: int | None = None, rounds: int | None = None) -> DataFrame:
     """Greedy matching, best score first: each id in one pair at most.
 
     A pair that is the best of both its ids is what greedy takes first, so
-    rounds of mutual bests give the greedy result without a serial loop.
+    rounds of mutual bests give the greedy result without a serial loop. Equal
+    scores are ordered by a hash of the pair, which keeps the rounds few among
+    copies; where scores fall along a chain, each round settles one of its pairs.
+    It ends when no pair is left; ``rounds`` bounds it, and pairs left then are
+    an error.
     """
-    left = pairs.select("canonical_id", "merged_id", "score")
-    plan = left.limit(0)
-    order = F.struct((-F.col("score")).alias("s"), F.col("canonical_id").alias("c"), F.col("merged_id").alias("m"))
-    for _ in range(rounds):
-        left = left.cache()
-        if left.isEmpty():
-            break
+    spark = pairs.sparkSession
+    left = written(pairs.select("canonical_id", "merged_id", "score"), "open-pairs")
+    order = F.struct((-F.col("score")).alias("s"), F.xxhash64("canonical_id", "merged_id").alias("h"), F.col("canonical_id").alias("c"), F.col("merged_id").alias("m"))
+    plan, taken = left.limit(0), []
+    while not left.isEmpty():
+        if rounds is not None and len(taken) >= rounds:
+            raise RuntimeError(f"pairs are left after {rounds} rounds")
         ends = left.select(F.col("canonical_id").alias("id"), order.alias("o")).union(left.select("merged_id", order))
         best = ends.groupBy("id").agg(F.min("o").alias("o"))
         mine = left.withColumn("o", order)
-        won = mine.join(best.select(F.col("id").alias("canonical_id"), F.col("o").alias("o1")), "canonical_id").join(best.select(F.col("id").alias("merged_id"), F.col("o").alias("o2")), "merged_id").filter("o = o1 and o = o2").select("canonical_id", "merged_id", "score").cache()
-        plan = plan.union(won)
+        won = mine.join(best.select(F.col("id").alias("canonical_id"), F.col("o").alias("o1")), "canonical_id").join(best.select(F.col("id").alias("merged_id"), F.col("o").alias("o2")), "merged_id").filter("o = o1 and o = o2").select("canonical_id", "merged_id", "score")
+        taken.append(fresh_dir(spark, "won-pairs"))
+        won.write.parquet(taken[-1])
+        won = spark.read.schema(left.schema).parquet(taken[-1])
+        if won.isEmpty():
+            raise RuntimeError("pairs without an id cannot be settled")
         used = won.select(F.col("canonical_id").alias("id")).union(won.select("merged_id"))
-        left = left.join(used.withColumnRenamed("id", "canonical_id"), "canonical_id", "left_anti").join(used.withColumnRenamed("id", "merged_id"), "merged_id", "left_anti").select("canonical_id", "merged_id", "score")
+        left = written(left.join(used.withColumnRenamed("id", "canonical_id"), "canonical_id", "left_anti").join(used.withColumnRenamed("id", "merged_id"), "merged_id", "left_anti").select("canonical_id", "merged_id", "score"), "open-pairs")
+    if taken:
+        plan = spark.read.schema(left.schema).parquet(*taken)
     return plan if max_pairs is None else plan.orderBy(F.desc("score"), "canonical_id", "merged_id").limit(max_pairs)
 
 
