@@ -12,34 +12,40 @@ partner shares. So every linked pair shares a signature.
 
 Plan. (1) Per row a digest of its set: equal sets are one class from then on.
 (2) Workers emit signatures of blocks of documents, one copy of each class,
-packed by hash buckets. (3) A bucket finds the classes of each signature. Up to
-``FEW`` of them: all pairs, counted; a linked pair must share at least
-max(parts of either) - k parts, which removes pairs that merely share a passage.
-More: the signature is hot, and its members are kept as rows. A class with more
-than k parts that are not hot has its pairs found there; the others (4) share
-at least parts - k hot signatures with any partner not found yet, so the rarest
-hot - (parts - k) + 1 of each meet. (5) Candidate pairs are verified exactly on
-the sets: first one partner for each class (for hot members a pivot), then whatever pairs the resulting components
-leave open, and for hot members a few more pivots. What then still lies in
-different components of a hot signature is compared in blocks, on whole sets. Links within a
-component are never expanded into all pairs.
+packed by hash buckets; each band has buckets of its own, in number by its
+volume, so a class's heads stay few. (3) A bucket finds the classes of each
+signature. Up to ``FEW`` of them: all pairs, counted; a linked pair must share
+at least max(parts of either) - k parts, which removes pairs that merely share a
+passage. More: the signature is hot, and its members are kept as rows. A class
+with more than k parts that are not hot has its pairs found there; the others
+share at least parts - k hot signatures with any partner not found yet, so the
+rarest hot - (parts - k) + 1 of each meet. (4) Candidate pairs are verified
+exactly on the sets: first one partner for each class (for hot members a pivot
+and a few more), then whatever pairs the resulting components leave open.
+(5) Members of a hot signature that still lie in different components are
+compared in chunks, first by their lists of hot signatures: each pair where both
+meet first, by the count bound. Only classes with a partner within that bound
+ship their sets, in runs of bounded size, to be compared exactly. Components
+larger than a chunk have chunks of their own, which are never compared with one
+another. Links within a component are never expanded into all pairs.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SPACES, blocks, longs, mixed, pack, ragged, runs, slices_by, unpack, utf8, window_hashes, word_hashes, word_spans
 from .graph import components
-from .storage import lean, release, written
+from .storage import discard, lean, release, written
 
-BUCKET_BYTES, FEW, CHUNK, SLACK, TRIES = 16 << 20, 24, 1500, 1.35, 4
+FEW, CHUNK, SLACK, TRIES, SALTS = 24, 1000, 1.35, 4, 16
+#: Signatures of a bucket, and features of a run of sets that are compared at once.
+BUCKET, RUN = 2_000_000, 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _U = np.uint64
@@ -153,9 +159,21 @@ def signatures(features: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, t) for t in (_U, np.int64, np.int64, np.int64))
 
 
-def _emit(words: int, percent: int, seed: int, n_buckets: int):
+def dealt(sizes: dict[int, int], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(first bucket, number of buckets) of each instance. ``sizes``: how many sets have a size in [2^c, 2^(c+1))."""
+    load = np.zeros(ELEMENTS + 1)
+    for c, n in sizes.items():
+        load[c] += n * float(bands.parts(np.array(c)))
+        load[max(c - 1, 0)] += n * float(bands.parts(np.array(max(c - 1, 0)))) / 2  # as larger partners
+        if c < 8:  # larger sets hardly ever lie in too few parts
+            load[ELEMENTS] += n * 2.0 ** (c + 1)
+    number = np.maximum(1, np.ceil(load / BUCKET)).astype(np.int64)
+    return np.cumsum(number) - number, number
+
+
+def _emit(words: int, percent: int, seed: int, first: np.ndarray, number: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+        bands, n_buckets = Bands(percent), int(number.sum())
         for block in blocks(batches, "text"):
             features, counts, _ = sets_of(block.column(0), words)
             cls, _ = digests(features, counts, seed)
@@ -164,16 +182,16 @@ def _emit(words: int, percent: int, seed: int, n_buckets: int):
             bounds = np.concatenate(([0], np.cumsum(counts)))
             features, cls, counts = features[ragged(bounds[:-1][keep], counts[keep])], cls[keep], counts[keep]
             sig, row, inst, occupied = signatures(features, counts, bands)
-            bucket = ((sig >> _U(32)) % _U(n_buckets)).astype(np.int64)
+            bucket = first[inst] + ((sig >> _U(32)) % number[inst].astype(_U)).astype(np.int64)
             order, cuts = slices_by(bucket, n_buckets)
             full = np.flatnonzero(np.diff(cuts))
             blobs = []
             for b in full:
                 own = order[cuts[b] : cuts[b + 1]]
-                first = runs(row[own], inst[own])
-                head = own[first]
-                size = np.diff(np.append(first, len(own))).astype(np.uint32)
-                blobs.append(pack(cls[row[head]], counts[row[head]].astype(np.uint32), occupied[head].astype(np.uint32), inst[head].astype(np.uint8), size, sig[own].astype(np.uint32)))
+                start = runs(row[own])
+                head = own[start]
+                size = np.diff(np.append(start, len(own))).astype(np.uint32)
+                blobs.append(pack(cls[row[head]], counts[row[head]].astype(np.uint32), occupied[head].astype(np.uint32), size, sig[own].astype(np.uint32)))
             if len(full):
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(full.astype(np.int32)), "blob": pa.array(blobs, pa.binary())})
 
@@ -190,58 +208,58 @@ def _pairs_of(group: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarra
             yield (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
 
 
-def _meet(percent: int):
+def _meet(percent: int, first_bucket: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         bands = Bands(percent)
         bucket = table.column("bucket")[0].as_py()
-        heads, sigs = [], []
-        for blob in table.column("blob"):
-            *head, size, sig = unpack(blob.as_buffer().to_pybytes(), np.int64, np.uint32, np.uint32, np.uint8, np.uint32, np.uint32)
-            heads.append([*head, size])
-            sigs.append(sig)
-        cls, n, occupied, inst, size = (np.concatenate(x) for x in zip(*heads, strict=True))
-        sig = np.concatenate(sigs)
-        row = np.repeat(np.arange(len(cls)), size.astype(np.int64))
+        inst = int(np.searchsorted(first_bucket, bucket, "right")) - 1
+        heads = [unpack(blob.as_buffer().to_pybytes(), np.int64, np.uint32, np.uint32, np.uint32, np.uint32) for blob in table.column("blob")]
+        cls, n, occupied, size, sig = (np.concatenate(x) for x in zip(*heads, strict=True))
+        del heads
+        row = np.repeat(np.arange(len(cls), dtype=np.int32), size.astype(np.int64))
+        once = np.zeros(len(cls), bool)  # copies of a class from several blocks
+        once[np.unique(cls, return_index=True)[1]] = True
+        sig, row = sig[once[row]], row[once[row]]
         order = np.argsort(sig, kind="stable")
         same = sig[order[1:]] == sig[order[:-1]]
         own = order[np.append(same, False) | np.insert(same, 0, False)] if len(same) else order[:0]
         sig, row = sig[own], row[own]
+        # two signatures of one class may agree in the bits kept: both stay, counts are never too low
         order = np.lexsort((cls[row], sig))
         sig, row = sig[order], row[order]
-        first = runs(sig, cls[row])  # copies of a class from several blocks
-        sig, row = sig[first], row[first]
         group = runs(sig)
-        many = np.repeat(np.diff(np.append(group, len(sig))) > FEW, np.diff(np.append(group, len(sig))))
-        a, b, need, where = [], [], [], []
+        size = np.diff(np.append(group, len(sig)))
+        many = np.repeat(size > FEW, size)
+        a, b, need = [], [], []
         for i, j in _pairs_of(group, len(sig)):
             x, y = row[i], row[j]
             small, large = np.minimum(n[x], n[y]).astype(np.int64), np.maximum(n[x], n[y]).astype(np.int64)
-            element = inst[x] == ELEMENTS
-            fits = (inst[x] == inst[y]) & (large * percent <= 100 * small) & (element | (np.frexp(small)[1] - 1 == inst[x]))
-            x, y = x[fits], y[fits]
+            fits = (x != y) & (large * percent <= 100 * small)
+            if inst != ELEMENTS:
+                fits &= np.frexp(small)[1] - 1 == inst
+            x, y, both = x[fits], y[fits], (small + large)[fits]
             a.append(cls[x])
             b.append(cls[y])
-            least = np.maximum(occupied[x], occupied[y]).astype(np.int64) - bands.differing(small + large)[fits]
-            need.append(np.where(element[fits], bands.common(small + large)[fits], least))
-            where.append(inst[x])
-        a, b, need, where = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, need, where))
-        order = np.lexsort((where, need, b, a))
-        a, b, need, where = a[order], b[order], need[order], where[order]
-        first = runs(a, b, need, where)
-        count = np.diff(np.append(first, len(a)))
+            need.append(bands.common(both) if inst == ELEMENTS else np.maximum(occupied[x], occupied[y]).astype(np.int64) - bands.differing(both))
+        a, b, need = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, need))
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
+        start = runs(a, b)
         hot = row[many]
-        nothing = [None] * len(hot)
-        empty = [None] * len(first)
+        none = np.zeros(len(hot), np.int64)
+        pair = np.arange(len(start) + len(hot)) < len(start)
+        column = lambda x, y, given=None: pa.array(np.concatenate((x, y)).astype(np.int64), mask=None if given is None else ~given)
+        zero = np.zeros(len(start), np.int64)
         return pa.table(
             {
-                "a": pa.array(np.concatenate((a[first], cls[hot])), pa.int64()),
-                "b": pa.array([*b[first].tolist(), *nothing], pa.int64()),
-                "shared": pa.array([*count.tolist(), *nothing], pa.int64()),
-                "need": pa.array([*need[first].tolist(), *nothing], pa.int64()),
-                "sig": pa.array([*empty, *(bucket << 32 | sig[many].astype(np.int64)).tolist()], pa.int64()),
-                "inst": pa.array(np.concatenate((where[first].astype(np.int64), inst[hot].astype(np.int64)))),
-                "n": pa.array([*empty, *n[hot].tolist()], pa.int64()),
-                "occupied": pa.array([*empty, *occupied[hot].tolist()], pa.int64()),
+                "a": column(a[start], cls[hot]),
+                "b": column(b[start], none, pair),
+                "shared": column(np.diff(np.append(start, len(a))), none, pair),
+                "need": column(need[start], none, pair),
+                "sig": column(zero, bucket << 32 | sig[many].astype(np.int64), ~pair),
+                "inst": column(zero + inst, none + inst),
+                "n": column(zero, n[hot], ~pair),
+                "occupied": column(zero, occupied[hot], ~pair),
             }
         )
 
@@ -278,29 +296,81 @@ def _sets(words: int, seed: int):
     return run
 
 
+def _products(owner: np.ndarray, place: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+    """For each two of n owners the sum of products of ``times`` over the places they share (in slabs of places)."""
+    both = np.zeros((n, n), np.float32)
+    if not len(place):
+        return both
+    order = np.argsort(place, kind="stable")
+    owner, times = owner[order], times[order]
+    place = np.cumsum(np.diff(place[order], prepend=place[order[0]]) > 0)
+    for low in range(0, int(place[-1]) + 1, 1024):
+        a, b = np.searchsorted(place, [low, low + 1024])
+        has = np.zeros((n, 1024), np.float32)
+        np.add.at(has, (owner[a:b], place[a:b] - low), times[a:b])
+        for r in range(0, n, 512):
+            both[r : r + 512] += has[r : r + 512] @ has.T
+    return both
+
+
+def _near(percent: int):
+    """Of two chunks of a hot signature's members, those with a partner in another
+    component that the count of shared hot signatures leaves possible, in runs
+    of bounded size. A pair counts at the smallest signature where both meet."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bands = Bands(percent)
+        key = {c: table.column(c)[0].as_py() for c in ("sig", "c1", "c2")}
+        inst = table.column("inst")[0].as_py()
+        cls, comp, n, occupied, side, prefix = (longs(table.column(c).combine_chunks()) for c in ("cls", "comp", "n", "occupied", "side", "prefix"))
+        lists = table.column("sigs").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        values = longs(lists.flatten())
+        owner = np.repeat(np.arange(len(cls)), sizes)
+        at = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        _, place, often = np.unique(values, return_inverse=True, return_counts=True)
+        many, ones = often[place] > 1, np.ones(len(values), np.float32)
+        shared = _products(owner[many], place[many], ones[many], len(cls))
+        earlier = many & (at < prefix[owner]) & (values < key["sig"])
+        near = _products(owner[earlier], place[earlier], ones[earlier], len(cls)) == 0
+        for x in range(len(cls)):
+            small, total = np.minimum(n, n[x]), n + n[x]
+            need = bands.common(total) if inst == ELEMENTS else np.maximum(occupied, occupied[x]) - bands.differing(total)
+            fits = (shared[x] >= need) & (np.maximum(n, n[x]) * percent <= 100 * small) & (comp != comp[x]) & ((side != side[x]) | (side == 2))
+            near[x] &= fits if inst == ELEMENTS else fits & (np.frexp(small)[1] - 1 == inst)
+        asked = np.flatnonzero(near.any(axis=1))
+        asked = asked[np.lexsort((cls[asked], comp[asked]))]
+        part = (np.cumsum(n[asked]) // RUN).astype(np.int64)
+        out: dict[str, list] = {c: [] for c in ("r1", "r2", "side", "cls", "comp")}
+        parts = [asked[part == r] for r in np.unique(part)]
+        for i, left in enumerate(parts):
+            for j, right in enumerate(parts[i:], i):
+                met = near[np.ix_(left, right)]
+                rows = [(left[met.any(axis=1)], 2 if i == j else 0)] + ([(right[met.any(axis=0)], 1)] if i != j else [])
+                for own, where in rows:
+                    for c, v in (("r1", i), ("r2", j), ("side", where)):
+                        out[c].append(np.full(len(own), v, np.int64))
+                    out["cls"].append(cls[own])
+                    out["comp"].append(comp[own])
+        flat = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()}
+        return pa.table({**{c: pa.array([v] * len(flat["cls"]), pa.int64()) for c, v in key.items()}, **flat})
+
+    return run
+
+
 def _across(percent: int):
-    """Links across components within two chunks of a hot signature's members:
-    as many as join what is linked, compared on the whole sets."""
+    """Links across components within two runs of sets: as many as join what is
+    linked, compared on the whole sets."""
 
     def run(table: pa.Table) -> pa.Table:
-        cls, comp = longs(table.column("cls").combine_chunks()), longs(table.column("comp").combine_chunks())
-        side = table.column("side").to_numpy()
+        cls, comp, side = (longs(table.column(c).combine_chunks()) for c in ("cls", "comp", "side"))
         sets = [np.frombuffer(x.as_buffer(), _U) for x in table.column("features")]
         sizes = np.array([len(x) for x in sets])
         owner = np.repeat(np.arange(len(sets)), sizes)
         _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner, place = owner[times[place] > 1], place[times[place] > 1]
-        order = np.argsort(place, kind="stable")
-        owner, place = owner[order], np.cumsum(np.diff(place[order], prepend=place[order[:1]]) > 0)
-        n_places = int(place[-1]) + 1 if len(place) else 0
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        for low in range(0, n_places, 1024):
-            a, b = np.searchsorted(place, [low, low + 1024])
-            has = np.zeros((len(sets), min(1024, n_places - low)), np.float32)
-            has[owner[a:b], place[a:b] - low] = 1
-            for r in range(0, len(sets), 512):
-                both[r : r + 512] += has[r : r + 512] @ has.T
-        del owner, place, times, order
+        both = _products(owner, place, np.ones(len(owner), np.float32), len(sets))
+        del owner, place, times
         root = {c: c for c in comp.tolist()}
 
         def find(c: int) -> int:
@@ -323,6 +393,30 @@ def _across(percent: int):
     return run
 
 
+def _salted(rows: DataFrame, by: str, table: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key`` of many rows a key with a row a key: the rows of a hot key are dealt by ``by``."""
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(spread, [key, "_salt"]).drop("_salt")
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """Members of hot signatures that hold several components, a row for each
+    two chunks (c1 <= c2) to compare; ``side`` tells the chunk, 2 if both are one."""
+    per = rows.groupBy("sig", "comp").agg(F.count("*").alias("m"))
+    big = F.col("m") * 4 > CHUNK
+    chunks = F.ceil(F.col("m") / CHUNK)
+    sigs = per.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.coalesce(F.sum(F.when(~big, F.col("m"))), F.lit(0)) / CHUNK).alias("small"), F.array_sort(F.collect_list(F.when(big, F.struct("comp", chunks.alias("k"))))).alias("big"))
+    sigs = sigs.filter("x <> y").drop("x", "y")
+    # chunks 0..small-1 hold small components; then each big one has its own
+    low = "transform(big, (b, i) -> struct(b.comp as comp, b.k as k, small + aggregate(slice(big, 1, i), 0L, (s, o) -> s + o.k) as low))"
+    sigs = sigs.withColumn("big", F.expr(low)).withColumn("total", F.expr("small + aggregate(big, 0L, (s, o) -> s + o.k)"))
+    placed = _salted(rows, "cls", sigs, "sig").withColumn("home", F.expr("get(filter(big, b -> b.comp = comp), 0)"))
+    placed = placed.withColumn("own", F.coalesce(F.expr("home.low + pmod(xxhash64(cls), home.k)"), F.expr("pmod(xxhash64(comp), small)")))
+    placed = placed.withColumn("other", F.explode(F.expr("filter(sequence(0L, total - 1), j -> home is null or j < home.low or j >= home.low + home.k)")))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long")
+    return placed.withColumns({"c1": F.least("own", "other"), "c2": F.greatest("own", "other"), "side": side}).drop("big", "small", "total", "home", "own", "other")
+
+
 def _labelled(nodes: DataFrame, column: str, comps: DataFrame, name: str) -> DataFrame:
     found = comps.select(F.col("node").alias(column), F.col("component").alias("_c"))
     return nodes.join(found, column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
@@ -342,10 +436,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     lean(spark)
+    bands = Bands(percent)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text.alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(1, math.ceil(total / BUCKET_BYTES))
 
     for seed in range(8):
         made = written(rows.mapInArrow(_summaries(words, seed), "id long, n long, cls long, other long"), "set-digests")
@@ -355,22 +448,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     else:
         raise RuntimeError("set digests collide under every seed")
 
-    met = rows.select("text").mapInArrow(_emit(words, percent, seed, n_buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_meet(percent), "a long, b long, shared long, need long, sig long, inst long, n long, occupied long")
+    # at most 64 rows
+    sizes = {r["c"]: r["m"] for r in made.filter("n > 0").groupBy((F.length(F.bin("n")) - 1).alias("c")).agg(F.count("*").alias("m")).collect()}
+    first, number = dealt(sizes, bands)
+    met = rows.select("text").mapInArrow(_emit(words, percent, seed, first, number), "bucket int, blob binary").groupBy("bucket").applyInArrow(_meet(percent, first), "a long, b long, shared long, need long, sig long, inst long, n long, occupied long")
     met = written(met, "set-pairs")
     release(spark)
 
-    hot = met.filter("sig is not null").select("sig", F.col("a").alias("cls"), "inst", "n", "occupied")
-    heat = hot.groupBy("cls", "inst").agg(F.count("*").alias("hot"))
-    # a pair that only hot signatures hold shares this many of them
-    least = F.when(F.col("inst") == ELEMENTS, F.ceil(percent * F.col("n") / 100)).otherwise(F.greatest(F.lit(1), F.col("occupied") - F.floor((100 - percent) * F.col("n") / percent)))
-    risky = hot.join(heat, ["cls", "inst"]).withColumn("least", least).filter("hot >= least")
-    # of each hot signature: how often, its smallest member, and some others
-    others = [F.min_by("cls", F.xxhash64("cls", "sig", F.lit(r))) for r in range(3)]
-    stats = risky.groupBy("sig").agg(F.count("*").alias("often"), F.array(F.min("cls"), *others).alias("pivots"))
-    rarest = Window.partitionBy("cls", "inst").orderBy("often", "sig")
-    ranked = risky.join(stats, "sig").withColumn("rank", F.row_number().over(rarest))
-    held = ranked.filter(F.col("rank") <= F.col("hot") - F.col("least") + 1).select("sig", "cls", "pivots")
-    held = written(held, "hot-members")
+    hot = met.filter("sig is not null").groupBy(F.col("a").alias("cls"), "inst", "n", "occupied").agg(F.collect_list("sig").alias("sigs"))
+    hot = written(hot.withColumn("hot", F.size("sigs")), "hot-members")
+    heat = hot.groupBy("cls", "inst").agg(F.max("hot").alias("hot"))
     pairs = met.filter("b is not null").groupBy("a", "b", "inst").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
     if hot.isEmpty():
         pairs = pairs.withColumns({"ha": F.lit(0), "hb": F.lit(0)})
@@ -379,44 +466,58 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = pairs.join(heat.select(F.col("cls").alias("b"), "inst", F.col("hot").alias("hb")), ["b", "inst"], "left")
     pairs = pairs.filter(F.col("shared") >= F.col("need") - F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
     pairs = written(pairs.select("a", "b").distinct(), "candidates")
+    discard(met)
 
-    # the sets of all classes that have candidates, from their representatives' texts
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(held.select("cls")).distinct()
-    ids = classes.join(wanted, "cls", "left_semi").select(F.col("rep").alias("id"))
-    sets = written(rows.join(ids, "id", "left_semi").select("text").mapInArrow(_sets(words, seed), "cls long, features binary"), "candidate-sets")
-    release(spark)
+    # a pair that only hot signatures hold shares ``least`` of them, so members meet in their ``prefix`` rarest
+    least = F.when(F.col("inst") == ELEMENTS, F.ceil(percent * F.col("n") / 100)).otherwise(F.greatest(F.lit(1), F.col("occupied") - F.floor((100 - percent) * F.col("n") / percent)))
+    risky = hot.withColumn("least", least).filter("hot >= least")
+    each = risky.select("cls", "inst", "n", "occupied", (F.col("hot") - F.col("least") + 1).alias("prefix"), F.explode("sigs").alias("sig"))
+    # of each hot signature: how often, its smallest member, and some others
+    others = [F.min_by("cls", F.xxhash64("cls", "sig", F.lit(r))) for r in range(3)]
+    stats = each.groupBy("sig").agg(F.count("*").alias("often"), F.array(F.min("cls"), *others).alias("pivots"))
+    ranked = _salted(each, "cls", stats, "sig").groupBy("cls", "inst", "n", "occupied", "prefix").agg(F.array_sort(F.collect_list(F.struct("often", "sig", "pivots"))).alias("order"))
+    held = written(ranked, "hot-prefixes")
+
+    # some partners for each class: its smallest candidate; of its hot signatures the most common
+    # smallest member, and a few others
+    met_in = held.select("cls", F.explode(F.slice("order", F.lit(1), F.col("prefix").cast("int"))).alias("o")).select("cls", "o.pivots")
+    by_class = met_in.groupBy("cls").agg(F.mode(F.col("pivots")[0], True).alias("most"), F.slice(F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list(F.slice("pivots", 2, 3)))), lambda p: F.struct(F.xxhash64(p, F.lit(7)).alias("h"), p.alias("p")))), 1, TRIES).alias("some"))
+    pivots = by_class.select(F.col("cls").alias("b"), F.explode(F.array_union(F.array("most"), F.col("some.p"))).alias("a")).filter("a <> b")
+    tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("b", "a").union(pivots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = written(tried, "first-pairs")
+
+    def sets_for(wanted: DataFrame, what: str) -> DataFrame:
+        """The sets of some classes, from their representatives' texts."""
+        ids = classes.join(wanted.distinct(), "cls", "left_semi").select(F.col("rep").alias("id"))
+        return written(rows.join(ids, "id", "left_semi").select("text").mapInArrow(_sets(words, seed), "cls long, features binary"), what)
 
-    def verified(some: DataFrame) -> DataFrame:
+    def ends(some: DataFrame) -> DataFrame:
+        return some.select(F.col("a").alias("cls")).union(some.select("b"))
+
+    def verified(some: DataFrame, sets: DataFrame) -> DataFrame:
         # the side that repeats (pivots) comes last, when rows are heavy enough for skew joins to split
         with_b = some.join(sets.select(F.col("cls").alias("b"), F.col("features").alias("fb")), "b")
         both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("features").alias("fa")), "a")
         return both.select("a", "b", "fa", "fb").mapInArrow(_verify(percent), "a long, b long")
 
-    # some partners for each class: its smallest candidate; of its hot signatures the most common
-    # smallest member, and a few others
-    by_class = held.groupBy("cls").agg(F.mode(F.col("pivots")[0], True).alias("most"), F.slice(F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list(F.slice("pivots", 2, 3)))), lambda p: F.struct(F.xxhash64(p, F.lit(7)).alias("h"), p.alias("p")))), 1, TRIES).alias("some"))
-    pivots = by_class.select(F.col("cls").alias("b"), F.explode(F.array_union(F.array("most"), F.col("some.p"))).alias("a")).filter("a <> b")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("b", "a").union(pivots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(verified(first), "links")
+    sets = sets_for(ends(tried), "candidate-sets")
+    links = written(verified(tried, sets), "links")
+    discard(sets)
+    release(spark)
     comps = components(links)
 
     # what is left: candidate pairs in two components, and hot signatures that hold several
-    open_ = _labelled(_labelled(pairs, "a", comps, "ca"), "b", comps, "cb").filter("ca <> cb").select("a", "b")
-    more = verified(open_)
-    members = _labelled(held.select("sig", "cls"), "cls", comps, "comp")
-    several = members.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("sig")
-    place = F.row_number().over(Window.partitionBy("sig").orderBy("comp", "cls"))
-    members = written(members.join(several, "sig").withColumn("chunk", F.floor((place - 1) / CHUNK).cast("long")), "hot-chunks")
-    if not members.isEmpty():
-        chunks = members.groupBy("sig", "chunk").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-        other = chunks.select("sig", F.col("chunk").alias("chunk2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-        tasks = chunks.join(other, "sig").filter("chunk <= chunk2 and (x <> y or x2 <> y2 or x <> x2)").select("sig", "chunk", "chunk2")
-        sides = tasks.select("sig", "chunk", "chunk2", F.col("chunk").alias("own"), F.when(F.col("chunk") == F.col("chunk2"), 2).otherwise(0).alias("side"))
-        sides = sides.union(tasks.filter("chunk <> chunk2").select("sig", "chunk", "chunk2", "chunk2", F.lit(1)))
-        placed = sides.join(members.withColumnRenamed("chunk", "own"), ["sig", "own"]).join(sets, "cls")
-        more = more.union(placed.groupBy("sig", "chunk", "chunk2").applyInArrow(_across(percent), "a long, b long"))
+    open_ = written(_labelled(_labelled(pairs, "a", comps, "ca"), "b", comps, "cb").filter("ca <> cb").select("a", "b"), "open-pairs")
+    members = held.select("cls", "inst", "n", "occupied", "prefix", F.col("order.sig").alias("sigs"))
+    members = _labelled(members, "cls", comps, "comp").withColumn("sig", F.explode(F.array_distinct(F.slice("sigs", F.lit(1), F.col("prefix").cast("int")))))
+    near = _chunked(members).groupBy("sig", "c1", "c2").applyInArrow(_near(percent), "sig long, c1 long, c2 long, r1 long, r2 long, side long, cls long, comp long")
+    near = written(near, "near-members")
+    sets = sets_for(ends(open_).union(near.select("cls")), "open-sets")
+    more = verified(open_, sets).union(near.join(sets, "cls").groupBy("sig", "c1", "c2", "r1", "r2").applyInArrow(_across(percent), "a long, b long"))
     more = written(more, "links")
     comps = comps if more.isEmpty() else components(links.union(more))
+    discard(hot, pairs, held, tried, open_, near, sets)
+    release(spark)
 
     labels = _labelled(classes.select("cls", "rep"), "cls", comps, "comp")
     smallest = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))

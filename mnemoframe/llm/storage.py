@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import opened
+
 _own: str | None = None
 
 
@@ -37,6 +39,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``written`` wrote, when nothing reads it any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            store, path = opened(folder)
+            store.delete_dir(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nobody holds any more."""
     for _ in range(2):  # what the first round frees holds references itself

@@ -60,7 +60,7 @@ def near_copies(rng, groups, copies, low=1, high=90):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_brute_force(spark, monkeypatch, seed):
-    monkeypatch.setattr(set_join, "BUCKET_BYTES", 9000)
+    monkeypatch.setattr(set_join, "BUCKET", 700)
     rng = random.Random(seed)
     rows = near_copies(rng, 50, 5) + near_copies(rng, 30, 3, 1, 9)
     rows += [(None, rows[0][1]), (-5, None), (6, ""), (7, " \t"), (rows[1][0], rows[1][1]), (rows[1][0], "quite another text"), (-9, "One"), (-8, "one")]
