@@ -1,12 +1,14 @@
 """License scans: sparse TF-IDF cosine to templates, and inheritance along paths.
 
-DataFrame functions only. A unit is a line of a file (a header's notice) or, in
-licence files, the whole text. Units and templates are bags of terms; a term
-weighs its count times ln((1 + N) / (1 + df)) + 1, df counted over all files. A
-unit that lacks every one of a template's heaviest terms cannot reach the
-threshold (the rest of the template's mass bounds the cosine), so one regular
-expression over the text decides which files are looked at closely, without
-changing any result. The vectors stay sparse: terms join the templates' terms.
+DataFrame functions only. A unit is a line of a file, a block of lines between
+blank ones (comment marks alone count as blank), or the whole text. Templates
+are whole licences, titles, the usual headers and notices. Units and templates
+are bags of terms; a term weighs its count times ln((1 + N) / (1 + df)) + 1, df
+counted over all files. A unit that lacks every one of a template's heaviest
+terms cannot reach the threshold (the rest of the template's mass bounds the
+cosine), so one regular expression over the text decides which files are looked
+at closely, without changing any result. The vectors stay sparse: terms join the
+templates' terms.
 
 A file without a licence of its own takes that of the nearest directory above
 it that has a licence file. Directories, not files, look for their ancestors.
@@ -16,34 +18,23 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
 from .storage import written
 
-#: Notices as commonly written, by SPDX identifier.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-2-Clause": "Released under the BSD 2-Clause License",
-    "BSD-3-Clause": "Released under the BSD 3-Clause License",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "ISC": "Released under the ISC License",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0",
-    "Proprietary": "All rights reserved",
-    "Unlicense": "Released into the public domain under the Unlicense",
-}
+TEMPLATES = TEXTS
+#: A claim of all rights stands in many licences; it counts where nothing else is found.
+WEAK = ["Proprietary"]
 #: Base names (without extension, lower case) of licence files.
 LICENSE_FILES = ["license", "licence", "copying", "copyright", "notice", "unlicense"]
 
 _TERM = r"[a-z0-9]+(?:\\.[0-9]+)*"
+#: Blocks of two lines or more.
+BLOCKS = r"filter(split(regexp_replace(text, '\\r\\n?', '\n'), '\n(?:[ \\t#*/;%-]*\n)+'), b -> contains(trim('\n' from b), '\n'))"
 SALTS = 16
 #: A term with more than this part (1 in FREQUENT) of the units' rows counts as frequent.
 FREQUENT = 5000
@@ -57,10 +48,15 @@ def _terms(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())
 
 
-def signals(templates: dict[str, str], idf: dict[str, float], threshold: float) -> list[str]:
+def flat(templates: dict[str, str | Sequence[str]]) -> list[tuple[str, str]]:
+    """(licence, text) of each template, in order."""
+    return [(name, x) for name, texts in sorted(templates.items()) for x in ([texts] if isinstance(texts, str) else texts)]
+
+
+def signals(texts: list[str], idf: dict[str, float], threshold: float) -> list[str]:
     """Terms of which any unit that reaches the threshold has one at least."""
     out: set[str] = set()
-    for text in templates.values():
+    for text in texts:
         bag: dict[str, int] = {}
         for t in _terms(text):
             bag[t] = bag.get(t, 0) + 1
@@ -74,45 +70,46 @@ def signals(templates: dict[str, str], idf: dict[str, float], threshold: float)
     return sorted(out)
 
 
-def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = 0.6, templates: dict[str, str] | None = None) -> DataFrame:
+def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = 0.6, templates: dict[str, str | Sequence[str]] | None = None) -> DataFrame:
     """One row per file: doc (struct of all input columns, whatever their
     names), license, score, origin.
 
     ``origin`` is "own", "inherited" or null; ``license`` and ``score`` are the
-    best unit's (ties to the identifier first in order) or the inherited ones.
+    best unit's (ties to the identifier first in order; those in ``WEAK`` only if
+    nothing else reaches the threshold) or the inherited ones.
     Licence files are told by name, or by a whole text that reaches the
-    threshold; a directory with several takes the best score (ties: smaller
+    threshold; a directory with several takes the best (ties: smaller
     path). A null path is a file in no directory; null and empty texts have no
     licence of their own. Rows of equal path are separate files. An empty table
     gives no rows.
     """
     spark = files.sparkSession
-    templates = TEMPLATES if templates is None else templates
+    texts = flat(TEMPLATES if templates is None else templates)
     path, text = F.col(path_col).cast("string"), F.col(text_col).cast("string")
     rows = files.select(F.struct(*[F.col(f"`{c}`") for c in files.columns if c != text_col]).alias("doc"), path.alias("path"), text.alias("text"))
 
     # document frequencies of every term, over all files; the empty term counts the files
     bag = F.coalesce(F.array_distinct(terms_of("text")), F.expr("cast(array() as array<string>)"))
     counted = written(rows.select(F.explode(F.concat(F.array(F.lit("")), bag)).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "term-files")
-    vocabulary = sorted({t for x in templates.values() for t in _terms(x)})
+    vocabulary = sorted({t for _, x in texts for t in _terms(x)})
     df = {r["term"]: r["df"] for r in counted.filter(F.col("term").isin(["", *vocabulary])).collect()}
     n_files = df.pop("", 0)
     idf = {t: math.log((1 + n_files) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
 
     weights = []
-    for name, x in sorted(templates.items()):
+    for i, (name, x) in enumerate(texts):
         own = _terms(x)
         norm = math.sqrt(sum((own.count(t) * idf[t]) ** 2 for t in set(own)))
-        weights += [(t, idf[t], name, own.count(t) * idf[t] / norm) for t in sorted(set(own))]
-    held = F.broadcast(spark.createDataFrame(weights, "term string, idf double, license string, weight double"))  # fixed size
+        weights += [(t, idf[t], name, i, own.count(t) * idf[t] / norm) for t in sorted(set(own))]
+    held = F.broadcast(spark.createDataFrame(weights, "term string, idf double, license string, template int, weight double"))  # fixed size
 
     # units of the files that have a signal; identical rows add up, which no cosine sees
-    regex = "(?<![a-z0-9])(?:" + "|".join(map(re.escape, signals(templates, idf, threshold))) + ")(?![a-z0-9])"
+    regex = "(?<![a-z0-9])(?:" + "|".join(map(re.escape, signals([x for _, x in texts], idf, threshold))) + ")(?![a-z0-9])"
     hot = rows.filter(F.coalesce(text_matches("text", regex), F.lit(False))).select("path", F.xxhash64("text").alias("hash"), "text")
     base = F.expr("lower(regexp_replace(regexp_extract(path, '[^/]*$', 0), '\\\\.[^.]*$', ''))")
     named = F.coalesce(base.isin(LICENSE_FILES), F.lit(False))
     lines = F.expr("filter(split(text, '\\\\r\\\\n?|\\\\n'), l -> trim(l) <> '')")
-    units = hot.select("path", "hash", F.posexplode(F.concat(F.array("text"), lines)).alias("pos", "unit")).filter(text_matches("unit", regex))
+    units = hot.select("path", "hash", F.posexplode(F.concat(F.array("text"), lines, F.expr(BLOCKS))).alias("pos", "unit")).filter(text_matches("unit", regex))
     units = units.select("path", "hash", "pos", F.explode(terms_of("unit")).alias("term")).groupBy("path", "hash", "pos", "term").agg(F.count("*").alias("n"))
     units = written(units, "license-units")
     # each term's weight: those with many rows are fewer than FREQUENT and are broadcast, the others meet by a shuffle
@@ -123,17 +120,17 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     rest = weighed.filter("idf is null").drop("idf").join(used.filter(~many).select("term", "idf"), "term")
     weighed = weighed.filter("idf is not null").unionByName(rest)
     norms = weighed.groupBy("path", "hash", "pos").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), F.lit(2.0)))).alias("norm"))
-    dots = units.join(held, "term").groupBy("path", "hash", "pos", "license").agg(F.sum(F.col("n") * F.col("idf") * F.col("weight")).alias("dot"))
+    dots = units.join(held, "term").groupBy("path", "hash", "pos", "license", "template").agg(F.sum(F.col("n") * F.col("idf") * F.col("weight")).alias("dot"))
     same = lambda a, b: (F.col(f"{a}.hash") == F.col(f"{b}.hash")) & F.col(f"{a}.path").eqNullSafe(F.col(f"{b}.path"))
     scored = dots.alias("d").join(norms.alias("n"), same("d", "n") & (F.col("d.pos") == F.col("n.pos"))).select("d.path", "d.hash", "d.pos", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
     # the whole text stands at 0: it tells licence files, and counts for these
-    best = scored.groupBy("path", "hash").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.max(F.col("pos") == 0).alias("is_text"))
+    best = scored.groupBy("path", "hash").agg(F.min(F.struct(F.col("license").isin(WEAK).alias("w"), (-F.col("score")).alias("s"), "license")).alias("b"), F.max(F.col("pos") == 0).alias("is_text"))
     best = best.select("path", "hash", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "is_text")
     best = written(best, "own-licenses")
 
     directory = F.expr("regexp_extract(path, '^(.*)/[^/]*$', 1)")
     declared = best.filter(F.col("path").isNotNull() & (named | F.col("is_text"))).withColumn("dir", directory)
-    declared = declared.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("b")).select("dir", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    declared = declared.groupBy("dir").agg(F.min(F.struct(F.col("license").isin(WEAK).alias("w"), (-F.col("score")).alias("s"), "path", "license")).alias("b")).select("dir", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
     dirs = rows.filter("path is not null").select(directory.alias("home")).distinct()
     above = F.expr("transform(sequence(0, size(split(home, '/'))), k -> array_join(slice(split(home, '/'), 1, k), '/'))")
     nearest = dirs.select("home", F.explode(F.array_distinct(above)).alias("dir")).join(declared, "dir").groupBy("home").agg(F.max(F.struct(F.length("dir").alias("depth"), "license", "score")).alias("b"))
@@ -154,5 +151,3 @@ def paths_of(docs: DataFrame) -> DataFrame:
     """Documents as files: a source is a repository, a language a directory of it."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
     return docs.withColumn("path", F.concat_ws("/", part("source"), part("lang"), F.concat(part("doc_id"), F.lit(".txt"))))
-
-

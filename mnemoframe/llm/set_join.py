@@ -94,7 +94,7 @@ def _summaries(words: int, seed: int):
         for block in blocks(batches, "text"):
             features, counts, _ = sets_of(block.column(1), words)
             cls, other = digests(features, counts, seed)
-            yield pa.RecordBatch.from_pydict({"id": block.column(0), "n": counts.astype(np.int64), "cls": cls, "other": other})
+            yield pa.RecordBatch.from_pydict({"id": block.column(0), "hash": block.column(2), "n": counts.astype(np.int64), "cls": cls, "other": other})
 
     return run
 
@@ -422,7 +422,7 @@ def _labelled(nodes: DataFrame, column: str, comps: DataFrame, name: str) -> Dat
     return nodes.join(found, column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, keys: bool = False) -> DataFrame:
     """Components under "Jaccard similarity of shingle sets is at least percent/100".
 
     Words: A-Z lower-cased, maximal runs of bytes other than space and 09-0D. A
@@ -433,15 +433,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     all others, and a component_id is null if that row is the smallest. Rows of
     equal id are separate sets. Other columns are not read; an empty table
     gives no rows. Features are 64-bit hashes; links are decided on whole sets.
+    ``keys`` adds what tells rows of equal id apart: text_hash (xxhash64 of the
+    text as string) and group_id (one long a component; null without a set).
     """
     spark = docs.sparkSession
     lean(spark)
     bands = Bands(percent)
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
 
     for seed in range(8):
-        made = written(rows.mapInArrow(_summaries(words, seed), "id long, n long, cls long, other long"), "set-digests")
+        made = written(rows.select("id", "text", "hash").mapInArrow(_summaries(words, seed), "id long, hash long, n long, cls long, other long"), "set-digests")
         classes = made.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("other").alias("o"), F.max("other").alias("o2"))
         if classes.filter("n <> n2 or o <> o2").isEmpty():
             break  # no two different sets share a digest
@@ -521,7 +523,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     labels = _labelled(classes.select("cls", "rep"), "cls", comps, "comp")
     smallest = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    labels = labels.join(smallest, "comp").select("cls", "component_id", F.lit(True).alias("_in"))
+    labels = labels.join(smallest, "comp").select("cls", "component_id", F.col("comp").alias("group_id"))
     out = made.join(labels, (made["cls"] == labels["cls"]) & (made["n"] > 0), "left").drop(labels["cls"])
     null = lambda c: F.nullif(c, F.lit(-(1 << 63)))
-    return out.select(null(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), null(F.coalesce("component_id", "id")).alias("component_id"))
+    return out.select(null(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), null(F.coalesce("component_id", "id")).alias("component_id"), *([F.col("hash").alias("text_hash"), "group_id"] if keys else []))

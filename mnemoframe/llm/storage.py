@@ -15,13 +15,17 @@ _own: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; set here only where unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session
+    (tests) gets a folder of its own; a cluster's executors would not share one,
+    so there it is an error."""
     global _own
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = known.get() if known.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = _own = _own or "file://" + tempfile.mkdtemp(prefix="mnemoframe-")
     return folder.rstrip("/")
 

@@ -34,7 +34,7 @@ def test_frequencies_of_all_terms(spark, monkeypatch):
         found = {r.doc.path: (r.license, r.score, r.origin) for r in lic.scan(spark.createDataFrame(files, "path string, text string"), threshold=0.3).collect()}
         assert len(found) == len(files)
         for path, unit in (("a/1.py", NOTICE), ("b/2.py", LONG)):
-            best = max((cosine(unit, x, files), name) for name, x in lic.TEMPLATES.items())
+            best = max((cosine(unit, x, files), name) for name, x in lic.flat(lic.TEMPLATES) if name not in lic.WEAK)
             assert found[path] == (best[1], best[0], "own") and best[1] == "MIT"
 
 

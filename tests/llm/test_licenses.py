@@ -1,7 +1,9 @@
 import math
 import random
 import re
+import textwrap
 from collections import Counter
+from pathlib import Path
 
 from mnemoframe.llm import licenses as lic
 
@@ -12,38 +14,38 @@ def terms(t):
 
 def brute(files, threshold=0.6):
     df = Counter(t for _, x in files for t in set(terms(x or "")))
-    idf = lambda t: math.log((1 + len(files)) / (1 + (df[t] if t in known else 0))) + 1
-    known = {t for x in lic.TEMPLATES.values() for t in terms(x)}
+    idf = lambda t: math.log((1 + len(files)) / (1 + df[t])) + 1
     vector = lambda x: {t: n * idf(t) for t, n in Counter(terms(x)).items()}
     norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
-    templates = {n: vector(x) for n, x in lic.TEMPLATES.items()}
+    templates = [(n, vector(x)) for n, x in lic.flat(lic.TEMPLATES)]
 
     def scores(x):
         v = vector(x)
-        for n, t in templates.items():
+        for n, t in templates:
             if v:
-                yield -round(sum(w * t.get(k, 0) for k, w in v.items()) / norm(v) / norm(t), 9), n
+                yield n in lic.WEAK, -round(sum(w * t.get(k, 0) for k, w in v.items()) / norm(v) / norm(t), 9), n
 
     own, declared = [], {}
     for p, x in files:
         x = x or ""
-        units = [x, *[u for u in re.split(r"\r\n?|\n", x) if u.strip(" ")]]
-        best = min((s for u in units for s in scores(u) if -s[0] >= threshold), default=None)
-        whole = any(-s >= threshold for s, _ in scores(x))
+        blocks = [u for u in re.split(r"\n(?:[ \t#*/;%-]*\n)+", re.sub(r"\r\n?", "\n", x)) if "\n" in u.strip("\n")]
+        units = [x, *[u for u in re.split(r"\r\n?|\n", x) if u.strip(" ")], *blocks]
+        best = min((s for u in units for s in scores(u) if -s[1] >= threshold), default=None)
+        whole = any(-s >= threshold for _, s, _ in scores(x))
         own.append(best)
         name = (p or "").rsplit("/", 1)[-1]
         if best and p is not None and (whole or re.sub(r"\.[^.]*$", "", name).lower() in lic.LICENSE_FILES):
             d = p.rsplit("/", 1)[0] if "/" in p else ""
-            declared[d] = min(declared.get(d, (9,)), (best[0], p, best[1]))
+            declared[d] = min(declared.get(d, (9,)), (best[0], best[1], p, best[2]))
     out = []
     for (p, x), best in zip(files, own):
         if best:
-            out.append((p, best[1], -best[0], "own"))
+            out.append((p, best[2], -best[1], "own"))
             continue
         d, found = (p.rsplit("/", 1)[0] if "/" in p else "") if p is not None else None, None
         while d is not None and not (found := declared.get(d)):
             d = d.rsplit("/", 1)[0] if "/" in d else ("" if d else None)
-        out.append((p, found[2], -found[0], "inherited") if found else (p, None, None, None))
+        out.append((p, found[3], -found[1], "inherited") if found else (p, None, None, None))
     return sorted(out, key=repr)
 
 
@@ -53,13 +55,13 @@ def rows_of(df, path="path"):
 
 def test_against_brute_force(spark):
     rng = random.Random(6)
-    notices = list(lic.TEMPLATES.values())
+    notices = [x.strip().split("\n")[0] for _, x in lic.flat(lic.TEMPLATES)] + [x for _, x in lic.flat(lic.TEMPLATES)]
     words = "the of and version public work under mit license licensed alpha beta gamma delta 2.0 rights".split()
     files = []
     for i in range(150):
         lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 6))]
         if rng.random() < 0.3:
-            lines.insert(rng.randint(0, len(lines)), rng.choice(["", "// ", "# "]) + rng.choice(notices).upper() + rng.choice(["", ".", " by us"]))
+            lines.insert(rng.randint(0, len(lines)), "".join(rng.choice(["", "// ", "# "]) + x + "\n" for x in rng.choice(notices).upper().split("\n")) + rng.choice(["", ".", " by us"]))
         folder = "/".join(rng.choice("abc") for _ in range(rng.randint(0, 4)))
         name = rng.choice(["LICENSE", "COPYING.txt"]) if rng.random() < 0.15 else f"f{i}.py"
         files.append((f"{folder}/{name}" if folder else name, rng.choice(["\n", "\r\n"]).join(lines)))
@@ -80,3 +82,46 @@ def test_documents(spark):
     assert rows_of(found) == brute(rows)
     planted = {p for p, t in rows if re.search(r"(?m)^(Released under the MIT License|Licensed under|This work is licensed|All rights reserved)", t)}
     assert planted and planted <= {p for p, _, _, o in rows_of(found) if o == "own"}
+
+
+#: The licences' own files on Debian systems.
+FOLDER = Path("/usr/share/common-licenses")
+HEADER = """/*
+ * Copyright 2020 A. Writer
+ *
+ * {}
+ */
+#include <stdio.h>
+int main(void) {{ return 0; }}
+"""
+
+
+def commented(text, width=70):
+    return HEADER.format("\n * ".join(y for x in text.strip().split("\n\n") for y in [*textwrap.wrap(" ".join(x.split()), width), ""]))
+
+
+def test_real_licences_and_headers(spark):
+    """Whole licence files, and headers wrapped anew in comments, among prose that uses their common words."""
+    files, want = [], {}
+    for spdx, name in (("Apache-2.0", "Apache-2.0"), ("BSD-3-Clause", "BSD"), ("CC0-1.0", "CC0-1.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0")):
+        if (FOLDER / name).exists():
+            files.append((f"{spdx}/LICENSE", (FOLDER / name).read_text()))
+            want |= {f"{spdx}/LICENSE": (spdx, "own"), f"{spdx}/src/main.c": (spdx, "inherited")}
+            files.append((f"{spdx}/src/main.c", "int main(void) { return 0; }"))
+    whole = {"MIT": 1, "BSD-2-Clause": 1, "BSD-3-Clause": 1, "ISC": 1, "Unlicense": 1}
+    for spdx, i in whole.items():
+        files.append((f"own/{spdx}/COPYING", f"Copyright (c) 1999, 2021 Some People\nAll rights reserved.\n\n{lic.TEMPLATES[spdx][i]}"))
+        want[f"own/{spdx}/COPYING"] = (spdx, "own")
+    headers = {"Apache-2.0": 2, "GPL-2.0": 2, "GPL-3.0": 3, "LGPL-3.0": 2, "MPL-2.0": 2, "MIT": 1, "BSD-2-Clause": 1}
+    for spdx, i in headers.items():
+        files.append((f"headers/{spdx}.c", commented(lic.TEMPLATES[spdx][i])))
+        want[f"headers/{spdx}.c"] = (spdx, "own")
+    for spdx in ("MIT", "Apache-2.0", "BSD-3-Clause", "GPL-3.0"):
+        files.append((f"spdx/{spdx}.py", f"# SPDX-License-Identifier: {spdx}\nimport os\n"))
+        want[f"spdx/{spdx}.py"] = (spdx, "own")
+    rng = random.Random(3)
+    words = "the of and or to a in software public work under version any this copy use free program file terms may not is with for".split()
+    prose = [(f"prose/{i}.txt", "\n".join(" ".join(rng.choice(words + [f"w{rng.randrange(400)}"] * 9) for _ in range(12)) for _ in range(6))) for i in range(200)]
+    want |= {p: (None, None) for p, _ in prose}
+    got = {r.doc.path: (r.license, r.origin) for r in lic.scan(spark.createDataFrame(files + prose, "path string, text string")).collect()}
+    assert {p: got[p] for p in want if got[p] != want[p]} == {}
