@@ -36,12 +36,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest document of each group of near duplicates (five-word
-    shingles, similarity 0.75 or more); of identical rows, one."""
-    groups = written(set_join.similar_components(docs), "near-duplicates")
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    keys = stay.select(F.col("doc_id").alias("_id"))
-    kept = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept if stay.filter("n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    shingles, similarity 0.75 or more; ties of ids by the text's hash); of
+    identical rows, one. Documents without words are in no group and stay."""
+    groups = written(set_join.similar_components(docs, keys=True), "near-duplicates")
+    smallest = groups.filter("group_id is not null").groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    alone = groups.filter("group_id is null").select(F.struct("doc_id", "text_hash").alias("k"))
+    stay = smallest.select("k").union(alone).distinct().select(F.col("k.doc_id").alias("id"), F.col("k.text_hash").alias("hash"))
+    same = lambda left: F.col(f"{left}.doc_id").eqNullSafe(F.col("stay.id"))
+    kept = docs.alias("doc").join(stay.alias("stay"), same("doc") & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("stay.hash")), "left_semi")
+    counts = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").alias("rows")
+    repeated = counts.join(stay.alias("stay"), same("rows") & (F.col("rows.text_hash") == F.col("stay.hash")), "left_semi")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
