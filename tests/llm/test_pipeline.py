@@ -65,3 +65,16 @@ def test_stages_keep_columns_and_survive_odd_rows(spark):
 @pytest.mark.parametrize("n", [len(cp.STAGES)])
 def test_stage_order(n):
     assert [x for x, _ in cp.STAGES] == ["language_id", "ngram_join", "substring_dedup", "decontamination", "byte_level_bpe"] and n == 5
+
+
+def test_ngram_join_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    x, y, z = ("the quick brown fox jumps over the lazy dog again", "an entirely different text about nothing much at all", "a third one that nobody has copied so far here")
+    rows = [(1, x), (3, x), (3, y), (4, y.upper()), (5, z), (5, z), (6, ""), (6, None), (None, z + " more words than before"), (7, "one"), (7, "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _id", "2 as id", "3 as hash", "4 as k", "5 as stay", "6 as rows", "7 as doc", "8 as group_id")
+    out = cp.ngram_join(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    # z and its longer copy are near duplicates; a null id is the smallest
+    linked = near.brute([(0, z), (1, z + " more words than before")])[1][2] == 0
+    want = [(1, x), (3, y), (6, ""), (6, None), (7, "one"), (7, "two"), (None, z + " more words than before")] + ([] if linked else [(5, z)])
+    assert kept == sorted(want, key=repr)
