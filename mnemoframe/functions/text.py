@@ -49,13 +49,18 @@ def one_space(x: Column | str) -> Column:
 def bigrams(x: Column) -> Column:
     """All runs of two characters; none if there is at most one."""
     n = F.length(x)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: x.substr(i, F.lit(2)))).otherwise(F.expr(_NO_STRINGS))
+    each = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: x.substr(i, F.lit(2)))
+    # one pass over long texts; the expression steps by UTF-16 units, so characters beyond the first plane take the other way
+    linear = F.regexp_extract_all(x, F.lit(r"(?s)(?=(..))"), 1)
+    return F.when(n < 2, F.expr(_NO_STRINGS)).when(x.rlike(r"[\x{10000}-\x{10FFFF}]"), each).otherwise(linear)
 
 
 def tokens(x: Column | str) -> Column:
     """Lower-case Latin words and, for runs of CJK characters, their bigrams (a single one stands alone)."""
-    runs = matches(F.lower(text(x)), f"[a-z0-9_]+|[{_CJK}]+")
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{_CJK}]{{2,}}$"), bigrams(r)).otherwise(F.array(r))))
+    low = F.lower(text(x))
+    runs = matches(low, f"[a-z0-9_]+|[{_CJK}]+")
+    cut = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{_CJK}]{{2,}}$"), bigrams(r)).otherwise(F.array(r))))
+    return F.when(low.rlike(f"[{_CJK}]"), cut).otherwise(matches(low, "[a-z0-9_]+"))
 
 
 def informative(token: Column) -> Column:

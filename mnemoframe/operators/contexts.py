@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import clamp, context_key, cosine, temporal_compatibility
 from ..functions.text import context_description, current_intent, evidence_matches, labelled_card, negation_conflict, normalized, overlap, text, valid_draft
-from ..llm.storage import fresh_dir, written
 from ..plans.model import context_subtype
+from ..sources.shared import fresh_dir, written
 
 REUSE_LIMIT, REUSE_SCORE, MIN_SUMMARY, MIN_EVIDENCE = 8, 0.72, 0.65, 0.40
 REUSE_WEIGHTS = {"summary": 0.45, "evidence": 0.25, "entity": 0.15, "temporal": 0.10, "subtype": 0.05}
@@ -237,6 +237,15 @@ def weakened(contexts: DataFrame, now: int) -> DataFrame:
 
 
 
+def united(a: Column, b: Column) -> Column:
+    """Two lists of references in order, each reference once; null if both are. Maps have no equality in Spark, so
+    entries sorted by key, as JSON, tell equal ones."""
+    none = F.expr("cast(array() as array<map<string,string>>)")
+    tagged = F.transform(F.concat(F.coalesce(a, none), F.coalesce(b, none)), lambda r: F.struct(F.to_json(F.array_sort(F.map_entries(r))).alias("k"), r.alias("r")))
+    once = F.filter(tagged, lambda x, i: F.array_position(F.transform(tagged, lambda y: F.coalesce(y["k"], F.lit(""))), F.coalesce(x["k"], F.lit(""))) == i + 1)
+    return F.when(a.isNotNull() | b.isNotNull(), F.transform(once, lambda x: x["r"]))
+
+
 def apply_merges(contexts: DataFrame, plan: DataFrame, now: int) -> DataFrame:
     """Contexts after a disjoint plan: the canonical one takes the longer texts, missing facts, the support and the
     lineage; the merged one is marked and ends."""
@@ -260,8 +269,7 @@ def apply_merges(contexts: DataFrame, plan: DataFrame, now: int) -> DataFrame:
         "support_count": F.col("support_count") + F.greatest(F.lit(1), m("support_count")),
         "confidence": F.least(F.lit(1.0), F.greatest("confidence", m("confidence")) + 0.03),
         "last_seen_at": F.greatest("last_seen_at", m("last_seen_at"), F.lit(now)),
-        # maps have no equality in Spark: lists of references are joined as they are
-        "source_refs": F.concat(F.coalesce("source_refs", m("source_refs")), F.coalesce(F.when(F.col("source_refs").isNotNull(), m("source_refs")), F.expr("cast(array() as array<map<string,string>>)"))) if "source_refs" in has else None,
+        "source_refs": united(F.col("source_refs"), m("source_refs")) if "source_refs" in has else None,
         "merged_from": F.array_sort(F.array_union(F.coalesce("merged_from", none), F.array_union(F.array(m("id")), F.coalesce(m("merged_from"), none)))) if "merged_from" in has else None,
     }
     closed = F.col("gone").isNotNull()

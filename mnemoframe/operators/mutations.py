@@ -140,7 +140,7 @@ def merge_entities(entities: DataFrame, involves: DataFrame, pairs: DataFrame, n
     if "merged_from" in entities.columns:
         changes["merged_from"] = F.when(F.col("_merged").isNotNull(), F.array_union(F.coalesce("merged_from", none), F.col("_merged"))).otherwise(F.col("merged_from"))
     new = out.select(*[changes[c].alias(c) if c in changes else F.col(c) for c in entities.columns])
-    mapping = canonical_ids(new.select("id", "status", "canonical_id"), transitive=True, rounds=3)
+    mapping = canonical_ids(new.select("id", "status", "canonical_id"), transitive=True)
     traces = pairs.select(F.col("merged_id").alias("source_id"), F.col("canonical_id").alias("target_id"), F.col("reason").alias("merge_reason"), F.col("score").alias("similarity_score"), F.lit(now).alias("merged_at"), F.lit("v1").alias("strategy_version"))
     return new, relink_entities(involves, mapping, now), traces
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import cosine, recency
 from ..functions.text import joined, lexical_score, text
+from ..sources.shared import written
 
 WEIGHTS = {"temporal": 0.10, "entity": 0.30, "semantic": 0.35, "state": 0.15, "reference": 0.10}
 LIMITS = {"temporal": 5, "entity": 8, "semantic": 8, "state": 5, "reference": 5}
@@ -48,21 +49,59 @@ def entity_sets(events: DataFrame, involves: DataFrame) -> DataFrame:
     return events.join(held, "id", "left").select("id", F.coalesce("_edges", own).alias("entities"), _now().alias("at"))
 
 
-def entity(queries: DataFrame, events: DataFrame, involves: DataFrame, limit: int = LIMITS["entity"]) -> DataFrame:
-    """Jaccard of entity sets. Events of one set score alike, so sets are joined, each with its newest few events."""
-    sets = entity_sets(events, involves).filter("size(entities) > 0")
+POPULAR, WIDEST = 64, 6
+
+
+def entity(queries: DataFrame, events: DataFrame, involves: DataFrame, limit: int = LIMITS["entity"], popular: int = POPULAR, widest: int = WIDEST) -> DataFrame:
+    """Jaccard of entity sets: the best ``limit`` of each query, by score, recency, id.
+
+    Events of one set score alike, so sets are compared, each with its newest
+    few events. An entity of more than ``popular`` sets is popular. Sets that
+    share another entity meet there. A candidate that shares only the popular
+    entities S has a score fixed by its size, so of each (S, size) the newest
+    few suffice: whatever is left out has as many better ones in its group.
+    Sets with more than ``widest`` popular entities have too many subsets; they
+    meet through each of their entities.
+    """
+    few = limit + 1
+    sets = entity_sets(events, involves).filter("size(entities) > 0").withColumn("at", F.coalesce("at", F.lit(0)))
     newest = Window.partitionBy("entities").orderBy(F.desc("at"), "id")
-    groups = sets.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= limit + 1).groupBy("entities").agg(F.collect_list(F.struct("id", "at")).alias("members"))
+    groups = sets.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= few).groupBy("entities").agg(F.array_sort(F.collect_list(F.struct((-F.col("at")).alias("back"), "id"))).alias("members"))
+    groups = written(groups, "entity-sets")
     asked = entity_sets(queries, involves).filter("size(entities) > 0")
-    shapes = asked.select("entities").distinct().select(F.col("entities").alias("q"), F.explode("entities").alias("e"))
-    pairs = shapes.join(groups.select("entities", F.explode("entities").alias("e")), "e").select("q", "entities").distinct()
-    score = F.size(F.array_intersect("q", "entities")) / F.size(F.array_union("q", "entities"))
-    # the best few sets of a query's set hold its best events
-    ranked = pairs.join(groups, "entities").withColumn("score", score)
-    best = Window.partitionBy("q").orderBy(F.desc("score"), F.desc(F.col("members")[0]["at"]))
-    ranked = ranked.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= limit + 1).drop("_r")
-    found = asked.select(F.col("id").alias("query_id"), F.col("entities").alias("q")).join(ranked, "q").select("query_id", "score", F.explode("members").alias("m"))
-    found = found.select("query_id", F.col("m.id").alias("cand_id"), F.col("m.at").alias("at"), "score").filter("cand_id <> query_id")
+    each = groups.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n"))
+    often = written(each.filter(F.col("n") > popular).select("e"), "popular-entities")
+
+    def parted(shapes: DataFrame) -> DataFrame:
+        """``shared``: the popular entities of each set, sorted; ``wide``: too many for subsets."""
+        held = shapes.select("entities", F.explode("entities").alias("e")).join(often, "e").groupBy("entities").agg(F.array_sort(F.collect_list("e")).alias("shared"))
+        out = shapes.join(held, "entities", "left").withColumn("shared", F.coalesce("shared", F.expr("cast(array() as array<string>)")))
+        return out.withColumn("wide", F.size("shared") > widest)
+
+    q, c = parted(asked.select("entities").distinct()), parted(groups.select("entities"))
+    side = lambda rows, column, name: rows.select(F.col("entities").alias(name), F.explode(column).alias("e"))
+    rare = F.array_except("entities", "shared")
+    met = side(q, rare, "q").join(side(c, rare, "c"), "e")
+    met = met.unionByName(side(q.filter("wide"), F.col("shared"), "q").join(side(c, F.col("shared"), "c"), "e"))
+    met = met.unionByName(side(q.filter("not wide"), F.col("shared"), "q").join(side(c.filter("wide"), F.col("shared"), "c"), "e"))
+    pairs = met.select("q", "c").distinct()
+    score = F.size(F.array_intersect("q", "c")) / F.size(F.array_union("q", "c"))
+    ranked = pairs.withColumn("score", score).join(groups.withColumnRenamed("entities", "c"), "c")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("members")[0])
+    ranked = ranked.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= few).select("q", "score", F.explode("members").alias("m"))
+
+    subsets = F.expr("transform(sequence(1, shiftleft(1, size(shared)) - 1), b -> filter(shared, (x, i) -> shiftright(b, i) % 2 = 1))")
+    parts = lambda rows: rows.filter("not wide and size(shared) > 0").withColumn("s", F.explode(subsets))
+    pool = parts(c).join(groups, "entities").select("s", F.size("entities").alias("size"), F.explode("members").alias("m"))
+    pool = pool.withColumn("_r", F.row_number().over(Window.partitionBy("s", "size").orderBy("m"))).filter(F.col("_r") <= few).drop("_r")
+    alike = parts(q).select(F.col("entities").alias("q"), "s").join(pool, "s")
+    alike = alike.select("q", (F.size("s") / (F.size("q") + F.col("size") - F.size("s"))).alias("score"), "m")
+
+    found = ranked.unionByName(alike).groupBy("q", "m").agg(F.max("score").alias("score"))
+    first = Window.partitionBy("q").orderBy(F.desc("score"), "m")
+    found = found.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= few).drop("_r")
+    found = asked.select(F.col("id").alias("query_id"), F.col("entities").alias("q")).join(found, "q")
+    found = found.select("query_id", F.col("m.id").alias("cand_id"), (-F.col("m.back")).alias("at"), "score").filter("cand_id <> query_id")
     return _out(_top(found, limit, F.desc("score"), F.desc("at"), F.asc("cand_id")), "entity")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import event_text, lexical_score, text
+from ..sources.shared import written
 
 
 def by_id(table: DataFrame, key: str, column: str = "id") -> DataFrame:
@@ -104,12 +105,21 @@ def list_episodes(episodes: DataFrame, written: DataFrame, search: str = "", buc
     return out.orderBy("timestamp", "id").limit(limit)
 
 
-def canonical_ids(entities: DataFrame, transitive: bool = False, rounds: int = 20) -> DataFrame:
-    """(id, canonical): where a merged entity points, one hop or to the end of the chain."""
+def canonical_ids(entities: DataFrame, transitive: bool = False) -> DataFrame:
+    """(id, canonical): where a merged entity points, one hop or to the end of the chain.
+
+    Each round doubles the hops, until nothing moves; ids that point to one
+    another in a circle are an error."""
     point = F.when((F.col("status") == "merged") & (text("canonical_id") != ""), F.col("canonical_id"))
     out = entities.select("id", F.coalesce(point, F.col("id")).alias("canonical"))
-    for _ in range(rounds if transitive else 0):
+    for done in range(64 if transitive else 0):
+        out = written(out, "canonical-ids")
         hop = out.select(F.col("id").alias("canonical"), F.col("canonical").alias("next"))
+        moved = out.join(hop.filter("canonical <> next"), "canonical")
+        if moved.isEmpty():
+            break
+        if done == 63:
+            raise ValueError("canonical ids point in a circle")
         out = out.join(hop, "canonical", "left").select("id", F.coalesce("next", "canonical").alias("canonical"))
     return out
 

@@ -1,8 +1,8 @@
 """BM25 search: over documents directly, or over a maintained index.
 
 A query needs only its own terms' document frequencies and the mean length, so
-the direct form makes two narrow scans and no shuffle: one aggregates a row of
-statistics, one scores and keeps the best.
+the direct form reads the texts once, keeps each document's length and counts of
+the query's terms, and scores from these: no shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import text, tokens
+from ..sources.shared import written
 
 K1, B = 1.5, 0.75
 
@@ -34,6 +35,11 @@ def _times(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term)).cast("double")
 
 
+def _cut(docs: DataFrame, columns: list[Column], text_expr: Column | str, cut) -> DataFrame:
+    """The columns and ``words``, cut once: a filter or a projection is not pushed through the generator and so cannot repeat the cutting."""
+    return docs.select(*columns, F.explode(F.array(cut(text_expr))).alias("words"))
+
+
 def bm25(docs: DataFrame, query: str, top_k: int | None = 5, id_col: str = "id", text_expr: Column | str = "text", recency: str | None = None, cut=tokens) -> DataFrame:
     """(id, score): Okapi with k1 1.5 and b 0.75, positive scores only, best first.
 
@@ -42,24 +48,31 @@ def bm25(docs: DataFrame, query: str, top_k: int | None = 5, id_col: str = "id",
     """
     terms = query_terms(docs.sparkSession, query, cut)
     schema = [F.col(id_col).alias("id"), *([F.col(recency).alias("recency")] if recency else [])]
-    words = docs.select(*schema, cut(text_expr).alias("words"))
     if not terms or (top_k is not None and top_k <= 0):
-        return words.limit(0).select("id", F.lit(0.0).alias("score"))
+        return docs.limit(0).select(*schema[:1], F.lit(0.0).alias("score"))
     distinct = sorted(set(terms))
-    stats = words.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("words")), F.lit(0.0)).alias("avg"), *[F.count_if(F.array_contains("words", t)).alias(f"df{i}") for i, t in enumerate(distinct)]).first()
-    rows = words.filter(F.arrays_overlap("words", F.array(*[F.lit(t) for t in distinct]))).select(*[c for c in words.columns if c != "words"], F.size("words").cast("double").alias("length"), F.array(*[_times("words", t) for t in distinct]).alias("tf"))
+    counts = _cut(docs, schema, text_expr, cut).select(*[c for c in ("id", "recency")[: len(schema)]], F.size("words").alias("length"), F.array(*[_times("words", t) for t in distinct]).alias("tf"))
+    counts = written(counts, "term-counts")
+    stats = counts.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(distinct))]).first()
     score = F.lit(0.0)
     for i, t in enumerate(distinct):
-        score = score + terms.count(t) * _score(F.col("tf")[i], F.col("length"), stats["avg"], _weight(stats["n"], stats[f"df{i}"]))
-    scored = rows.withColumn("score", score).filter("score > 0")
+        score = score + terms.count(t) * _score(F.col("tf")[i], F.col("length").cast("double"), stats["avg"], _weight(stats["n"], stats[f"df{i}"]))
+    scored = counts.withColumn("score", score).filter("score > 0")
     order = [F.desc("score"), *([F.desc("recency")] if recency else []), F.asc("id")]
     return (scored if top_k is None else scored.orderBy(*order).limit(top_k)).select("id", "score")
 
 
 def build_index(docs: DataFrame, id_col: str = "id", text_expr: Column | str = "text", cut=tokens) -> dict[str, DataFrame]:
-    """postings(id, term, tf) and lengths(id, length)."""
-    words = docs.select(F.col(id_col).alias("id"), cut(text_expr).alias("words"))
-    return {"postings": words.select("id", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), "lengths": words.select("id", F.size("words").alias("length"))}
+    """postings(id, term, tf, length) and lengths(id, length)."""
+    words = _cut(docs, [F.col(id_col).alias("id")], text_expr, cut).select("id", F.size("words").alias("length"), "words")
+    postings = words.select("id", "length", F.explode("words").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    return {"postings": postings.select("id", "term", "tf", "length"), "lengths": words.select("id", "length")}
+
+
+def write_index(index: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The index as tables in the shared folder, postings ranged by term, so a search reads its terms' row groups."""
+    postings = index["postings"].repartitionByRange("term").sortWithinPartitions("term")
+    return {"postings": written(postings, "postings"), "lengths": written(index["lengths"], "lengths")}
 
 
 def remove_from_index(index: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
@@ -91,7 +104,7 @@ def search_index(index: dict[str, DataFrame], query: str, top_k: int | None = 5,
     df = {r["term"]: r["df"] for r in hit.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each query term
     weights = spark.createDataFrame([(t, float(terms.count(t) * _weight(stats["n_docs"], n))) for t, n in df.items()], "term string, idf double")
     part = F.col("idf") * (F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * (1.0 - B + B * F.col("length") / (stats["avgdl"] or 1.0)))
-    scored = hit.join(F.broadcast(weights), "term").join(index["lengths"], "id").groupBy("id").agg(F.sum(part).alias("score")).filter("score > 0")
+    scored = hit.join(F.broadcast(weights), "term").groupBy("id").agg(F.sum(part).alias("score")).filter("score > 0")
     return scored if top_k is None else scored.orderBy(F.desc("score"), "id").limit(top_k)
 
 

@@ -18,7 +18,7 @@ FROM events
 """
 _CONTEXTS = """
 SELECT concat('c', doc_id) AS id, 'context' AS context_type, CASE lang WHEN 'en' THEN 'situation' WHEN 'fr' THEN 'constraint' ELSE 'environment' END AS subtype,
-  substr(text, 1, 60) AS summary, substr(text, 1, 200) AS description, source AS subject, substr(text, 1, 60) AS condition, '' AS applies_when,
+  concat(source, ' ', lang, ' ', doc_id) AS summary, text AS description, source AS subject, concat('read from ', source) AS condition, '' AS applies_when,
   CAST(0.2 + (doc_id % 9) / 10.0 AS DOUBLE) AS confidence, 1 + doc_id % 5 AS support_count, 1700000000 + doc_id * 3600 AS last_seen_at, 1700000000 + doc_id * 3600 AS updated_at,
   1700000000 + doc_id * 1800 AS created_at, 1700000000 + doc_id * 1800 AS valid_from, CAST(NULL AS BIGINT) AS valid_to, CASE WHEN doc_id % 9 = 0 THEN 'deprecated' ELSE 'active' END AS status, doc_id AS n
 FROM documents
@@ -34,11 +34,11 @@ UNION ALL SELECT concat('e', event_id), concat('kind_', event_type), 1, {epoch},
 """
 _IN_REL = """
 SELECT concat('e', e.event_id) AS event_id, concat('c', d.doc_id) AS context_id, CAST(0.3 + (e.event_id % 7) / 10.0 AS DOUBLE) AS confidence, CAST(1.0 + (e.event_id % 4) AS DOUBLE) AS weight, {epoch} AS updated_at
-FROM events e JOIN documents d ON d.doc_id = e.event_id % 150
+FROM events e CROSS JOIN (SELECT count(*) AS n FROM documents) t JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents) d ON d.place = e.event_id % t.n
 """
 _RELATION = """
 SELECT concat('e', event_id) AS from_id, concat('e', event_id + 1) AS to_id, CASE event_id % 4 WHEN 0 THEN '意义更新' WHEN 1 THEN '补充' WHEN 2 THEN 'merge' ELSE '时序相邻' END AS relation_type,
-  CASE event_id % 2 WHEN 0 THEN 'supersedes' ELSE 'co_recall' END AS operation, CAST(0.5 + (event_id % 5) / 10.0 AS DOUBLE) AS confidence, {epoch} AS created_at, {epoch} AS updated_at FROM events WHERE event_id % 3 = 0
+  CASE event_id % 2 WHEN 0 THEN 'supersedes' ELSE 'co_recall' END AS operation, CAST(0.5 + (event_id % 5) / 10.0 AS DOUBLE) AS confidence, {epoch} AS created_at, {epoch} AS updated_at FROM events
 """
 _STATE = """
 SELECT concat('e', event_id) AS id, {epoch} AS timestamp, concat('user_', user_id) AS entity, event_type AS attribute, CAST({k} AS {text}) AS value_after, CAST(NULL AS {text}) AS value_before FROM events
@@ -51,7 +51,7 @@ _DUCK = {"epoch": "CAST(floor(epoch(ts)) AS BIGINT)", "k": "CAST(json_extract_st
 def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The graph's tables as DataFrames."""
     read = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("events", "documents")}
-    return {name: spark.sql(body.format(**_SPARK).replace("FROM events", "FROM {events}").replace("JOIN documents", "JOIN {documents}").replace("FROM documents", "FROM {documents}"), **read) for name, body in _PARTS.items()}
+    return {name: spark.sql(body.format(**_SPARK).replace("FROM events", "FROM {events}").replace("FROM documents", "FROM {documents}"), **read) for name, body in _PARTS.items()}
 
 
 def ctes(*names: str) -> str:

@@ -38,7 +38,7 @@ def bm25_search(spark, d):
 
 
 def bm25_index(spark, d):
-    index = search.build_index(_table(spark, d, "documents"), "doc_id", "text")
+    index = search.write_index(search.build_index(_table(spark, d, "documents"), "doc_id", "text"))
     return search.search_index(index, SEARCH, None).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -51,7 +51,7 @@ def bm25_index_update(spark, d):
 
 
 def document_frequency(spark, d):
-    return search.document_frequency(search.build_index(_table(spark, d, "documents"), "doc_id", "text"))
+    return search.corpus_frequency([_table(spark, d, "documents")])
 
 
 def recent_events(spark, d):
@@ -248,7 +248,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _TOKENS = "regexp_extract_all(lower({x}), '[a-z0-9_]+')"
-_GRAMS = "list_distinct(list_concat(regexp_extract_all(lower({x}), '[a-z0-9_]+'), [substr(regexp_replace(lower({x}), '\\s+', '', 'g'), CAST(i AS BIGINT), 2) for i in range(1, greatest(len(regexp_replace(lower({x}), '\\s+', '', 'g')), 1))]))"
+_PACKED = "string_split(regexp_replace(lower({x}), '\\s+', '', 'g'), '')"
+_GRAMS = f"list_distinct(list_concat(regexp_extract_all(lower({{x}}), '[a-z0-9_]+'), list_filter([z[1] || z[2] for z in list_zip({_PACKED}, {_PACKED}[2:])], lambda g: g IS NOT NULL)))"
 _BM25 = f"""
 WITH d AS (SELECT doc_id, {_TOKENS.format(x="text")} AS w FROM documents),
 q AS (SELECT t, count(*) AS m FROM (SELECT unnest({_TOKENS.format(x=f"'{SEARCH}'")}) AS t) GROUP BY t),
@@ -345,6 +346,26 @@ _CHANNELS = " UNION ALL ".join(f"SELECT query_id, cand_id, '{c}' AS c, {i} AS o,
 ORACLES["recall_fused"] = f"""{ctes("events")}, u AS ({_CHANNELS}), f AS (SELECT query_id, cand_id, sum(w * s) AS a, max(s) AS m, arg_max(c, {{'s': s, 'o': -o}}) AS channel, string_agg(c, ',' ORDER BY c) AS channels FROM u WHERE query_id <> cand_id GROUP BY query_id, cand_id),
   k AS (SELECT f.*, e.last_active AS t FROM f JOIN g_events e ON e.id = cand_id WHERE round(a, 9) >= 0.12 AND status NOT IN ('merged', 'archived'))
   SELECT query_id, cand_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(a, 6) DESC, m DESC, t DESC, cand_id) AS INTEGER) AS rank, channel, round(a, 5) AS aggregate_score, channels FROM k QUALIFY rank <= 10"""
+_FUSED = ORACLES["recall_fused"].rpartition("SELECT query_id")[0]
+ORACLES["relation_decisions"] = f"""{_FUSED}, c AS (SELECT query_id, cand_id, round(a, 6) AS agg, m, t, string_split(channels, ',') AS ch FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(a, 6) DESC, m DESC, t DESC, cand_id) <= 10),
+  {ctes("states", "in_rel").removeprefix("WITH ")}, s AS (SELECT id, timestamp AS at, entity, attribute, coalesce(value_after, '') AS after FROM g_states WHERE entity <> '' AND attribute <> ''),
+  up AS (SELECT DISTINCT query_id, cand_id, o.after AS before, n.after FROM c JOIN s n ON n.id = query_id JOIN s o ON o.id = cand_id AND o.entity = n.entity AND o.attribute = n.attribute WHERE (o.at < n.at OR (o.at = n.at AND o.id < n.id)) AND n.after <> '' AND n.after <> o.after),
+  ref AS (SELECT query_id, cand_id FROM c JOIN g_events q ON q.id = query_id JOIN g_events e ON e.id = cand_id WHERE q.parent_event_id = cand_id OR e.parent_event_id = query_id),
+  sh AS (SELECT DISTINCT query_id, cand_id FROM c JOIN g_in_rel x ON x.event_id = query_id JOIN g_in_rel y ON y.event_id = cand_id AND y.context_id = x.context_id),
+  r AS (SELECT c.*, up.before, up.after, CASE WHEN up.query_id IS NOT NULL THEN 'supersedes' WHEN ref.query_id IS NOT NULL THEN 'co_recall' WHEN sh.query_id IS NULL AND (list_contains(ch, 'reference') OR list_contains(ch, 'state')) THEN 'skip' END AS operation
+    FROM c LEFT JOIN up USING (query_id, cand_id) LEFT JOIN ref USING (query_id, cand_id) LEFT JOIN sh USING (query_id, cand_id)),
+  b AS (SELECT *, row_number() OVER (PARTITION BY query_id, operation ORDER BY CASE WHEN list_contains(ch, 'reference') THEN 5 ELSE 4 END DESC, agg DESC, m DESC, t DESC, cand_id) AS n FROM r WHERE operation IS NOT NULL),
+  d AS (SELECT query_id, cand_id, operation, CAST(CASE operation WHEN 'supersedes' THEN 0.95 WHEN 'co_recall' THEN 0.9 ELSE 0.0 END AS DOUBLE) AS confidence, coalesce(before, '') AS value_before, coalesce(after, '') AS value_after FROM b WHERE operation <> 'skip' OR n <= 5)
+  SELECT query_id, cand_id, operation, confidence, CASE WHEN operation = 'skip' THEN 'skipped' WHEN count(*) FILTER (WHERE operation <> 'skip') OVER (PARTITION BY query_id ORDER BY confidence DESC, cand_id ROWS UNBOUNDED PRECEDING) <= 3 THEN 'executed' ELSE 'relation_budget_exhausted' END AS status, value_before, value_after FROM d"""
+# greedy matching by the serial rule: pair after pair, best first, with the list of used ids
+ORACLES["merge_plan"] = f"""WITH RECURSIVE v AS ({_VEC}), n AS (SELECT a.id AS x, b.id AS y, a.vec_id AS i, b.vec_id AS j, greatest(0.0, least(1.0, {_PAIR})) AS s FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE a.status = 'active' AND b.status = 'active'),
+  top AS (SELECT * FROM n WHERE s >= 0.2 QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, j DESC, y) <= 8),
+  c AS (SELECT *, {{'s': 1 + i % 3, 'c': i, 'i': x}} >= {{'s': 1 + j % 3, 'c': j, 'i': y}} AS first FROM top WHERE i % 3 = 0 OR j % 3 = 0),
+  p AS (SELECT DISTINCT CASE WHEN first THEN x ELSE y END AS canonical_id, CASE WHEN first THEN y ELSE x END AS merged_id, round(least(1.0, s + 0.05 * exp(-abs(i - j) / 172800.0)), 6) AS score FROM c),
+  o AS (SELECT *, row_number() OVER (ORDER BY score DESC, canonical_id, merged_id) AS n FROM p WHERE score >= 0.1),
+  g AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, false AS taken UNION ALL
+    SELECT o.n, CASE WHEN list_has_any(used, [canonical_id, merged_id]) THEN used ELSE list_concat(used, [canonical_id, merged_id]) END, NOT list_has_any(used, [canonical_id, merged_id]) FROM g JOIN o ON o.n = g.n + 1)
+  SELECT canonical_id, merged_id, score FROM g JOIN o USING (n) WHERE taken"""
 ORACLES["candidate_contexts"] = f"""{ctes("contexts")}, p AS (SELECT *, summary || ' ' || description AS x FROM g_contexts WHERE status = 'active' ORDER BY last_seen_at DESC, id LIMIT 64),
   l AS (SELECT *, {_JACCARD} AS lex FROM (SELECT *, {_GRAMS.format(x="x")} AS a, {_GRAMS.format(x="'the and thon'")} AS b FROM p)),
   s AS (SELECT *, lex > 0 AS hit, CASE WHEN lex > 0 THEN lex + 0.15 * confidence END AS score FROM l),
