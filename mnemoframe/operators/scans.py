@@ -91,9 +91,9 @@ def list_contexts(contexts: DataFrame, limit: int = 50, query: str = "", statuse
     return _listed(contexts, F.concat_ws(" ", text("summary"), text("description")), query, statuses, "last_seen_at", limit)
 
 
-def list_episodes(episodes: DataFrame, written: DataFrame, search: str = "", bucket: str = "", pending_only: bool = False, written_only: bool = False, limit: int = 100) -> DataFrame:
-    """Episodes with ``written``; a substring filter over content and metadata, one bucket, or one of both states."""
-    done = written.select(F.col("episode_id").alias("id")).distinct().withColumn("written", F.lit(True))
+def list_episodes(episodes: DataFrame, stored: DataFrame, search: str = "", bucket: str = "", pending_only: bool = False, written_only: bool = False, limit: int = 100) -> DataFrame:
+    """Episodes with ``written`` (whether ``stored`` has their id); a substring filter over content and metadata, one bucket, or one of both states."""
+    done = stored.select(F.col("episode_id").alias("id")).distinct().withColumn("written", F.lit(True))
     out = episodes.join(done, "id", "left").withColumn("written", F.coalesce("written", F.lit(False)))
     if search.strip():
         needle = F.lit(search.strip().lower())
@@ -105,21 +105,21 @@ def list_episodes(episodes: DataFrame, written: DataFrame, search: str = "", buc
     return out.orderBy("timestamp", "id").limit(limit)
 
 
-def canonical_ids(entities: DataFrame, transitive: bool = False) -> DataFrame:
+def canonical_ids(entities: DataFrame, transitive: bool = False, rounds: int = 64) -> DataFrame:
     """(id, canonical): where a merged entity points, one hop or to the end of the chain.
 
-    Each round doubles the hops, until nothing moves; ids that point to one
-    another in a circle are an error."""
+    Each round doubles the hops, until nothing moves; what still moves after
+    ``rounds`` (ids that point to one another in a circle always do) is an error."""
     point = F.when((F.col("status") == "merged") & (text("canonical_id") != ""), F.col("canonical_id"))
     out = entities.select("id", F.coalesce(point, F.col("id")).alias("canonical"))
-    for done in range(64 if transitive else 0):
+    for done in range(rounds + 1 if transitive else 0):
         out = written(out, "canonical-ids")
         hop = out.select(F.col("id").alias("canonical"), F.col("canonical").alias("next"))
         moved = out.join(hop.filter("canonical <> next"), "canonical")
         if moved.isEmpty():
             break
-        if done == 63:
-            raise ValueError("canonical ids point in a circle")
+        if done == rounds:
+            raise ValueError("canonical ids did not settle")
         out = out.join(hop, "canonical", "left").select("id", F.coalesce("next", "canonical").alias("canonical"))
     return out
 
