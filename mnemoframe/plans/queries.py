@@ -15,6 +15,7 @@ from ..functions import measures as M
 from ..functions import text as T
 from ..operators import consolidation, contexts, joins, mutations, patterns, recall, relations, reports, scans, search, task_recall
 from ..sources.lines import flatten_json
+from . import lookups
 from .demo import ctes, graph
 
 NOW = 1_760_000_000
@@ -379,3 +380,5 @@ ORACLES["turn_overlap"] = f"""WITH t AS (SELECT a.conv_id, a.turn, a.text AS p,
   SELECT conv_id, turn, round(CASE WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 WHEN len(x) <= len(y) AND contains(y, x) THEN len(x) / CAST(len(y) AS DOUBLE) WHEN len(x) > len(y) AND contains(x, y) THEN len(y) / CAST(len(x) AS DOUBLE) ELSE {_JACCARD} END, 6) AS overlap,
   round(len(list_intersect(c, d)) / CAST(len(d) AS DOUBLE), 6) AS characters FROM n"""
 ORACLES["pattern_sections"] = """SELECT CAST(doc_id AS VARCHAR) AS entity_id, 'section' AS mode, length('intro' || chr(10) || '## First ' || lang || chr(10) || text || chr(10) || '## Second' || chr(10) || source) AS total_chars, 1 AS n_sections, '## First ' || lang AS heading FROM documents"""
+QUERIES |= lookups.QUERIES
+ORACLES |= lookups.ORACLES
