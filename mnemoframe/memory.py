@@ -118,10 +118,10 @@ class Memory:
         self.space.write("event_relation", mutations.upsert_relations(self.table("event_relation"), conform(edges, "event_relation")))
         return done
 
-    def consolidate(self, now: int, block=None, dry_run: bool = False) -> DataFrame:
-        """Merges events, ages contexts, archives; returns the counts."""
+    def consolidate(self, now: int, block=None, dry_run: bool = False, focus: list[str] | None = None, max_pairs: int | None = None) -> DataFrame:
+        """Merges events of the recent pool (or within blocks), ages contexts, archives; returns the counts."""
         events = self.table("events").withColumns({c: F.get_json_object("payload", f"$.{c}") for c in ("session_id", "episode_id")})
-        out = consolidation.consolidate(events, self.table("contexts"), now, block, dry_run)
+        out = consolidation.consolidate(events, self.table("contexts"), now, block, dry_run, focus, max_pairs)
         counts = out["report"].collect()[0]
         if not dry_run:
             if counts["merged"]:

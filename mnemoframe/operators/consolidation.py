@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import cosine, merge_reason, merge_similarity
+from ..functions.measures import clamp, dot, merge_reason, merge_similarity, norm
 from ..functions.text import text
 from .contexts import disjoint_plan
 
-NEAR, TOP_K, GATE, WINDOW, ARCHIVE = 0.80, 8, 0.78, 172800, 7776000
+NEAR, TOP_K, GATE, WINDOW, ARCHIVE, POOL = 0.80, 8, 0.78, 172800, 7776000, 300
 
 
 def reference_time(events: DataFrame) -> DataFrame:
@@ -30,28 +30,41 @@ def same_scope(a: str, b: str) -> Column:
     return F.when(sessions, s(a, "session_id") == s(b, "session_id")).when(episodes, s(a, "episode_id") == s(b, "episode_id")).otherwise(F.lit(False))
 
 
-def near_pairs(events: DataFrame, block: Column | None = None, threshold: float = NEAR, top_k: int = TOP_K) -> DataFrame:
-    """(event, cand, similarity): of each event the ``top_k`` most similar others, not merged or archived, of its block.
+def recent_pool(events: DataFrame, now: int, focus: list[str] | None = None, window: int = WINDOW, limit: int = POOL) -> DataFrame:
+    """What a merge run compares: the newest ``limit`` events of the window, or with ``focus`` the newest active ones."""
+    held = events.filter("status = 'active'") if focus else events.filter(F.col("last_active") >= now - window)
+    return held.orderBy(F.desc("last_active"), "id").limit(limit)
+
+
+def near_pairs(events: DataFrame, block: Column | None = None, threshold: float = NEAR, top_k: int = TOP_K, focus: list[str] | None = None) -> DataFrame:
+    """(a, b, similarity, rank): of each event (or those in ``focus``) the ``top_k`` most similar others, not merged or archived, of its block.
 
     ``block`` keys what is compared (session, episode, cluster); without one
-    every pair is, which suits the recent pool only.
+    every pair is, which suits the recent pool only. Only ids, vectors and times
+    are paired; the rows join the pairs that stay.
     """
     alive = events.filter(~F.col("status").isin("merged", "archived") & (F.size("embedding") > 0))
     keyed = alive.withColumn("_b", block if block is not None else F.lit(0))
-    side = lambda n: keyed.select("_b", F.struct(*[F.col(c) for c in events.columns]).alias(n))
-    pairs = side("a").join(side("b"), "_b").filter("a.id <> b.id").withColumn("similarity", cosine("a.embedding", "b.embedding")).filter(F.col("similarity") >= threshold)
-    rank = F.row_number().over(Window.partitionBy("a.id").orderBy(F.desc("similarity"), F.desc(F.coalesce("b.last_active", "b.timestamp")), "b.id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= top_k).select("a", "b", "similarity", "rank")
-
-
-def merge_plan(events: DataFrame, block: Column | None = None, gate: float = GATE, near: float = NEAR, same_scope_only: bool = False, max_pairs: int | None = None, judge=None) -> DataFrame:
+    side = lambda n: keyed.select("_b", F.col("id").alias(f"{n}_id"), F.col("embedding").alias(f"{n}_v"), norm("embedding").alias(f"{n}_n"), F.coalesce("last_active", "timestamp").alias(f"{n}_at"))
+    asked = side("a").filter(F.col("a_id").isin(focus)) if focus else side("a")
+    length = F.col("a_n") * F.col("b_n")
+    near = F.when(length > 0, clamp(dot("a_v", "b_v") / length)).otherwise(F.lit(0.0))
+    pairs = asked.join(side("b"), "_b").filter("a_id <> b_id").select("a_id", "b_id", "b_at", near.alias("similarity")).filter(F.col("similarity") >= threshold)
+    rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("similarity"), F.desc("b_at"), "b_id"))
+    pairs = pairs.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+    rows = lambda n: events.select(F.col("id").alias(f"{n}_id"), F.struct(*[F.col(c) for c in events.columns]).alias(n))
+    return pairs.join(rows("a"), "a_id").join(rows("b"), "b_id").select("a", "b", "similarity", "rank")
+
+
+def merge_plan(events: DataFrame, block: Column | None = None, gate: float = GATE, near: float = NEAR, same_scope_only: bool = False, max_pairs: int | None = None, judge=None, focus: list[str] | None = None) -> DataFrame:
     """Disjoint (canonical_id, merged_id, score, similarity, reason): which events to merge.
 
     Two aggregated events never merge; one only within its scope. The canonical
     one has more support, then was created later. ``judge`` may filter and
-    rescore the pairs before matching.
+    rescore the pairs before matching. With ``focus`` only these events look for
+    a partner.
     """
-    pairs = near_pairs(events, block, near)
+    pairs = near_pairs(events, block, near, focus=focus)
     scope = same_scope("a", "b") if {"session_id", "episode_id"} <= set(events.columns) else F.lit(False)
     left, right = aggregated("a."), aggregated("b.")
     pairs = pairs.filter(~(left & right) & (~(left | right) | scope) & (scope if same_scope_only else F.lit(True)))
@@ -120,11 +133,15 @@ def unexpired(episodes: DataFrame, now: int, ttl: int = 3600) -> DataFrame:
     return episodes.filter(~(F.col("timestamp") < now - ttl))
 
 
-def consolidate(events: DataFrame, contexts: DataFrame, now: int, block: Column | None = None, dry_run: bool = False) -> dict[str, DataFrame]:
-    """Event merges, ageing contexts, archiving: the plan and, unless a dry run, the new tables."""
+def consolidate(events: DataFrame, contexts: DataFrame, now: int, block: Column | None = None, dry_run: bool = False, focus: list[str] | None = None, max_pairs: int | None = None) -> dict[str, DataFrame]:
+    """Event merges, ageing contexts, archiving: the plan and, unless a dry run, the new tables.
+
+    The plan is over the recent pool (see ``recent_pool``), or with ``block``
+    over all events, compared within their blocks.
+    """
     from .contexts import decayed
 
-    plan = merge_plan(events, block)
+    plan = merge_plan(recent_pool(events, now, focus) if block is None else events, block, max_pairs=max_pairs, focus=focus)
     counts = plan.agg(F.count("*").alias("merged")).crossJoin(archivable(events, now)).crossJoin(decayed(contexts, now).agg(F.count_if("changed").alias("decayed")))  # one row each
     if dry_run:
         return {"plan": plan, "report": counts}

@@ -31,7 +31,6 @@ def extraction_metrics(records: DataFrame) -> DataFrame:
     ``records``: route, bucket, n_events, n_contexts, n_subject_events,
     overlap_sum, llm_calls, error, latency_ms. ``scope`` tells which grouping.
     """
-    records.createOrReplaceTempView("_extraction_records")
     return records.sparkSession.sql(
         """
         SELECT CASE WHEN grouping(route) = 0 THEN 'route' WHEN grouping(bucket) = 0 THEN 'bucket' ELSE 'overall' END AS scope, route, bucket,
@@ -40,8 +39,9 @@ def extraction_metrics(records: DataFrame) -> DataFrame:
           coalesce(try_divide(sum(llm_calls), count(*)), 0D) AS llm_call_rate, coalesce(try_divide(sum(n_subject_events), sum(n_events)), 0D) AS subject_rate,
           coalesce(try_divide(sum(overlap_sum), sum(n_contexts)), 0D) AS mean_overlap,
           coalesce(avg(latency_ms), 0D) AS latency_avg, coalesce(percentile(latency_ms, 0.5), 0D) AS latency_p50, coalesce(percentile(latency_ms, 0.95), 0D) AS latency_p95, coalesce(percentile(latency_ms, 0.99), 0D) AS latency_p99
-        FROM _extraction_records GROUP BY GROUPING SETS ((), (route), (bucket))
-        """
+        FROM {records} GROUP BY GROUPING SETS ((), (route), (bucket))
+        """,
+        records=records,
     )
 
 
