@@ -237,6 +237,13 @@ def weakened(contexts: DataFrame, now: int) -> DataFrame:
 
 
 
+def source_refs(source: str, evidence: Column, signal: Column, event_id: Column, at: Column) -> Column:
+    """A list of one reference to where a context comes from; the event's fields only if there is one."""
+    own = F.create_map(F.lit("source"), F.lit(source), F.lit("evidence_span"), text(evidence), F.lit("signal"), text(signal))
+    event = F.create_map(F.lit("event_id"), event_id, F.lit("timestamp"), text(at))
+    return F.array(F.when(event_id.isNotNull(), F.map_concat(own, event)).otherwise(own))
+
+
 def united(a: Column, b: Column) -> Column:
     """Two lists of references in order, each reference once; null if both are. Maps have no equality in Spark, so
     entries sorted by key, as JSON, tell equal ones."""

@@ -154,3 +154,11 @@ def put_patterns(patterns: DataFrame, rows: DataFrame, now: int) -> DataFrame:
 def delete_patterns(patterns: DataFrame, entity_ids: list[str] | None = None) -> DataFrame:
     """Without those of the entities, or of all."""
     return patterns.filter(F.lit(False)) if entity_ids is None else patterns.filter(~F.col("entity_id").isin(entity_ids))
+
+
+def promote_traits(users: DataFrame, traits: DataFrame, rows: DataFrame, events: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(users, traits) after marking events as a user's permanent traits (user_id, event_id): users are created if
+    new, traits of unknown events are left out, known ones keep their creation time."""
+    people = insert_missing(users, rows.select(F.col("user_id").alias("id")), ["id"])
+    known = rows.select("user_id", "event_id").join(events.select(F.col("id").alias("event_id")), "event_id", "left_semi")
+    return people, insert_missing(traits, known.withColumn("t_created", F.lit(now).cast("long")), ["user_id", "event_id"])

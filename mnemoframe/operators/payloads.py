@@ -113,3 +113,17 @@ def event_items(rows: DataFrame, column: str = "payload") -> DataFrame:
     items = rows.select("*", F.posexplode(_list(many)).alias("event_index", "item"))
     some = F.coalesce(*[pick(F.col("item"), k) for k in ("summary", "action", "causality")])
     return items.filter(_is_object(F.col("item")) & some.isNotNull())
+
+
+def signature(summary="summary", action="action", causality="causality") -> Column:
+    """What tells two payloads apart: their trimmed texts; '' if all are blank."""
+    parts = [F.trim(text(x)) for x in (summary, action, causality)]
+    return F.when(F.concat(*parts) != "", F.concat_ws("|", *parts)).otherwise("")
+
+
+def orphan_contexts(rows: DataFrame, column: str = "payload") -> DataFrame:
+    """One row (``context_index``, ``context``, JSON) for each object of an answer's ``orphan_contexts``; what is no list or no object is left out."""
+    given = F.get_json_object(F.col(column), "$.orphan_contexts")
+    listed = F.when(F.ltrim(text(given)).startswith("["), given)
+    items = rows.select("*", F.posexplode(_list(listed)).alias("context_index", "context"))
+    return items.filter(_is_object(F.col("context")))

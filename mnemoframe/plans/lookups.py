@@ -305,3 +305,37 @@ def event_order(spark, d) -> DataFrame:
 def full_patterns(spark, d) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").filter("text is not null").select(F.col("doc_id").cast("string").alias("entity_id"), F.col("text").alias("content"))
     return patterns.recall_patterns(docs, "", "full", 1).select("entity_id", "mode", "total_chars")
+
+
+@_query("SELECT event_id, trim(coalesce(CASE WHEN event_id % 3 > 0 THEN event_type END, '')) || '|' || '|' || CASE WHEN event_id % 3 = 2 THEN 'why' ELSE '' END AS signature FROM events WHERE event_id % 3 > 0 UNION ALL SELECT event_id, '' FROM events WHERE event_id % 3 = 0")
+def payload_signatures(spark, d) -> DataFrame:
+    n = F.col("event_id")
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.when(n % 3 > 0, F.concat(F.lit(" "), "event_type")).alias("summary"), F.lit(" ").alias("action"), F.when(n % 3 == 2, "why").alias("causality"))
+    return rows.select("event_id", payloads.signature().alias("signature"))
+
+
+@_query("SELECT event_id, CAST(i AS INTEGER) AS context_index, event_type || i AS summary FROM events, (VALUES (0), (2)) v(i) WHERE event_id % 3 = 0")
+def orphan_contexts(spark, d) -> DataFrame:
+    item = lambda i: F.concat(F.lit('{"summary": "'), "event_type", F.lit(f'{i}"}}'))
+    n = F.col("event_id")
+    answer = F.when(n % 3 == 0, F.concat(F.lit('{"orphan_contexts": ['), item(0), F.lit(', "text", '), item(2), F.lit("]}"))).when(n % 3 == 1, F.lit('{"orphan_contexts": "none"}')).otherwise(F.lit('{"events": []}'))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", answer.alias("payload"))
+    return payloads.orphan_contexts(rows).select("event_id", "context_index", F.get_json_object("context", "$.summary").alias("summary"))
+
+
+@_query(f"{ctes('events')} SELECT id, CASE WHEN n % 2 = 0 THEN id END AS event_id, CASE WHEN n % 2 = 0 THEN CAST(timestamp AS VARCHAR) END AS at, summary AS evidence_span, CASE WHEN n % 2 = 0 THEN 5 ELSE 3 END AS n_fields FROM g_events")
+def made_source_refs(spark, d) -> DataFrame:
+    e = graph(spark, d)["events"]
+    ref = contexts.source_refs("record", F.col("summary"), F.lit("stated"), F.when(F.col("n") % 2 == 0, F.col("id")), F.col("timestamp"))[0]
+    return e.select("id", ref["event_id"].alias("event_id"), ref["timestamp"].alias("at"), ref["evidence_span"].alias("evidence_span"), F.size(ref).alias("n_fields"))
+
+
+@_query(f"{ctes('events')}, t AS (SELECT DISTINCT 'u' || user_id AS user_id, id AS event_id, CASE WHEN n % 8 = 0 THEN 5 ELSE {NOW} END AS t_created FROM g_events WHERE n % 4 = 0) SELECT user_id, event_id, CAST(t_created AS BIGINT) AS t_created FROM t")
+def promoted_traits(spark, d) -> DataFrame:
+    e = graph(spark, d)["events"]
+    own = lambda rows: rows.select(F.concat(F.lit("u"), "user_id").alias("user_id"), F.col("id").alias("event_id"))
+    known = own(e.filter("n % 8 = 0")).withColumn("t_created", F.lit(5).cast("long"))
+    asked = own(e.filter("n % 4 = 0"))
+    unknown = asked.limit(1).withColumn("event_id", F.lit("nowhere"))
+    users = asked.select(F.col("user_id").alias("id")).limit(0)
+    return mutations.promote_traits(users, known, asked.union(asked).union(unknown), e, NOW)[1]
