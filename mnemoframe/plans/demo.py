@@ -34,7 +34,7 @@ UNION ALL SELECT concat('e', event_id), concat('kind_', event_type), 1, {epoch},
 """
 _IN_REL = """
 SELECT concat('e', e.event_id) AS event_id, concat('c', d.doc_id) AS context_id, CAST(0.3 + (e.event_id % 7) / 10.0 AS DOUBLE) AS confidence, CAST(1.0 + (e.event_id % 4) AS DOUBLE) AS weight, {epoch} AS updated_at
-FROM events e CROSS JOIN (SELECT count(*) AS n FROM documents) t JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents) d ON d.place = e.event_id % t.n
+FROM events e CROSS JOIN (SELECT max(doc_id) + 1 AS n FROM documents) t JOIN (SELECT doc_id FROM documents) d ON d.doc_id = e.event_id % t.n
 """
 _RELATION = """
 SELECT concat('e', event_id) AS from_id, concat('e', event_id + 1) AS to_id, CASE event_id % 4 WHEN 0 THEN '意义更新' WHEN 1 THEN '补充' WHEN 2 THEN 'merge' ELSE '时序相邻' END AS relation_type,
