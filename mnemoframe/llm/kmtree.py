@@ -7,8 +7,11 @@ nearest is opened next. How many leaves are visited is calibrated: for some
 queries the exact neighbours are found over all rows, and visits widen until
 their mean recall reaches the target.
 
-Leaves and visits meet in Spark, large leaves cut into chunks of rows and of
-queries, so neither a crowded leaf nor a popular region becomes one task.
+Rows and visits meet in Spark by cells. A cell is a subtree of at most
+CHUNK_ROWS rows, or a larger leaf; a query travels once to a cell, with the list
+of the leaves it visits there, and at most k hits come back. Larger leaves are
+cut into chunks of rows, popular cells into chunks of queries, so neither a
+crowded leaf nor a popular region becomes one task.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 from .storage import written
 
 FIT_ROWS, BRANCHES, LEAF_SAMPLE, CALIBRATION = 20_000, 12, 24, 128
-CHUNK_ROWS, CHUNK_QUERIES = 20_000, 2_000
+CHUNK_ROWS, CHUNK_QUERIES, BLOCK_QUERIES = 20_000, 20_000, 32
+#: Share of the squared norms by which a product may err; doubles of some thousand dimensions stay far below it.
+SLACK = 1e-9
 
 
 class Tree:
@@ -60,6 +65,21 @@ class Tree:
                 a, b = self.first[n], self.first[n] + self.many[n]
                 node[own] = a + _squares(rows[own], self.centres[a:b]).argmin(axis=1)
 
+    def cells(self, counts: np.ndarray) -> np.ndarray:
+        """The cell of each leaf: that of its highest node of at most CHUNK_ROWS rows, else its own."""
+        rows = np.zeros(len(self.leaf), np.int64)
+        for n in reversed(range(len(self.leaf))):  # children stand after their node
+            rows[n] = counts[self.leaf[n]] if self.leaf[n] >= 0 else rows[self.first[n] : self.first[n] + self.many[n]].sum()
+        of_node, of_leaf, n_cells = np.full(len(self.leaf), -1, np.int64), np.zeros(self.n_leaves, np.int64), 0
+        for n in range(len(self.leaf)):
+            if of_node[n] < 0 and (self.leaf[n] >= 0 or rows[n] <= CHUNK_ROWS):
+                of_node[n], n_cells = n_cells, n_cells + 1
+            if self.leaf[n] >= 0:
+                of_leaf[self.leaf[n]] = of_node[n]
+            else:
+                of_node[self.first[n] : self.first[n] + self.many[n]] = of_node[n]
+        return of_leaf
+
     def best_bins(self, query: np.ndarray) -> Iterator[int]:
         """All leaves, nearest opened first."""
         queue = [(0.0, 0)]
@@ -100,26 +120,43 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return out.filter(F.size("v") == (common["n"] if common else 0))
 
 
-def _nearest(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to k nearest (ids, distances) other than the query's own id; ties to smaller ids."""
-    d = np.sqrt(((rows - query) ** 2).sum(axis=1))
-    d[ids == query_id] = np.inf
-    if len(d) > 4 * k:
-        edge = np.partition(d, k - 1)[k - 1]
-        near = np.flatnonzero(d <= edge)
-    else:
-        near = np.arange(len(d))
-    near = near[np.lexsort((ids[near], d[near]))][:k]
-    near = near[d[near] < np.inf]
-    return ids[near], d[near]
+def _nearest(ids: np.ndarray, rows: np.ndarray, asked: np.ndarray, queries: np.ndarray, k: int, leaf: np.ndarray | None = None, opened: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query: its place, the places of its k nearest rows of other ids
+    (one row an id, ties to smaller ids) and their distances.
+
+    ``opened[i, leaf[j]]``: query i visits the leaf of row j. One matrix product
+    a block of queries chooses rows, with room for its rounding; the distances
+    and the order come from differences.
+    """
+    norms = (rows * rows).sum(axis=1)
+    # so many rows hold k ids, however often an id repeats
+    enough = k * int(np.unique(ids, return_counts=True)[1].max())
+    for start in range(0, len(asked), BLOCK_QUERIES):
+        block = queries[start : start + BLOCK_QUERIES]
+        about = norms - 2 * (block @ rows.T)
+        hidden = asked[start : start + BLOCK_QUERIES, None] == ids[None, :]
+        if opened is not None:
+            hidden |= ~opened[start : start + BLOCK_QUERIES][:, leaf]
+        about[hidden] = np.inf
+        edge = np.partition(about, enough - 1, axis=1)[:, enough - 1] if enough < len(ids) else np.full(len(block), np.inf)
+        edge = edge + SLACK * (norms.max() + (block * block).sum(axis=1))
+        for i, query in enumerate(block):
+            near = np.flatnonzero(~(about[i] > edge[i]) & ~hidden[i])
+            d = np.sqrt(((rows[near] - query) ** 2).sum(axis=1))
+            order = np.lexsort((ids[near], d))
+            order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:k]
+            yield start + i, near[order], d[order]
 
 
 _HIT = "query_id long, vec_id long, leaf long, score double"
 
 
-def _hits(out: list[tuple]) -> pa.Table:
-    q, i, leaf, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, float))
-    return pa.table({"query_id": q, "vec_id": i, "leaf": leaf, "score": d})
+def _hits(ids: np.ndarray, leaves: np.ndarray, asked: np.ndarray, found: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    found = list(found)
+    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    place = join([near for _, near, _ in found], np.int64)
+    queries = join([np.full(len(near), asked[i]) for i, near, _ in found], np.int64)
+    return pa.table({"query_id": queries, "vec_id": ids[place], "leaf": leaves[place], "score": join([d for _, _, d in found], np.float64)})
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:
@@ -145,11 +182,14 @@ class Index:
         shipped = spark.sparkContext.broadcast(tree)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = 0
             for batch in batches:
                 leaves = shipped.value.assign(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int64)), batch.column(0), batch.column(1)], ["leaf", "id", "v"])
+                places = pa.array(np.arange(at, at := at + batch.num_rows))
+                yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int64)), batch.column(0), batch.column(1), places], ["leaf", "id", "v", "place"])
 
-        self.rows = written(vectors.mapInArrow(run, "leaf long, id long, v array<double>"), "leaves") if tree else vectors.select(F.lit(0).cast("long").alias("leaf"), "id", "v")
+        # the place within the task deals a leaf's rows to chunks evenly, whatever their ids and vectors
+        self.rows = written(vectors.mapInArrow(run, "leaf long, id long, v array<double>, place long"), "leaves") if tree else vectors.select(F.lit(0).cast("long").alias("leaf"), "id", "v", F.lit(0).cast("long").alias("place"))
         counted = self.rows.groupBy("leaf").count().collect()  # a row for each leaf of the tree
         self.counts = np.zeros(tree.n_leaves if tree else 0, np.int64)
         for r in counted:
@@ -157,26 +197,21 @@ class Index:
 
     def exact(self, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
         """Exact neighbours of a few queries, over all rows in batches."""
-        shipped = self.rows.sparkSession.sparkContext.broadcast([(i, np.array(v)) for i, v in queries])
+        shipped = self.rows.sparkSession.sparkContext.broadcast((np.array([i for i, _ in queries], np.int64), np.array([v for _, v in queries], np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    leaf, ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-                    out = []
-                    for q, v in shipped.value:
-                        near, d = _nearest(ids, rows, q, v, k)
-                        place = np.array([np.flatnonzero(ids == i)[0] for i in near], np.int64)
-                        out.append((np.full(len(near), q), near, leaf[place], d))
-                    yield from _hits(out).to_batches()
+                    ids, asked = batch.column(1).to_numpy(), shipped.value[0]
+                    yield from _hits(ids, batch.column(0).to_numpy(), asked, _nearest(ids, _matrix(batch.column(2)), *shipped.value, k)).to_batches()
 
         return _top(self.rows.select("leaf", "id", "v").mapInArrow(run, _HIT), k)
 
-    def calibrate(self, queries: DataFrame, k: int, target: float) -> int:
-        """Leaves to visit for the target recall, from up to CALIBRATION of ``queries`` (id, v)."""
+    def calibrate(self, queries: DataFrame, k: int, target: float) -> tuple[int, float]:
+        """Leaves to visit for the target recall, and the recall they give, from up to CALIBRATION of ``queries`` (id, v)."""
         some = [(r["id"], r["v"]) for r in queries.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).collect()]
         if not some:
-            return 1
+            return 1, 1.0
         ranks = {}
         for q, v in some:
             place = np.empty(self.tree.n_leaves, np.int64)
@@ -184,15 +219,16 @@ class Index:
             ranks[q] = place
         needed = np.sort([ranks[r["query_id"]][r["leaf"]] for r in self.exact(some, k).collect()])
         if not len(needed):
-            return 1
-        visits, steps = 1, np.arange(len(needed))
-        while np.searchsorted(needed, visits) < target * len(steps):
+            return 1, 1.0
+        visits = 1
+        while np.searchsorted(needed, visits) < target * len(needed):
             visits = min(self.tree.n_leaves, max(visits + 1, int(visits * 1.05)))
-        return int(visits)
+        return int(visits), float(np.searchsorted(needed, visits) / len(needed))
 
     def search(self, queries: DataFrame, k: int = 10, target: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-        """query_id, rank, vec_id, score, leaves visited: each query's k nearest found.
+        """query_id, rank, vec_id, score, leaves visited, recall: each query's k nearest found.
 
+        ``recall`` is the calibration queries' mean at the visits chosen.
         Euclidean distance in double precision; ties to the smaller id; a row
         of the query's own id is no candidate. Null, zero, non-finite vectors
         and those of another length than the table's most frequent take no
@@ -201,47 +237,58 @@ class Index:
         """
         spark = queries.sparkSession
         if self.tree is None:
-            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, visited long")
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, visited long, recall double")
         asked = valid_vectors(queries, id_col, vector_col).filter(F.size("v") == self.tree.centres.shape[1])
         asked = written(asked.groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
-        visits = self.calibrate(asked, k, target)
-        shipped = spark.sparkContext.broadcast((self.tree, self.counts))
+        visits, recall = self.calibrate(asked, k, target)
+        cells = self.tree.cells(self.counts)
+        shipped = spark.sparkContext.broadcast((self.tree, self.counts, cells))
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree, counts = shipped.value
+            tree, counts, cells = shipped.value
             for batch in batches:
-                leaves, many = [], []
-                for v in _matrix(batch.column(1)):
+                at, cell, leaves, visited = [], [], [], []
+                for i, v in enumerate(_matrix(batch.column(1))):
                     own, rows = [], 0
                     for leaf in tree.best_bins(v):
                         own.append(leaf)
                         rows += counts[leaf]
                         if len(own) >= visits and rows > k:
                             break
-                    leaves += own
-                    many.append(len(own))
-                at = pa.array(np.repeat(np.arange(batch.num_rows), many))
-                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(many, many).astype(np.int64))], ["leaf", "query_id", "q", "visited"])
-
-        asked_leaves = written(asked.repartition(spark.sparkContext.defaultParallelism, "id").mapInArrow(visit, "leaf long, query_id long, q array<double>, visited long"), "ann-visits")
-        popular = {r["leaf"]: r["count"] for r in asked_leaves.groupBy("leaf").count().collect()}
-        row_chunks = [max(1, -(-int(c) // CHUNK_ROWS)) for c in self.counts]
-        query_chunks = [max(1, -(-popular.get(i, 0) // CHUNK_QUERIES)) for i in range(len(row_chunks))]
-        sizes = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(row_chunks, query_chunks, strict=True))], "leaf long, nr int, nq int"))
+                    own = np.array(own)
+                    own = own[counts[own] > 0]
+                    for c in np.unique(cells[own]):
+                        at.append(i)
+                        cell.append(c)
+                        leaves.append(own[cells[own] == c].astype(np.int32))
+                        visited.append(len(own))
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(leaves, pa.list_(pa.int32())), pa.array(visited, pa.int64())], ["cell", "query_id", "q", "leaves", "visited"])
+
+        visits_of = written(asked.repartition(spark.sparkContext.defaultParallelism, "id").mapInArrow(visit, "cell long, query_id long, q array<double>, leaves array<int>, visited long"), "ann-visits")
+        popular = {r["cell"]: r["count"] for r in visits_of.groupBy("cell").count().collect()}  # a row for each cell
+        held = np.bincount(cells, weights=self.counts)
+        chunks = [(c, max(1, -(-int(n) // CHUNK_ROWS)), max(1, -(-popular.get(c, 0) // CHUNK_QUERIES))) for c, n in enumerate(held)]
+        # a row for each leaf of the tree, whose size the sample bounds
+        sizes = spark.createDataFrame(chunks, "cell long, nr int, nq int")
+        of_leaf = F.broadcast(spark.createDataFrame(list(enumerate(cells.tolist())), "leaf long, cell long").join(sizes, "cell"))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = self.rows.join(sizes, "leaf").withColumn("r", F.pmod(F.xxhash64("id"), F.col("nr")).cast("int")).withColumn("c", every("nq")).drop("nr", "nq")
-        right = asked_leaves.join(sizes, "leaf").withColumn("c", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("r", every("nr")).drop("nr", "nq")
+        left = self.rows.join(of_leaf, "leaf").withColumn("r", F.pmod("place", F.col("nr")).cast("int")).withColumn("c", every("nq")).drop("nr", "nq", "place")
+        right = visits_of.join(F.broadcast(sizes), "cell").withColumn("c", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("r", every("nr")).drop("nr", "nq", "visited")
 
         def scan(rows: pa.Table, asked: pa.Table) -> pa.Table:
-            out = []
-            if rows.num_rows and asked.num_rows:
-                ids, vectors = rows.column("id").to_numpy(), _matrix(rows.column("v").combine_chunks())
-                leaf = rows.column("leaf")[0].as_py()
-                for q, v in zip(asked.column("query_id").to_pylist(), _matrix(asked.column("q").combine_chunks()), strict=True):
-                    near, d = _nearest(ids, vectors, q, v, k)
-                    out.append((np.full(len(near), q), near, np.full(len(near), leaf), d))
-            return _hits(out)
-
-        hits = left.groupBy("leaf", "r", "c").cogroup(right.groupBy("leaf", "r", "c")).applyInArrow(scan, _HIT)
-        visited = asked_leaves.select("query_id", "visited").distinct()
-        return _top(hits, k).join(visited, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "visited")
+            ids, leaf, queries = rows.column("id").to_numpy(), rows.column("leaf").to_numpy(), asked.column("query_id").to_numpy()
+            if not len(ids) or not len(queries):
+                return _hits(ids, leaf, queries, iter(()))
+            local, at = np.unique(leaf, return_inverse=True)
+            # which of the cell's leaves each query visits; a leaf may have no row in this chunk
+            lists = asked.column("leaves").combine_chunks()
+            flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(queries)), lists.value_lengths().to_numpy())
+            known = np.isin(flat, local)
+            opened = np.zeros((len(queries), len(local)), bool)
+            opened[owner[known], np.searchsorted(local, flat[known])] = True
+            return _hits(ids, leaf, queries, _nearest(ids, _matrix(rows.column("v").combine_chunks()), queries, _matrix(asked.column("q").combine_chunks()), k, at, opened))
+
+        hits = left.groupBy("cell", "r", "c").cogroup(right.groupBy("cell", "r", "c")).applyInArrow(scan, _HIT)
+        visited = visits_of.select("query_id", "visited").distinct()
+        return _top(hits, k).join(visited, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "visited", F.lit(recall).alias("recall"))
