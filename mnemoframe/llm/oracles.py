@@ -8,6 +8,16 @@ _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"'[^ \t-\r]+'"
 _TERMS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+#: The conversations as mail: turns quote the turn before, the two before at two levels, or the one before that.
+QUOTING = """
+SELECT c.conv_id, c.turn, c.role, CASE
+  WHEN c.turn % 4 = 1 AND p.text IS NOT NULL THEN '> ' || replace(p.text, chr(10), chr(10) || '> ') || chr(10) || c.text
+  WHEN c.turn % 4 = 2 AND o.text IS NOT NULL THEN '>> ' || replace(o.text, chr(10), chr(10) || '>> ') || chr(10) || '> ' || replace(p.text, chr(10), chr(10) || '> ') || chr(10) || c.text
+  WHEN c.turn % 4 = 3 AND o.text IS NOT NULL THEN '> > > ' || replace(o.text, chr(10), chr(10) || '> > > ') || chr(10) || c.text
+  ELSE c.text END AS text
+FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 LEFT JOIN conversations o ON o.conv_id = c.conv_id AND o.turn = c.turn - 2
+"""
+
 OP2 = r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, row_number() OVER () AS id FROM conversations),
 l0 AS (SELECT id, conv_id, turn, unnest(string_split_regex(coalesce(text, ''), '\r\n?|\n')) AS line, generate_subscripts(string_split_regex(coalesce(text, ''), '\r\n?|\n'), 1) AS pos FROM m),
@@ -20,10 +30,10 @@ q AS (SELECT id, level, passage, (SELECT max(own.turn) FROM own WHERE own.conv_i
 votes AS (SELECT id, level, passage, found, count(*) AS n FROM q WHERE found IS NOT NULL GROUP BY ALL),
 parent AS (SELECT id, arg_max(found, {'l': -level, 'n': n, 'f': found}) AS parent FROM votes GROUP BY id),
 counts AS (SELECT id, count(*) AS n_quoted, count(found) AS n_found FROM q GROUP BY id),
-heads AS (SELECT conv_id, turn, max(parent) AS parent FROM parent JOIN m USING (id) GROUP BY ALL),
+before AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before_ FROM (SELECT DISTINCT conv_id, turn FROM m)),
+heads AS (SELECT conv_id, turn, max(parent) AS parent FROM parent JOIN m USING (id) JOIN before USING (conv_id, turn) GROUP BY conv_id, turn, before_ HAVING max(parent) <> before_),
 own_body AS (SELECT id, bool_or(level > 0) AS quoting, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE level = 0 AND NOT attribution), ''), '^\s+|\s+$', '', 'g') AS body FROM l GROUP BY id),
-turns AS (SELECT t.conv_id, t.turn, (SELECT max(h.turn) FROM heads h WHERE h.conv_id = t.conv_id AND h.turn <= t.turn) AS run,
-  lag(t.turn) OVER (PARTITION BY t.conv_id ORDER BY t.turn) AS before_ FROM (SELECT DISTINCT conv_id, turn FROM m) t),
+turns AS (SELECT t.conv_id, t.turn, (SELECT max(h.turn) FROM heads h WHERE h.conv_id = t.conv_id AND h.turn <= t.turn) AS run, before_ FROM before t),
 path AS (SELECT h.conv_id, h.turn AS run, h.parent, t.run AS up, CAST(-h.parent AS VARCHAR) || '/' || h.turn AS thread FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.turn = h.parent
   UNION ALL SELECT p.conv_id, p.run, h.parent, t.run, -h.parent || '/' || h.turn || '/' || p.thread FROM path p JOIN heads h ON h.conv_id = p.conv_id AND h.turn = p.up JOIN turns t ON t.conv_id = h.conv_id AND t.turn = h.parent)
 SELECT m.conv_id, m.turn, m.role, CASE WHEN quoting THEN b.body ELSE m.text END AS body, coalesce(parent.parent, before_) AS reply_to, parent.parent IS NOT NULL AS linked,
@@ -105,4 +115,7 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM v
 """
 
-ORACLES: dict[str, str] = {"op2_quotation_linking": OP2, "op5_substring_dedup": OP5, "op6_ngram_join": OP6, "op7_decontamination": OP7, "op8_license_scan": OP8, "op10_warc": OP10}
+#: ``QUOTING`` instead of the table.
+QUOTED = OP2.replace("WITH RECURSIVE m AS", f"WITH RECURSIVE talk AS ({QUOTING}),\nm AS").replace("AS id FROM conversations)", "AS id FROM talk)")
+
+ORACLES: dict[str, str] = {"op2_quotation_linking": OP2, "quoted_conversations": QUOTED, "op5_substring_dedup": OP5, "op6_ngram_join": OP6, "op7_decontamination": OP7, "op8_license_scan": OP8, "op10_warc": OP10}

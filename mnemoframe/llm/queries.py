@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, kmtree, licenses, ppm, quotes, set_join, sst, substring, warc
+from .oracles import QUOTING
 
 RANKS = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -23,12 +24,21 @@ def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmtree.Index(rows).search(rows.filter("vec_id % 100 = 0"))
 
 
-def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quotes.link_quotes(table(spark, sf_dir, "conversations"))
+def _linked(messages: DataFrame) -> DataFrame:
+    found = quotes.link_quotes(messages)
     thread = F.array_join(F.transform("thread", lambda t: t.cast("string")), "/")
     return found.select("doc.conv_id", "doc.turn", "doc.role", "body", "reply_to", "linked", "n_quoted", "n_found", thread.alias("thread"))
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(table(spark, sf_dir, "conversations"))
+
+
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking where the given conversations quote: every turn's text with the turns it answers above it."""
+    return _linked(spark.sql(QUOTING.replace("conversations", "{conversations}"), conversations=table(spark, sf_dir, "conversations")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = ppm.learn_languages(docs)
@@ -74,6 +84,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kmeans_tree": op1_kmeans_tree,
     "op2_quotation_linking": op2_quotation_linking,
+    "quoted_conversations": quoted_conversations,
     "op3_language_id": op3_language_id,
     "op4_sst_shards": op4_sst_shards,
     "op5_substring_dedup": op5_substring_dedup,

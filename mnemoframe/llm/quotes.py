@@ -14,8 +14,9 @@ the blocks' maxima, never by pairs, so a line that everybody repeats costs one
 row for each message it is in.
 
 A message replies to what its outermost quotes come from, else to the message
-before it. Unquoted successors form runs; ``thread`` is the path of the runs
-that a message hangs from, so sorting by (thread, turn) walks the reply tree
+before it. A message that replies to the one just before it, by quotes or for
+want of any, continues its run, so a chain of such replies costs no path;
+``thread`` is the path of the runs that a message hangs from, so sorting by (thread, turn) walks the reply tree
 depth first: the rest of a run, then what was attached to it, latest first.
 """
 
@@ -111,7 +112,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     originals the latest counts; passages tie to the later original. Null
     conversations are one conversation; a null turn comes first. Rows of equal
     turn are siblings, each with its own quotes; a thread starts where any of
-    them is linked (at the latest original). An empty table gives no rows.
+    them is linked (at the latest original) to another turn than the one before. An empty table gives no rows.
     """
     key = F.coalesce(F.concat(F.lit("k"), F.col(conv_col).cast("string")), F.lit("n")).alias("key")
     text = F.col(text_col).cast("string")
@@ -141,11 +142,12 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     linked = passages.groupBy(*message).agg(F.sum("n_quoted").alias("n_quoted"), F.coalesce(F.sum("n_found"), F.lit(0)).alias("n_found"), F.max(F.when(F.col("best").isNotNull(), outermost)).getField("found").alias("parent"))
     linked = written(linked, "quote-links")
 
-    # runs: a linked message starts one, attached to its parent's run
+    # runs: a message linked to another than the one before it starts one, attached to its parent's run
     heads = linked.filter("parent is not null").groupBy("key", "at").agg(F.max("parent").alias("parent"))
     turns = rows.select("key", "at").distinct()
     turns = turns.join(heads, ["key", "at"], "left")
     turns = latest_before(turns.withColumn("mark", F.lit(True)), ["key"]).withColumnRenamed("found", "before")
+    turns = turns.withColumn("parent", F.when(F.col("parent") != F.col("before"), F.col("parent")))
     turns = latest_before(turns.withColumn("mark", F.col("parent").isNotNull()), ["key"])
     turns = written(turns.select("key", "at", "parent", "before", F.when(F.col("mark"), F.col("at")).otherwise(F.col("found")).alias("run")), "turns")
     starts = turns.filter("parent is not null")

@@ -61,6 +61,7 @@ def brute(rows):
             body = "\n".join(b for level, b, a in lines if not level and not a).strip() if has else x
             rows_of.append((t, x, body, parent, n_quoted, n_found))
         turns = sorted({t for t, _ in said})
+        parent_of = {t: p for t, p in parent_of.items() if p != max(u for u in turns if u < t)}
 
         def run_of(t):
             starts = [s for s in parent_of if s <= t]
@@ -110,6 +111,12 @@ def test_reply_order(spark):
     assert [r.turn for r in found.orderBy("thread", "doc.turn").select("doc.turn").collect()] == [0, 1, 4, 2, 3, 5]
 
 
+def test_chain_of_quotes_needs_no_paths(spark):
+    rows = [(1, t, f"> said at {t - 1}\nsaid at {t}" if t else "said at 0") for t in range(300)]
+    found = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert all(r.thread == [] and r.linked == (r.doc.turn > 0) and r.reply_to == (r.doc.turn - 1 if r.doc.turn else None) for r in found)
+
+
 def test_whole_table_and_native_plan(spark):
     talks = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     found = quotes.link_quotes(talks)
