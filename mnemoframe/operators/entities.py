@@ -9,6 +9,8 @@ from ..functions.measures import cosine
 from ..functions.text import text
 
 HIGH, LOW, MARGIN, BUDGET, SNIPPET = 0.82, 0.55, 0.03, 8, 240
+#: Stands for any type; no type is written so.
+ANY = "\0"
 
 
 def alias_index(entities: DataFrame) -> DataFrame:
@@ -40,11 +42,14 @@ def resolve(mentions: DataFrame, entities: DataFrame, arbiter=None, budget: int
     open_ = asked.join(exact.select("key"), "key", "left_anti").filter("size(embedding) > 0").dropDuplicates(["key"])
     known = entities.filter("registered and size(description_embedding) > 0").select("id", F.upper(F.coalesce("type", F.lit("UNKNOWN"))).alias("etype"), "description_embedding")
     kind = F.upper(F.when(F.trim(text("type")) != "", F.trim(text("type"))).otherwise("UNKNOWN"))
-    compatible = (kind == "UNKNOWN") | (F.col("etype") == "UNKNOWN") | (kind == F.col("etype"))
     several = hits.filter("n > 1").select("key", "id", F.lit(True).alias("named"))
     has = several.select("key").distinct().withColumn("some", F.lit(True))
-    # registered entities are a curated list; each open mention is compared with all of them
-    scored = open_.join(has, "key", "left").join(known, compatible).join(several, ["key", "id"], "left").filter(F.col("some").isNull() | F.col("named")).withColumn("score", cosine("embedding", "description_embedding")).filter("score > 0")
+    # compatible types meet through one key each: an entity stands under its type and under any;
+    # a mention of a type asks for the type and for the unknown one, a mention without asks for any
+    under = known.withColumn("via", F.explode(F.array("etype", F.lit(ANY)))).drop("etype")
+    via = F.when(kind == "UNKNOWN", F.array(F.lit(ANY))).otherwise(F.array(kind, F.lit("UNKNOWN")))
+    asking = open_.select("key", "embedding", F.explode(via).alias("via")).join(has, "key", "left")
+    scored = asking.join(under, "via").join(several, ["key", "id"], "left").filter(F.col("some").isNull() | F.col("named")).withColumn("score", cosine("embedding", "description_embedding")).filter("score > 0")
     line = Window.partitionBy("key").orderBy(F.desc("score"), "id")
     top = scored.withColumns({"r": F.row_number().over(line), "second": F.coalesce(F.lead("score").over(line), F.lit(0.0))}).filter("r = 1")
     clear = (F.col("score") >= HIGH) & (F.col("score") - F.col("second") > MARGIN)

@@ -72,6 +72,15 @@ def project(graph: Graph, task: str, pool: int = POOL) -> dict:
     }
 
 
+def place(stage: int, at, first: str, second: str | None = None):
+    """Where a path stands among all: by stage, then by a number, then by ids. Ordered as it is, without numbering rows."""
+    return F.struct(F.lit(stage).alias("stage"), F.coalesce(at.cast("long"), F.lit((1 << 63) - 1)).alias("at"), text(first).alias("first"), (text(second) if second else F.lit("")).alias("second"))
+
+
+def latest_first(column: str):
+    return -F.col(column).cast("long")
+
+
 def walk(graph: Graph, found: dict, per_anchor: int = PER_ANCHOR) -> DataFrame:
     """Paths from the anchors: patterns of entities, contexts, events by entity, by text and by context, and relations."""
     spark, literals = graph.spark, _array(found["literals"])
@@ -84,17 +93,17 @@ def walk(graph: Graph, found: dict, per_anchor: int = PER_ANCHOR) -> DataFrame:
 
     def event_paths(rows: DataFrame, stage: int, length: int, among: list[str], entity_hits=zero) -> DataFrame:
         matched = matched_terms(event_text(payload="payload"), _array(among), loose=True)
-        return rows.select((F.lit(stage * 1_000_000) + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pos" if "pos" in rows.columns else F.desc("last_active"), "id"))).alias("seq"), F.lit("event").alias("memory_type"), F.col("id").alias("primary_id"), matched.alias("anchor_terms"), F.lit(length).alias("path_length"), literal_hits(matched, literals).alias("literal_hits"), entity_hits.alias("entity_hits"), known(F.col("support_count")).alias("support_count"), at.alias("last_active"), event_card().alias("folded"), F.lit("event").alias("reason"), ((F.size(matched) > 0) | (entity_hits > 0)).alias("has_value"), F.lit(False).alias("warning"))
+        return rows.select(place(stage, F.col("pos") if "pos" in rows.columns else latest_first("last_active"), "id").alias("seq"), F.lit("event").alias("memory_type"), F.col("id").alias("primary_id"), matched.alias("anchor_terms"), F.lit(length).alias("path_length"), literal_hits(matched, literals).alias("literal_hits"), entity_hits.alias("entity_hits"), known(F.col("support_count")).alias("support_count"), at.alias("last_active"), event_card().alias("folded"), F.lit("event").alias("reason"), ((F.size(matched) > 0) | (entity_hits > 0)).alias("has_value"), F.lit(False).alias("warning"))
 
     held = graph.patterns.filter(F.col("entity_id").isin(entity_ids[:per_anchor]))
     cut = recall_patterns(held, found["task"], "section", 1).join(held.select("entity_id", F.coalesce("updated_at", "created_at", zero).alias("last_active")), "entity_id")
     order = F.array_position(_array(entity_ids), F.col("entity_id"))
-    rules = cut.filter(F.trim("content") != "").select(order.alias("seq"), F.lit("rule").alias("memory_type"), F.lit(None).cast("string").alias("primary_id"), F.array("entity_id").alias("anchor_terms"), F.lit(2).alias("path_length"), zero.alias("literal_hits"), F.lit(1).alias("entity_hits"), F.lit(1).alias("support_count"), "last_active", plain_markdown("content").alias("folded"), F.lit("rule").alias("reason"), F.lit(True).alias("has_value"), F.lit(False).alias("warning"))
+    rules = cut.filter(F.trim("content") != "").select(place(0, order, "entity_id").alias("seq"), F.lit("rule").alias("memory_type"), F.lit(None).cast("string").alias("primary_id"), F.array("entity_id").alias("anchor_terms"), F.lit(2).alias("path_length"), zero.alias("literal_hits"), F.lit(1).alias("entity_hits"), F.lit(1).alias("support_count"), "last_active", plain_markdown("content").alias("folded"), F.lit("rule").alias("reason"), F.lit(True).alias("has_value"), F.lit(False).alias("warning"))
 
     own = by_ids(graph.contexts, found["contexts"][:per_anchor], ["active"])
     matched = matched_terms(context_text(), _array(terms), loose=True)
     telling = (F.size(matched) > 0) | (F.coalesce(F.size("facts"), zero) > 0) | (text("applies_when") != "") | (text("condition") != "")
-    contexts = own.select((F.lit(1_000_000) + F.col("pos")).alias("seq"), F.lit("context").alias("memory_type"), F.col("id").alias("primary_id"), matched.alias("anchor_terms"), F.lit(1).alias("path_length"), literal_hits(matched, literals).alias("literal_hits"), zero.alias("entity_hits"), known(F.col("support_count")).alias("support_count"), F.coalesce("last_seen_at", "updated_at", "created_at", zero).alias("last_active"), context_card().alias("folded"), F.lit("context").alias("reason"), telling.alias("has_value"), F.lit(False).alias("warning"))
+    contexts = own.select(place(1, F.col("pos"), "id").alias("seq"), F.lit("context").alias("memory_type"), F.col("id").alias("primary_id"), matched.alias("anchor_terms"), F.lit(1).alias("path_length"), literal_hits(matched, literals).alias("literal_hits"), zero.alias("entity_hits"), known(F.col("support_count")).alias("support_count"), F.coalesce("last_seen_at", "updated_at", "created_at", zero).alias("last_active"), context_card().alias("folded"), F.lit("context").alias("reason"), telling.alias("has_value"), F.lit(False).alias("warning"))
 
     linked = graph.involves.filter(F.col("entity_id").isin(entity_ids)).groupBy(F.col("event_id").alias("id")).agg(F.count_distinct("entity_id").alias("_hits"), F.max(F.col("entity_id").isin(entity_ids[:per_anchor])).alias("_near"))
     by_entity = graph.events.filter("status = 'active'").join(linked.filter("_near"), "id")
@@ -114,9 +123,8 @@ def walk(graph: Graph, found: dict, per_anchor: int = PER_ANCHOR) -> DataFrame:
     both = edges.join(end("from_id", "s"), "from_id").join(end("to_id", "d"), "to_id")
     matched = matched_terms(F.concat_ws(" ", "s_text", "d_text"), _array(terms), loose=True)
     newer = F.col("relation_type").isin(SAME_TOPIC, MEANING_UPDATE)
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("updated_at"), "from_id", "to_id"))
     evolved = both.select(
-        (F.lit(5_000_000) + rank).alias("seq"), F.lit("event").alias("memory_type"), F.when(newer, F.col("to_id")).otherwise(F.col("from_id")).alias("primary_id"), matched.alias("anchor_terms"), F.lit(2).alias("path_length"), literal_hits(matched, literals).alias("literal_hits"), zero.alias("entity_hits"),
+        place(5, latest_first("updated_at"), "from_id", "to_id").alias("seq"), F.lit("event").alias("memory_type"), F.when(newer, F.col("to_id")).otherwise(F.col("from_id")).alias("primary_id"), matched.alias("anchor_terms"), F.lit(2).alias("path_length"), literal_hits(matched, literals).alias("literal_hits"), zero.alias("entity_hits"),
         F.greatest("s_support", "d_support").alias("support_count"), F.greatest("s_at", "d_at").alias("last_active"), F.when(newer, F.col("d_card")).otherwise(join_clause("s_card", "d_card")).alias("folded"), F.col("relation_type").alias("reason"), F.lit(True).alias("has_value"), (F.col("relation_type") == MEANING_UPDATE).alias("warning"), F.when(newer & (F.col("from_id") != F.col("to_id")), F.col("from_id")).alias("superseded"),
     )
     return plain.withColumn("superseded", F.lit(None).cast("string")).unionByName(evolved)

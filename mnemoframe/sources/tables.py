@@ -1,8 +1,11 @@
 """Versioned tables in a namespace: one folder a database, one a table.
 
-Parquet tables have no updates in place. A write adds a version and then moves
-the pointer (a one-row table), so readers see whole versions, a lost writer
-leaves the last one, and older versions can be read or dropped.
+Parquet tables have no updates in place. A version is a list of parts, folders
+of files that never change: a write makes one new part, an append adds a part to
+the list and leaves the others as they are. The pointer to the newest version is
+a one-row table under the version's number, so readers see whole versions, a
+lost writer leaves the last one, and two writers of one number do not overwrite
+each other: the later one fails or, appending, starts again from the newer list.
 """
 
 from __future__ import annotations
@@ -13,11 +16,13 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.model import SCHEMAS, conform
 
+MAX_PARTS, MAX_TRIES = 64, 20
+
 
 class Namespace:
     """The tables of one database."""
@@ -25,34 +30,67 @@ class Namespace:
     def __init__(self, spark: SparkSession, root: str, name: str = "default"):
         self.spark, self.path = spark, f"{root.rstrip('/')}/{name}"
 
-    def _versions(self, table: str) -> DataFrame:
-        return self.spark.read.schema("version string, at long").parquet(f"{self.path}/{table}/_versions")
+    def versions(self, table: str) -> DataFrame:
+        """(version, at, parts, number), a row a version."""
+        return self.spark.read.schema("version string, at long, parts array<string>, number long").parquet(f"{self.path}/{table}/_versions")
 
-    def current(self, table: str) -> str | None:
+    def _newest(self, table: str) -> Row | None:
         try:
-            last = self._versions(table).orderBy(F.desc("at"), F.desc("version")).first()
+            return self.versions(table).orderBy(F.desc("number")).first()
         except AnalysisException:
             return None
-        return last["version"] if last else None
+
+    def current(self, table: str) -> str | None:
+        newest = self._newest(table)
+        return newest["version"] if newest else None
 
     def read(self, table: str, version: str | None = None) -> DataFrame:
         """The newest version (or a given one); missing columns are null, an unwritten table is empty."""
-        version = version or self.current(table)
-        if version is None:
+        held = self.versions(table).filter(F.col("version") == version).first() if version else self._newest(table)
+        if held is None:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        found = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{table}/{version}")
+        found = self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/{table}/{part}" for part in held["parts"]])
         return conform(found, table) if table in SCHEMAS else found
 
-    def write(self, table: str, rows: DataFrame) -> str:
-        version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
-        (conform(rows, table) if table in SCHEMAS else rows).write.parquet(f"{self.path}/{table}/{version}")
-        self.spark.createDataFrame([(version, time.time_ns())], "version string, at long").coalesce(1).write.mode("append").parquet(f"{self.path}/{table}/_versions")
+    def _part(self, table: str, rows: DataFrame) -> str:
+        part = f"p{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
+        (conform(rows, table) if table in SCHEMAS else rows).write.parquet(f"{self.path}/{table}/{part}")
+        return part
+
+    def _point(self, table: str, number: int, parts: list[str]) -> str:
+        version = f"v{number:012d}-{uuid.uuid4().hex[:6]}"
+        row = self.spark.createDataFrame([(version, time.time_ns(), parts)], "version string, at long, parts array<string>")
+        row.coalesce(1).write.mode("error").parquet(f"{self.path}/{table}/_versions/number={number}")
         return version
 
+    def write(self, table: str, rows: DataFrame) -> str:
+        """A new version of these rows; an error if another writer made one meanwhile."""
+        newest = self._newest(table)
+        return self._point(table, newest["number"] + 1 if newest else 1, [self._part(table, rows)])
+
     def append(self, table: str, rows: DataFrame) -> str:
-        """A new version with the rows added."""
-        held = self.read(table)
-        return self.write(table, held.unionByName(conform(rows, table) if table in SCHEMAS else rows))
+        """A new version with the rows added as a part; every MAX_PARTS appends the parts are written anew as one."""
+        part = self._part(table, rows)
+        for _ in range(MAX_TRIES):
+            newest = self._newest(table)
+            held, number = (newest["parts"], newest["number"] + 1) if newest else ([], 1)
+            if len(held) >= MAX_PARTS:
+                held = [self._part(table, self.read(table, newest["version"]))]
+            try:
+                return self._point(table, number, [*held, part])
+            except AnalysisException:  # another writer took the number
+                continue
+        raise RuntimeError(f"no turn to append to {table}")
+
+    def expire(self, table: str, keep: int = 10) -> int:
+        """Deletes the parts that none of the newest ``keep`` versions names, and the other versions' pointers. Returns the number of parts."""
+        known = self.versions(table).orderBy(F.desc("number")).collect()  # a row a version
+        used = {part for v in known[:keep] for part in v["parts"]}
+        gone = {part for v in known[keep:] for part in v["parts"]} - used
+        for name in [*[f"_versions/number={v['number']}" for v in known[keep:]], *sorted(gone)]:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{name}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return len(gone)
 
     def create(self) -> None:
         for table in SCHEMAS:

@@ -81,17 +81,15 @@ CHANGES = "from_id string, to_id string, entity string, attribute string, value_
 def supersede(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """State per (entity, attribute): the latest value and its event; a different later value supersedes it."""
     at, held_id, held = state.get if state.exists else (-1, "", "")
-    rows = pd.concat(list(parts)).sort_values(["timestamp", "id"])
-    out = []
-    for r in rows.itertuples(index=False):
-        after, before = (str(x or "").strip() if x is not None else "" for x in (r.value_after, r.value_before))
-        if (r.timestamp, r.id) <= (at, held_id):
-            continue  # older than what is known
-        if held_id and after and after != held and not (before and held and before != held):
-            out.append((held_id, r.id, key[0], key[1], held or before, after))
-        at, held_id, held = int(r.timestamp), r.id, after
-    state.update((at, held_id, held))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
+    rows = pd.concat(list(parts)).sort_values(["timestamp", "id"]).drop_duplicates(["timestamp", "id"])
+    rows = rows[(rows["timestamp"] > at) | ((rows["timestamp"] == at) & (rows["id"] > held_id))]  # the others are older than what is known
+    if len(rows):
+        after, before = (rows[c].fillna("").astype(str).str.strip() for c in ("value_after", "value_before"))
+        old_id, old = rows["id"].shift(fill_value=held_id), after.shift(fill_value=held)
+        changed = (old_id != "") & (after != "") & (after != old) & ~((before != "") & (old != "") & (before != old))
+        out = pd.DataFrame({"from_id": old_id, "to_id": rows["id"], "entity": key[0], "attribute": key[1], "value_before": old.where(old != "", before), "value_after": after})
+        state.update((int(rows["timestamp"].iloc[-1]), rows["id"].iloc[-1], after.iloc[-1]))
+        yield out[changed]
 
 
 def supersession_stream(states: DataFrame) -> DataFrame:

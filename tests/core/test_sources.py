@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.errors import AnalysisException
+
 from mnemoframe.sources import catalog, lines, records, tables
 
 
@@ -86,6 +89,37 @@ def test_versioned_tables(spark, tmp_path):
     assert tables.database_id("My Base").startswith("my-base-")
 
 
+def test_appends_leave_parts_as_they_are(spark, tmp_path, monkeypatch):
+    space = tables.Namespace(spark, str(tmp_path), "db2")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    stamps = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "db2" / "users").glob("p*/*")}
+    space.append("users", rows("a"))
+    first = stamps()
+    space.append("users", rows("b"))
+    assert first.items() <= stamps().items()
+    # a writer that took the number meanwhile is not overwritten
+    stale = space._newest("users")
+    space.append("users", rows("c"))
+    with pytest.raises(AnalysisException):
+        space._point("users", stale["number"] + 1, stale["parts"])
+    assert sorted(r.id for r in space.read("users").collect()) == ["a", "b", "c"]
+    monkeypatch.setattr(tables, "MAX_PARTS", 3)
+    space.append("users", rows("d"))
+    assert len(space._newest("users")["parts"]) == 2 and space.expire("users", keep=1) == 3
+    assert sorted(r.id for r in space.read("users").collect()) == ["a", "b", "c", "d"] and space.expire("users") == 0
+
+
+def test_split_by_places(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 7 as timestamp").repartition(5)
+    base, rest = records.split_episodes(rows, ["timestamp", "id"], ratio=0.3)
+    want = sorted((i % 7, i) for i in range(1000))
+    assert [(r.timestamp, r.id) for r in base.collect()] == want[:300] and [(r.timestamp, r.id) for r in rest.collect()] == want[300:]
+    for ratio, n in ((0.0, 0), (1.0, 1000)):
+        base, rest = records.split_episodes(rows, ["timestamp", "id"], ratio=ratio)
+        assert (base.count(), rest.count()) == (n, 1000 - n)
+    assert [df.count() for df in records.split_episodes(rows.limit(0), ["id"])] == [0, 0]
+
+
 def test_catalog(spark):
     c = catalog.Catalog(spark).create_user("u", "U", 1).create_user("r", "Root", 1, root=True)
     c, token = c.issue_key("u", ["w"], 2)
