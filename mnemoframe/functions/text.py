@@ -6,6 +6,8 @@ an array); the default cuts Latin words and CJK bigrams.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,23 +125,26 @@ def matched_terms(x: Column | str, terms: Column, loose: bool = False) -> Column
 
     ``loose`` compares gram tokens, else informative tokens.
     """
-    low = F.lower(text(x))
     cut = gram_tokens if loose else informative_tokens
-    own = cut(low)
-    hit = F.filter(terms, lambda t: (F.trim(t) != "") & (F.contains(low, F.lower(F.trim(t))) | F.arrays_overlap(own, cut(t))))
-    found = F.transform(hit, F.trim)
+    low = F.lower(text(x))
+    asked = F.filter(F.transform(terms, F.trim), lambda t: t != "")
+    found = once(F.struct(low.alias("low"), cut(low).alias("own")), lambda d: F.filter(asked, lambda t: F.contains(d["low"], F.lower(t)) | F.arrays_overlap(d["own"], cut(t))))
     return F.array_distinct(found) if loose else first_spellings(found)
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it: what a lambda names is else computed for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def first_spellings(values: Column) -> Column:
     """Distinct regardless of case; the first spelling stays."""
-    return F.filter(values, lambda v, i: (v != "") & (F.array_position(F.transform(values, F.lower), F.lower(v)) == i + 1))
+    return once(values, lambda vs: once(F.transform(vs, F.lower), lambda low: F.filter(vs, lambda v, i: (v != "") & (F.array_position(low, F.lower(v)) == i + 1))))
 
 
 def literal_hits(matched: Column, literals: Column) -> Column:
     """How many literals are among the matched terms, regardless of case."""
-    held = F.transform(matched, F.lower)
-    return F.size(F.filter(literals, lambda x: F.array_contains(held, F.lower(x))))
+    return once(F.transform(matched, F.lower), lambda held: F.size(F.filter(literals, lambda x: F.array_contains(held, F.lower(x)))))
 
 
 #: Shapes of literals in order: URL, path, ENV_NAME, version, number with unit, dotted name.

@@ -92,7 +92,8 @@ def walk(graph: Graph, found: dict, per_anchor: int = PER_ANCHOR) -> DataFrame:
     known = lambda c: F.coalesce(c, F.lit(1))
 
     def event_paths(rows: DataFrame, stage: int, length: int, among: list[str], entity_hits=zero) -> DataFrame:
-        matched = matched_terms(event_text(payload="payload"), _array(among), loose=True)
+        rows = rows.withColumn("_matched", matched_terms(event_text(payload="payload"), _array(among), loose=True))
+        matched = F.col("_matched")
         return rows.select(place(stage, F.col("pos") if "pos" in rows.columns else latest_first("last_active"), "id").alias("seq"), F.lit("event").alias("memory_type"), F.col("id").alias("primary_id"), matched.alias("anchor_terms"), F.lit(length).alias("path_length"), literal_hits(matched, literals).alias("literal_hits"), entity_hits.alias("entity_hits"), known(F.col("support_count")).alias("support_count"), at.alias("last_active"), event_card().alias("folded"), F.lit("event").alias("reason"), ((F.size(matched) > 0) | (entity_hits > 0)).alias("has_value"), F.lit(False).alias("warning"))
 
     held = graph.patterns.filter(F.col("entity_id").isin(entity_ids[:per_anchor]))
@@ -100,8 +101,8 @@ def walk(graph: Graph, found: dict, per_anchor: int = PER_ANCHOR) -> DataFrame:
     order = F.array_position(_array(entity_ids), F.col("entity_id"))
     rules = cut.filter(F.trim("content") != "").select(place(0, order, "entity_id").alias("seq"), F.lit("rule").alias("memory_type"), F.lit(None).cast("string").alias("primary_id"), F.array("entity_id").alias("anchor_terms"), F.lit(2).alias("path_length"), zero.alias("literal_hits"), F.lit(1).alias("entity_hits"), F.lit(1).alias("support_count"), "last_active", plain_markdown("content").alias("folded"), F.lit("rule").alias("reason"), F.lit(True).alias("has_value"), F.lit(False).alias("warning"))
 
-    own = by_ids(graph.contexts, found["contexts"][:per_anchor], ["active"])
-    matched = matched_terms(context_text(), _array(terms), loose=True)
+    own = by_ids(graph.contexts, found["contexts"][:per_anchor], ["active"]).withColumn("_matched", matched_terms(context_text(), _array(terms), loose=True))
+    matched = F.col("_matched")
     telling = (F.size(matched) > 0) | (F.coalesce(F.size("facts"), zero) > 0) | (text("applies_when") != "") | (text("condition") != "")
     contexts = own.select(place(1, F.col("pos"), "id").alias("seq"), F.lit("context").alias("memory_type"), F.col("id").alias("primary_id"), matched.alias("anchor_terms"), F.lit(1).alias("path_length"), literal_hits(matched, literals).alias("literal_hits"), zero.alias("entity_hits"), known(F.col("support_count")).alias("support_count"), F.coalesce("last_seen_at", "updated_at", "created_at", zero).alias("last_active"), context_card().alias("folded"), F.lit("context").alias("reason"), telling.alias("has_value"), F.lit(False).alias("warning"))
 
@@ -121,7 +122,7 @@ def walk(graph: Graph, found: dict, per_anchor: int = PER_ANCHOR) -> DataFrame:
     edges = relation_paths(graph.relations, graph.events, starts, types).select("from_id", "to_id", "relation_type", "updated_at").filter(relation_type("relation_type") != "")
     end = lambda c, p: graph.events.select(F.col("id").alias(c), event_text(payload="payload").alias(f"{p}_text"), event_card().alias(f"{p}_card"), known(F.col("support_count")).alias(f"{p}_support"), at.alias(f"{p}_at"))
     both = edges.join(end("from_id", "s"), "from_id").join(end("to_id", "d"), "to_id")
-    matched = matched_terms(F.concat_ws(" ", "s_text", "d_text"), _array(terms), loose=True)
+    both = both.withColumn("_matched", matched_terms(F.concat_ws(" ", "s_text", "d_text"), _array(terms), loose=True))
     newer = F.col("relation_type").isin(SAME_TOPIC, MEANING_UPDATE)
     evolved = both.select(
         place(5, latest_first("updated_at"), "from_id", "to_id").alias("seq"), F.lit("event").alias("memory_type"), F.when(newer, F.col("to_id")).otherwise(F.col("from_id")).alias("primary_id"), matched.alias("anchor_terms"), F.lit(2).alias("path_length"), literal_hits(matched, literals).alias("literal_hits"), zero.alias("entity_hits"),
