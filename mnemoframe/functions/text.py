@@ -127,7 +127,7 @@ def matched_terms(x: Column | str, terms: Column, loose: bool = False) -> Column
     """
     cut = gram_tokens if loose else informative_tokens
     low = F.lower(text(x))
-    asked = F.filter(F.transform(terms, F.trim), lambda t: t != "")
+    asked = F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: t != "")
     found = once(F.struct(low.alias("low"), cut(low).alias("own")), lambda d: F.filter(asked, lambda t: F.contains(d["low"], F.lower(t)) | F.arrays_overlap(d["own"], cut(t))))
     return F.array_distinct(found) if loose else first_spellings(found)
 

@@ -36,7 +36,7 @@ def pick(payload: Column, field: str) -> Column:
 def plain(value: Column) -> Column:
     """Text of a scalar; of a list its items, comma-joined."""
     items = F.from_json(value, F.lit("array<string>"))
-    listed = F.array_join(F.filter(F.transform(items, F.trim), lambda x: x != ""), ", ")
+    listed = F.array_join(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""), ", ")
     return F.when(F.ltrim(text(value)).startswith("["), F.coalesce(listed, F.lit(""))).otherwise(F.trim(text(value)))
 
 

@@ -19,6 +19,11 @@ def test_normalisation(spark):
     assert found == ["Ann/front", "Bob"]
 
 
+def test_lists_as_text(spark):
+    df = spark.createDataFrame([('["010", " 101 ", ""]',)], "v string")
+    assert df.select(payloads.plain(payloads.F.col("v")).alias("t")).first().t == "010, 101"
+
+
 def test_items(spark):
     answers = [json.dumps({"events": [{"summary": "a"}, {"x": 1}, {"action": "b"}]}), json.dumps([{"summary": "c"}]), json.dumps({"summary": "d"}), json.dumps({"event": {"cause": "e"}}), "{}"]
     df = spark.createDataFrame([(a,) for a in answers], "payload string")

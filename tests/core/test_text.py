@@ -27,6 +27,8 @@ def test_literals(spark):
 def test_matching(spark):
     terms = F.array(F.lit("Foo"), F.lit("bar"), F.lit("FOO"), F.lit("zzz"), F.lit(" "))
     assert one(spark, a=T.matched_terms(F.lit("a foo here"), terms)) == ["Foo"]
+    # digits at the ends stay, wherever the term stands in the list
+    assert one(spark, a=T.matched_terms(F.lit("at 0808 and 110"), F.array(F.lit(" 0808"), F.lit("110")), loose=True)) == ["0808", "110"]
     assert one(spark, a=T.literal_hits(F.array(F.lit("A")), F.array(F.lit("a"), F.lit("b")))) == 1
 
 
