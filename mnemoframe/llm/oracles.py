@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .host_rules import LIMIT, PRIOR_DOCUMENTS
 from .licenses import TEMPLATES, WEAK, flat
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -115,7 +116,62 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM v
 """
 
+def _elkan_sql(k: int = 16, rounds: int = 3) -> str:
+    """Plain assignment to the nearest centroid, round after round, without bounds."""
+    nearest = "SELECT id, vec_id, v, arg_min({{'j': j, 'd': d}}, {{'d': d, 'j': j}}) AS b FROM (SELECT id, vec_id, v, j, CAST(list_sum([power(v[p] - c[p], 2) for p in range(1, 65)]) AS BIGINT) AS d FROM kept, c{i}) GROUP BY ALL"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS ({nearest.format(i=i)})")
+        if i < rounds:
+            steps.append(f"s{i} AS (SELECT j, list(q ORDER BY p) AS c FROM (SELECT b.j AS j, p, CAST(floor(sum(x) / count(*)) AS BIGINT) AS q FROM (SELECT b, unnest(v) AS x, unnest(range(1, 65)) AS p FROM a{i}) GROUP BY ALL) GROUP BY j)")
+            steps.append(f"c{i + 1} AS (SELECT c{i}.j, coalesce(s{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN s{i} USING (j))")
+    return f"""
+WITH kept AS (SELECT row_number() OVER () AS id, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS j, v AS c FROM kept ORDER BY j LIMIT {k}),
+{",\n".join(steps)}
+SELECT vec_id, CAST(b.j AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.j) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.j = b.j
+"""
+
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+x AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM x LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f(a) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT p.a || q.a || r.a || s.a || t.a AS filter_order FROM f p, f q, f r, f s, f t WHERE len(list_distinct([p.a, q.a, r.a, s.a, t.a])) = 5),
+e AS (SELECT part, filter_order, step, filter_order[step] AS a, n, good, toxic, fails, contains(fails, filter_order[step]) AS failed,
+  len([i for i in range(1, step) if contains(fails, filter_order[i])]) > 0 AS gone FROM m, o, range(1, 6) AS s(step)),
+g AS (SELECT part, filter_order, step, a, sum(n) FILTER (WHERE NOT failed AND NOT gone) AS kept, sum(n) FILTER (WHERE failed AND NOT gone) AS removed, sum(n) FILTER (WHERE failed AND gone) AS redundant,
+  sum(n) FILTER (WHERE fails = a) AS unique_fails, sum(good) FILTER (WHERE failed AND NOT gone) AS good_lost, sum(toxic) FILTER (WHERE failed AND NOT gone) AS toxic_lost FROM e GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, a), 0) AS BIGINT) AS shapley FROM g
+"""
+
+_RULES = ("base", "symbols", "lines", "word_length")
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+win AS (SELECT id, s, array_to_string(w[s:s + 2], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS s FROM d)),
+rep AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(s, s + 3)) AS p FROM (SELECT id, s FROM win QUALIFY count(*) OVER (PARTITION BY id, g) > 1)) GROUP BY id),
+l AS (SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ \\t-\\r]') GROUP BY id),
+m AS (SELECT id, doc_id, host, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN rep USING (id) LEFT JOIN l USING (id)),
+r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base, 10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > 3 * n_lines AS lines, word_chars < 2 * n_words OR word_chars > 12 * n_words AS word_length FROM m),
+c AS (SELECT host, rule, count(*) AS n, sum(CAST(failed AS BIGINT)) AS f FROM (SELECT host, unnest(['{"', '".join(_RULES)}']) AS rule, unnest([{", ".join(_RULES)}]) AS failed FROM r WHERE host IS NOT NULL) GROUP BY ALL),
+s AS (SELECT rule, sum(f) / sum(n) AS mean, sum(n) AS n, sum(n) - sum(n * n) / sum(n) AS between_, sum(f * f / n) AS s, count(*) AS hosts FROM c GROUP BY rule),
+e AS (SELECT rule, mean, mean * (1 - mean) AS drawn, between_, s - n * mean * mean - (hosts - 1) * mean * (1 - mean) AS excess FROM s),
+p AS (SELECT rule, mean, least(greatest(CASE WHEN between_ > 0 AND excess > 0 THEN drawn * between_ / excess - 1 ELSE {PRIOR_DOCUMENTS[1]} END, {PRIOR_DOCUMENTS[0]}), {PRIOR_DOCUMENTS[1]}) AS weight FROM e),
+v AS (SELECT host, bool_or(round((f + mean * weight) / (n + weight), 9) > {LIMIT}) AS bad FROM c JOIN p USING (rule) GROUP BY host)
+SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}, base AS base_failed, NOT base AND NOT coalesce(bad, false) AS kept
+FROM r LEFT JOIN v USING (host)
+"""
+
 #: ``QUOTING`` instead of the table.
 QUOTED = OP2.replace("WITH RECURSIVE m AS", f"WITH RECURSIVE talk AS ({QUOTING}),\nm AS").replace("AS id FROM conversations)", "AS id FROM talk)")
 
-ORACLES: dict[str, str] = {"op2_quotation_linking": OP2, "quoted_conversations": QUOTED, "op5_substring_dedup": OP5, "op6_ngram_join": OP6, "op7_decontamination": OP7, "op8_license_scan": OP8, "op10_warc": OP10}
+ORACLES: dict[str, str] = {"op2_quotation_linking": OP2, "quoted_conversations": QUOTED, "op5_substring_dedup": OP5, "op6_ngram_join": OP6, "op7_decontamination": OP7, "op8_license_scan": OP8, "op10_warc": OP10, "op11_elkan": _elkan_sql(), "op12_filter_audit": OP12, "op13_host_rules": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, kmtree, licenses, ppm, quotes, set_join, sst, substring, warc
+from . import byte_bpe, decontaminate, elkan, filter_audit, host_rules, kmtree, licenses, ppm, quotes, set_join, sst, substring, warc
 from .oracles import QUOTING
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -81,6 +81,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the contract; see ``elkan.cluster`` for nulls, repeated ids, short and empty tables."""
+    found = elkan.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """See ``filter_audit.audit`` for nulls, copies, repeated rows and empty tables."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host of a document is its ``source``; see ``host_rules.judge`` for nulls, repeated rows and empty tables."""
+    found = host_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
+    return found.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kmeans_tree": op1_kmeans_tree,
     "op2_quotation_linking": op2_quotation_linking,
@@ -93,4 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
+    "op11_elkan": op11_elkan,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_host_rules": op13_host_rules,
 }
