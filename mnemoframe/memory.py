@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import event_text
-from .operators import consolidation, contexts, entities, joins, mutations, patterns, recall, relations, reports, scans, search, task_recall
+from .operators import consolidation, contexts, entities, joins, mutations, patterns, recall, relations, reports, resolution, scans, search, task_recall
 from .plans.model import SCHEMAS, conform, with_event_defaults
+from .sources.shared import written
 from .sources.tables import Audit, Namespace
 from .streaming.ingest import events_from
 
@@ -40,8 +41,9 @@ class Memory:
 
     # --- writes
 
-    def ingest(self, episodes: DataFrame, extract=None) -> DataFrame:
-        """Episodes (id, content, timestamp) and the events in them; known ones change nothing. Returns the new events."""
+    def ingest(self, episodes: DataFrame, extract=None, now: int = 0) -> DataFrame:
+        """Episodes (id, content, timestamp), the events in them, and the contexts that the events' payloads name;
+        known events change nothing. Returns the new events."""
         found = events_from(episodes, extract)
         new = found.join(self.table("events").select("id"), "id", "left_anti").dropDuplicates(["id"])
         edges = found.select(F.col("id").alias("event_id"), "episode_id").distinct()
@@ -49,7 +51,27 @@ class Memory:
         self.space.append("extracted_from", edges.join(self.table("extracted_from"), ["event_id", "episode_id"], "left_anti"))
         old = self.table("events").select("id")  # bound to the version before
         self._save("events", self.table("events").unionByName(conform(new, "events")))
-        return self.table("events").join(old, "id", "left_anti")
+        new = self.table("events").join(old, "id", "left_anti")
+        self.attach_contexts(resolution.drafts_of(new), now)
+        return new
+
+    def attach_contexts(self, drafts: DataFrame, now: int, scope: tuple[str, ...] = ("subtype",)) -> DataFrame:
+        """Resolves drafts (see ``resolution.resolve``) into contexts and edges; returns the matches."""
+        table, matches = resolution.resolve(drafts, self.table("contexts"), now, scope)
+        matches = written(matches, "context-matches")
+        if not matches.isEmpty():
+            self._save("contexts", table)
+            edges = resolution.edges_of(matches, self.table("contexts"))
+            self.space.write("in_rel", mutations.upsert(self.table("in_rel"), edges, ["event_id", "context_id"], keep=("created_at",)))
+        return matches
+
+    def consolidate_contexts(self, now: int, pool: int = consolidation.POOL, max_pairs: int | None = None) -> DataFrame:
+        """Merges the contexts of the newest ``pool`` active ones that say the same; returns the plan."""
+        recent = self.table("contexts").filter("status = 'active'").orderBy(F.col("last_seen_at").desc_nulls_last(), "id").limit(pool)
+        plan = contexts.disjoint_plan(contexts.merge_candidates(recent), max_pairs)
+        if not plan.isEmpty():
+            self.merge_contexts(plan, now)
+        return plan
 
     def write(self, rows: DataFrame, kind: str = "", links: DataFrame | None = None, now: int = 0) -> str:
         """Creates or replaces events or contexts by id; links (event_id, entity_id) count up their edges."""
@@ -119,13 +141,14 @@ class Memory:
         return done
 
     def consolidate(self, now: int, block=None, dry_run: bool = False, focus: list[str] | None = None, max_pairs: int | None = None) -> DataFrame:
-        """Merges events of the recent pool (or within blocks), ages contexts, archives; returns the counts."""
+        """Merges events and contexts of the recent pools (events also within blocks), ages contexts, archives; returns the counts."""
         events = self.table("events").withColumns({c: F.get_json_object("payload", f"$.{c}") for c in ("session_id", "episode_id")})
         out = consolidation.consolidate(events, self.table("contexts"), now, block, dry_run, focus, max_pairs)
         counts = out["report"].collect()[0]
         if not dry_run:
             if counts["merged"]:
                 self.merge_events(out["plan"], now)
+            self.consolidate_contexts(now, max_pairs=max_pairs)
             self._save("contexts", contexts.decayed(self.table("contexts"), now).drop("changed"))
             self._save("events", consolidation.archived(self.table("events"), now).drop("changed"))
         return self.spark.createDataFrame([counts], out["report"].schema)

@@ -13,11 +13,14 @@ from ..functions.measures import clamp, context_key, cosine, temporal_compatibil
 from ..functions.text import context_description, current_intent, evidence_matches, labelled_card, negation_conflict, normalized, overlap, text, valid_draft
 from ..plans.model import context_subtype
 from ..sources.shared import fresh_dir, written
+from .near import similar
 
 REUSE_LIMIT, REUSE_SCORE, MIN_SUMMARY, MIN_EVIDENCE = 8, 0.72, 0.65, 0.40
 REUSE_WEIGHTS = {"summary": 0.45, "evidence": 0.25, "entity": 0.15, "temporal": 0.10, "subtype": 0.05}
 CONFLICT, REUSE_THRESHOLD = 0.72, 0.50
 REINFORCEMENT, DECAY, STALE = 0.06, 0.04, 2592000
+#: Contexts of one summary that one window orders.
+CROWD = 10_000
 
 
 def card(prefix: str) -> Column:
@@ -25,17 +28,17 @@ def card(prefix: str) -> Column:
     return labelled_card(c("subject"), c("condition"), c("facts"), c("applies_when"), c("summary"), c("description"))
 
 
-def valid_drafts(drafts: DataFrame) -> DataFrame:
+def valid_drafts(drafts: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Drafts that hold up: a good summary, grounded in the record's text, no passing intent; then one per subtype and summary.
 
     Columns used: pos, record_text and a context's text fields. The first by
-    ``pos`` of each key stays.
+    ``pos`` of each key stays, or ``within`` an event or record.
     """
     kept = drafts.filter(valid_draft() & ~current_intent() & evidence_matches(F.when(text("evidence_span") != "", text("evidence_span")).otherwise(text("summary")), "record_text"))
     condition = F.when(text("condition") != "", text("condition")).otherwise(text("summary"))
     kept = kept.withColumns({"subtype": context_subtype("subtype"), "condition": condition, "confidence": clamp(F.coalesce("confidence", F.lit(0.0)))})
     kept = kept.withColumn("description", context_description("condition", "facts", "applies_when", F.when(text("description") != "", text("description")).otherwise(text("evidence_span"))))
-    first = F.row_number().over(Window.partitionBy("subtype", "summary").orderBy("pos"))
+    first = F.row_number().over(Window.partitionBy(*within, "subtype", "summary").orderBy("pos"))
     return kept.withColumn("_r", first).filter("_r = 1").drop("_r")
 
 
@@ -134,12 +137,34 @@ def merge_candidates(contexts: DataFrame, threshold: float = 0.58, blocks: Colum
     """
     c = contexts.filter("status = 'active'").withColumn("_b", F.col(blocks) if isinstance(blocks, str) else blocks)
     side = lambda n: c.select("_b", F.struct(*[F.col(x) for x in contexts.columns]).alias(n))
-    pairs = side("a").join(side("b"), "_b").filter(F.col("a.id") < F.col("b.id"))
+    return _judged(side("a").join(side("b"), "_b").filter(F.col("a.id") < F.col("b.id")), threshold)
+
+
+def _judged(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that do not conflict and are similar enough, the better ranked one canonical."""
     pairs = pairs.filter(conflict_ratio("a", "b") < min(0.95, CONFLICT + 0.20)).withColumn("score", similarity("a", "b")).filter(F.col("score") >= max(REUSE_THRESHOLD, threshold))
     first = rank_key("a") >= rank_key("b")
     return pairs.select(F.when(first, F.col("a.id")).otherwise(F.col("b.id")).alias("canonical_id"), F.when(first, F.col("b.id")).otherwise(F.col("a.id")).alias("merged_id"), F.round("score", 4).alias("score"))
 
 
+def near_merge_candidates(contexts: DataFrame, threshold: float = 0.58, top_k: int = 8) -> DataFrame:
+    """Like ``merge_candidates`` over a whole table, without a block: each active context meets the ``top_k`` of the
+    nearest vectors (see ``near.similar``), and those of one normalised summary meet the next in order of id."""
+    alive = contexts.filter("status = 'active'")
+    gate = max(REUSE_THRESHOLD, threshold)
+    at = F.coalesce("last_seen_at", F.lit(0))
+    # one subtype gives a bonus, so the vectors alone may be that much less alike
+    near = similar(alive.select("id", F.col("embedding").alias("v"), at.alias("at")), gate - 0.05, top_k).select(F.least("query_id", "id").alias("a_id"), F.greatest("query_id", "id").alias("b_id"))
+    said = alive.select("id", normalized("summary").alias("key")).filter("key <> ''")
+    crowds = said.groupBy("key").agg(F.ceil(F.count("*") / CROWD).alias("n")).filter("n > 1")
+    # a crowded summary is cut into parts, so none of its windows is large
+    part = said.join(crowds, "key", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("n", F.lit(1))))
+    same = part.select(F.col("id").alias("a_id"), F.lead("id").over(Window.partitionBy("key", "part").orderBy("id")).alias("b_id")).filter("b_id is not null")
+    ids = near.unionByName(same).distinct()
+    side = lambda n: alive.select(F.col("id").alias(f"{n}_id"), F.struct(*[F.col(x) for x in contexts.columns]).alias(n))
+    return _judged(ids.join(side("a"), "a_id").join(side("b"), "b_id"), threshold)
+
+
 def disjoint_plan(pairs: DataFrame, max_pairs: int | None = None, rounds: int | None = None) -> DataFrame:
     """Greedy matching, best score first: each id in one pair at most.
 
@@ -177,30 +202,6 @@ def longer(a: Column, b: Column) -> Column:
     return F.when(F.length(text(b)) > F.length(text(a)), b).otherwise(a)
 
 
-def with_evidence(contexts: DataFrame, evidence: DataFrame, now: int) -> DataFrame:
-    """Contexts strengthened by evidence (context_id and a draft's fields): longest texts, facts filled in, confidence and support up."""
-    e = evidence.select("context_id", F.struct(*[F.col(x) for x in evidence.columns if x != "context_id"]).alias("e"))
-    both = contexts.join(e, F.col("id") == F.col("context_id"), "left")
-    hit, ec = F.col("e").isNotNull(), lambda n: F.col(f"e.{n}")
-    at = F.greatest(F.lit(now), F.coalesce(ec("valid_from"), F.lit(0)))
-    facts = F.map_zip_with(F.coalesce("facts", F.expr("map()").cast("map<string,string>")), F.coalesce(ec("facts"), F.expr("map()").cast("map<string,string>")), lambda k, x, y: F.coalesce(F.when(x != "", x), y))
-    changes = {
-        "summary": longer(F.col("summary"), ec("summary")),
-        "description": longer(F.col("description"), ec("description")),
-        "condition": longer(F.col("condition"), ec("condition")),
-        "applies_when": longer(F.col("applies_when"), ec("applies_when")),
-        "facts": facts,
-        "support_count": F.col("support_count") + 1,
-        "confidence": F.least(F.lit(1.0), F.col("confidence") * 0.8 + ec("confidence") * 0.2 + REINFORCEMENT * 0.2),
-        "updated_at": at,
-        "last_seen_at": at,
-        "valid_from": F.least(F.coalesce("valid_from", F.lit(now)), F.coalesce(ec("valid_from"), F.lit(now))),
-        "valid_to": F.when(F.coalesce(ec("valid_to"), F.lit(0)) != 0, F.greatest(F.coalesce("valid_to", F.lit(0)), ec("valid_to"))).otherwise(F.col("valid_to")),
-        "status": F.lit("active"),
-    }
-    return both.select(*[F.when(hit, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in contexts.columns])
-
-
 def created(drafts: DataFrame, now: int) -> DataFrame:
     """New contexts of drafts, with repeatable ids."""
     at = F.coalesce(F.when(F.col("valid_from") != 0, F.col("valid_from")), F.lit(now))

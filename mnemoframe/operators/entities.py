@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import cosine
 from ..functions.text import text
+from .near import similar
 
 HIGH, LOW, MARGIN, BUDGET, SNIPPET = 0.82, 0.55, 0.03, 8, 240
 #: Stands for any type; no type is written so.
@@ -33,7 +34,8 @@ def resolve(mentions: DataFrame, entities: DataFrame, arbiter=None, budget: int
     One exact name or alias wins. Else (or among several exact ones) the most
     similar registered entity of a compatible type, if it is high and clear of
     the second; between low and high the arbiter decides (DataFrame of name,
-    id, score -> with decision), at most ``budget`` mentions, by name.
+    id, score -> with decision), at most ``budget`` mentions, by name. Vectors
+    meet by signatures (``near.similar``), not each mention with each entity.
     """
     asked = mentions.withColumn("key", F.lower(F.trim(text("name")))).filter("key <> ''")
     hits = asked.select("key").distinct().join(alias_index(entities).withColumnRenamed("name", "key"), "key")
@@ -48,8 +50,14 @@ def resolve(mentions: DataFrame, entities: DataFrame, arbiter=None, budget: int
     # a mention of a type asks for the type and for the unknown one, a mention without asks for any
     under = known.withColumn("via", F.explode(F.array("etype", F.lit(ANY)))).drop("etype")
     via = F.when(kind == "UNKNOWN", F.array(F.lit(ANY))).otherwise(F.array(kind, F.lit("UNKNOWN")))
-    asking = open_.select("key", "embedding", F.explode(via).alias("via")).join(has, "key", "left")
-    scored = asking.join(under, "via").join(several, ["key", "id"], "left").filter(F.col("some").isNull() | F.col("named")).withColumn("score", cosine("embedding", "description_embedding")).filter("score > 0")
+    least = LOW if arbiter is not None else HIGH - MARGIN  # what is less similar decides nothing
+    asking = open_.join(has, "key", "left").select("key", "embedding", "some", F.explode(via).alias("scope"))
+    free = asking.filter("some is null").select(F.concat_ws("\x01", "scope", "key").alias("id"), F.col("embedding").alias("v"), "scope")
+    near = similar(under.select("id", F.col("description_embedding").alias("v"), F.col("via").alias("scope")), least, 2, free)
+    by_vector = near.select(F.expr("substring(query_id, instr(query_id, '\x01') + 1)").alias("key"), "id", F.col("similarity").alias("score"))
+    # several entities of one name: only these are compared
+    by_name = asking.filter("some").join(several, "key").join(under, ["id"]).filter("scope = via").select("key", "id", cosine("embedding", "description_embedding").alias("score"))
+    scored = by_vector.unionByName(by_name).filter("score > 0").dropDuplicates(["key", "id"])
     line = Window.partitionBy("key").orderBy(F.desc("score"), "id")
     top = scored.withColumns({"r": F.row_number().over(line), "second": F.coalesce(F.lead("score").over(line), F.lit(0.0))}).filter("r = 1")
     clear = (F.col("score") >= HIGH) & (F.col("score") - F.col("second") > MARGIN)

@@ -15,7 +15,7 @@ from ..functions import measures as M
 from ..functions import text as T
 from ..operators import consolidation, contexts, joins, mutations, patterns, recall, relations, reports, scans, search, task_recall
 from ..sources.lines import flatten_json
-from . import lookups
+from . import flows, lookups  # noqa: F401 (flows adds to lookups)
 from .demo import ctes, graph
 
 NOW = 1_760_000_000

@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from mnemoframe.operators import consolidation, contexts, entities, joins, mutations, recall, relations, reports, scans, search, task_recall
+from mnemoframe.operators import consolidation, contexts, entities, joins, mutations, recall, relations, resolution, reports, scans, search, task_recall
 from mnemoframe.plans import model
 
 EVENT = "id string, summary string, action string, causality string, timestamp long, last_active long, created_at long, valid_to long, status string, support_count long, embedding array<double>, payload string, parent_event_id string, thread_id string, session_id string, episode_id string"
@@ -96,7 +96,7 @@ def test_context_ageing_and_evidence(spark):
     assert (got["old"].status, got["old"].valid_to, got["old"].changed) == ("deprecated", 10**7, True)
     assert (got["new"].status, got["new"].changed) == ("active", False) and got["mid"].confidence == pytest.approx(0.86)
     e = spark.createDataFrame([("mid", "a longer summary", "", "", "", {"k": "v"}, 1.0, 5, None)], "context_id string, summary string, description string, condition string, applies_when string, facts map<string,string>, confidence double, valid_from long, valid_to long")
-    up = {r.id: r for r in contexts.with_evidence(c, e, 99).collect()}["mid"]
+    up = {r.id: r for r in resolution.with_evidence(c, e, 99).collect()}["mid"]
     assert (up.summary, up.support_count, up.facts, up.last_seen_at) == ("a longer summary", 2, {"k": "v"}, 99) and up.confidence == pytest.approx(0.9 * 0.8 + 0.2 + 0.012)
 
 
