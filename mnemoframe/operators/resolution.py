@@ -34,6 +34,11 @@ _MATCH = "draft_id string, event_id string, at long, context_id string, how stri
 _MATCH_ARROW = pa.struct([("draft_id", pa.string()), ("event_id", pa.string()), ("at", pa.int64()), ("context_id", pa.string()), ("how", pa.string()), ("score", pa.float64()), ("evidence_span", pa.string())])
 
 
+def _once(value: Column, name: str) -> Column:
+    """Computed once a row: what follows a generator is not folded back into it."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def drafts_of(events: DataFrame, payload: str = "payload") -> DataFrame:
     """Valid drafts (columns of DRAFT) of the ``contexts`` list in the events' payloads.
 
@@ -46,27 +51,27 @@ def drafts_of(events: DataFrame, payload: str = "payload") -> DataFrame:
     def held(c: str) -> Column:
         return F.col(c) if c in events.columns else F.lit(None)
 
-    in_payload = lambda k: text(F.get_json_object(payload, f"$.{k}"))
-    listed = F.get_json_object(payload, "$.contexts")
+    fields = F.from_json(payload, "episode_text string, content string, text string")
     at = F.coalesce(*[F.when(held(c).cast("long") != 0, held(c).cast("long")) for c in ("valid_from", "timestamp", "last_active")], F.lit(0))
-    said = joined(in_payload("episode_text"), in_payload("content"), in_payload("text"), held("summary"), held("action"), held("causality"))
-    record = F.coalesce(*[F.when(F.trim(x) != "", x) for x in (in_payload("episode_text"), text(held("summary")), text(held("action")))], F.lit(""))
-    people = payloads.labels(payloads.participants(payloads.pick(F.col(payload), "actor")))
-    rows = events.select(F.col("id").alias("event_id"), at.alias("at"), said.alias("event_text"), record.alias("record_text"), people.alias("participants"), F.when(F.ltrim(text(listed)).startswith("["), listed).alias("listed"))
-    items = rows.filter("listed is not null").select("*", F.posexplode(F.from_json("listed", "array<string>")).alias("context_index", "item")).filter(F.ltrim(text("item")).startswith("{"))
-    get = lambda k: F.get_json_object("item", f"$.{k}")
-    condition = F.trim(text(F.coalesce(get("condition"), get("summary"))))
-    confidence = F.coalesce(get("confidence").try_cast("double"), F.lit(0.0))
-    facts = F.coalesce(F.from_json(get("facts"), "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
-    drafts = items.select(
-        F.concat_ws("#", "event_id", "context_index").alias("draft_id"), "event_id", "at", "context_index", "event_text", "record_text", "participants",
-        F.coalesce(F.when(text(get("subtype")) != "", get("subtype")), F.lit("situation")).alias("subtype"),
-        F.trim(text(F.coalesce(get("summary"), get("condition")))).alias("summary"), F.trim(text(get("description"))).alias("description"), F.trim(text(get("subject"))).alias("subject"),
-        condition.alias("condition"), facts.alias("facts"), F.trim(text(get("applies_when"))).alias("applies_when"),
-        F.when(confidence == 0, 0.6).otherwise(confidence).alias("confidence"), F.trim(text(get("evidence_span"))).alias("evidence_span"), get("valid_to").try_cast("long").alias("valid_to"),
-    )
-    drafts = drafts.withColumns({"condition": F.when(F.col("condition") != "", F.col("condition")).otherwise(F.col("summary")), "description": context_description("condition", "facts", "applies_when", "description")})
-    drafts = drafts.withColumns({"evidence_span": F.when(F.col("evidence_span") != "", F.col("evidence_span")).otherwise(F.col("summary")), "valid_from": F.col("at"), "pos": F.col("context_index")})
+    people = payloads.labels(payloads.participants(payloads.pick(F.col("payload"), "actor")))
+    rows = events.select(F.col("id").alias("event_id"), at.alias("at"), *[text(held(c)).alias(c) for c in ("summary", "action", "causality")], F.col(payload).alias("payload"), _once(fields, "p"))
+    said = joined("p.episode_text", "p.content", "p.text", "summary", "action", "causality")
+    record = F.coalesce(*[F.when(F.trim(text(x)) != "", F.col(x)) for x in ("p.episode_text", "summary", "action")], F.lit(""))
+    rows = rows.withColumn("listed", F.get_json_object("payload", "$.contexts")).filter(F.ltrim(text("listed")).startswith("["))
+    rows = rows.select("event_id", "at", said.alias("event_text"), record.alias("record_text"), people.alias("participants"), "listed")
+    items = rows.select("*", F.posexplode(F.from_json("listed", "array<string>")).alias("context_index", "item")).filter(F.ltrim(text("item")).startswith("{"))
+    given = items.select("*", _once(F.from_json("item", "subtype string, summary string, condition string, description string, subject string, facts map<string,string>, applies_when string, confidence string, evidence_span string, valid_to string"), "i"))
+    got = lambda *names: F.trim(text(F.coalesce(*[F.col(f"i.{n}") for n in names])))
+    confidence = F.coalesce(F.col("i.confidence").try_cast("double"), F.lit(0.0))
+    first = {
+        "subtype": F.coalesce(F.when(text("i.subtype") != "", F.col("i.subtype")), F.lit("situation")), "summary": got("summary", "condition"), "description": got("description"), "subject": got("subject"),
+        "condition": F.coalesce(F.when(got("condition", "summary") != "", got("condition", "summary")), got("summary", "condition")), "facts": F.coalesce("i.facts", F.expr("cast(map() as map<string,string>)")), "applies_when": got("applies_when"),
+        "confidence": F.when(confidence == 0, 0.6).otherwise(confidence), "evidence_span": F.coalesce(F.when(got("evidence_span") != "", got("evidence_span")), got("summary", "condition")), "valid_to": F.col("i.valid_to").try_cast("long"),
+    }
+    own = ["event_id", "at", "context_index", "event_text", "record_text", "participants"]
+    drafts = given.select(*own, _once(F.named_struct(*[x for n, c in first.items() for x in (F.lit(n), c)]), "d")).select(*own, "d.*")
+    drafts = drafts.select(*[c for c in drafts.columns if c != "description"], _once(context_description("condition", "facts", "applies_when", "description"), "description"))
+    drafts = drafts.withColumns({"draft_id": F.concat_ws("#", "event_id", "context_index"), "valid_from": F.col("at"), "pos": F.col("context_index")})
     good = C.valid_drafts(drafts, ("event_id",))
     refs = C.source_refs("event_payload_context", F.col("evidence_span"), F.lit("event_payload_context"), F.col("event_id"), F.col("at"))
     return as_drafts(good.withColumn("source_refs", refs))
