@@ -13,6 +13,7 @@ from .sources.tables import Audit, Namespace
 from .streaming.ingest import events_from
 
 _KINDS = {"event": "events", "context": "contexts"}
+_KEYS = {"involves": ["event_id", "entity_id"], "extracted_from": ["event_id", "episode_id"], "in_rel": ["event_id", "context_id"], "event_relation": ["from_id", "to_id", "relation_type"]}
 _EDGES = {"event": {"involves": ["event_id"], "extracted_from": ["event_id"], "in_rel": ["event_id"], "event_relation": ["from_id", "to_id"]}, "context": {"in_rel": ["context_id"]}}
 
 
@@ -39,6 +40,18 @@ class Memory:
         if self.audit is not None and "id" in before.columns:
             self.audit.deltas(name, joins.graph_delta(before, self.table(name), ["id"]), name)
 
+    def _change(self, name: str, rows: DataFrame, keys: tuple[str, ...] = ("id",), keep: tuple[str, ...] = ()) -> None:
+        """Writes changed and new rows only; ``keep`` columns stay as they were."""
+        rows = conform(rows, name)
+        old = self.table(name).join(rows.select(*keys).distinct(), list(keys), "left_semi")
+        if keep:
+            was = old.select(*keys, *[F.col(c).alias(f"_{c}") for c in keep])
+            rows = rows.join(was, list(keys), "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in keep else F.col(c) for c in rows.columns])
+        rows = written(rows, "changed-rows")
+        self.space.upsert(name, rows, list(keys))
+        if self.audit is not None and keys == ("id",):
+            self.audit.deltas(name, joins.graph_delta(old, rows.dropDuplicates(["id"]), ["id"]), name)
+
     # --- writes
 
     def ingest(self, episodes: DataFrame, extract=None, now: int = 0) -> DataFrame:
@@ -50,19 +63,17 @@ class Memory:
         self.space.append("episodes", episodes.dropDuplicates(["id"]).join(self.table("episodes").select("id"), "id", "left_anti"))
         self.space.append("extracted_from", edges.join(self.table("extracted_from"), ["event_id", "episode_id"], "left_anti"))
         old = self.table("events").select("id")  # bound to the version before
-        self._save("events", self.table("events").unionByName(conform(new, "events")))
+        self._change("events", new)
         new = self.table("events").join(old, "id", "left_anti")
         self.attach_contexts(resolution.drafts_of(new), now)
         return new
 
     def attach_contexts(self, drafts: DataFrame, now: int, scope: tuple[str, ...] = ("subtype",)) -> DataFrame:
         """Resolves drafts (see ``resolution.resolve``) into contexts and edges; returns the matches."""
-        table, matches = resolution.resolve(drafts, self.table("contexts"), now, scope)
-        matches = written(matches, "context-matches")
+        changed, matches = resolution.resolve(drafts, self.table("contexts"), now, scope, changed_only=True)
         if not matches.isEmpty():
-            self._save("contexts", table)
-            edges = resolution.edges_of(matches, self.table("contexts"))
-            self.space.write("in_rel", mutations.upsert(self.table("in_rel"), edges, ["event_id", "context_id"], keep=("created_at",)))
+            self._change("contexts", changed)
+            self._change("in_rel", resolution.edges_of(matches, self.table("contexts")), ("event_id", "context_id"), keep=("created_at",))
         return matches
 
     def consolidate_contexts(self, now: int, pool: int = consolidation.POOL, max_pairs: int | None = None) -> DataFrame:
@@ -79,7 +90,7 @@ class Memory:
         table = _KINDS[kind]
         new = conform(rows, table)
         new = with_event_defaults(new) if kind == "event" else new
-        self._save(table, mutations.upsert(self.table(table), new, ["id"], keep=("created_at",)))
+        self._change(table, new, keep=("created_at",))
         if links is not None:
             named = links.select(F.col("entity_id").alias("id")).distinct()
             self._save("entities", mutations.insert_missing(self.table("entities"), conform(named.withColumns({"status": F.lit("active"), "registered": F.lit(False), "type": F.lit("UNKNOWN")}), "entities"), ["id"]))
@@ -90,13 +101,17 @@ class Memory:
         """Archives events, deprecates contexts; ``hard`` deletes them with their edges."""
         table = _KINDS[kind]
         if not hard:
-            self._save(table, mutations.marked(self.table(table), ids, "archived" if kind == "event" else "deprecated", now))
+            self._change(table, mutations.marked(self.table(table).filter(F.col("id").isin(ids)), ids, "archived" if kind == "event" else "deprecated", now))
             return
-        gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        nodes, edges = mutations.detach_delete(self.table(table), gone, {n: (self.table(n), ends) for n, ends in _EDGES[kind].items()})
-        for name, rows in edges.items():
-            self.space.write(name, rows)
-        self._save(table, nodes)
+        for name, ends in _EDGES[kind].items():
+            touched = [F.col(end).isin(ids) for end in ends]
+            gone = self.table(name).filter(touched[0] if len(touched) == 1 else touched[0] | touched[1])
+            if not gone.isEmpty():
+                self.space.delete(name, gone, _KEYS[name])
+        held = self.table(table).filter(F.col("id").isin(ids))
+        self.space.delete(table, held, ["id"])
+        if self.audit is not None:
+            self.audit.deltas(table, joins.graph_delta(held, held.limit(0), ["id"]), table)
 
     def register_entities(self, rows: DataFrame, now: int) -> DataFrame:
         """Registers rows; unregistered entities that carry a new alias as their name are merged. Returns outcomes."""

@@ -275,8 +275,8 @@ def _round(drafts: DataFrame, contexts: DataFrame, now: int, scope: tuple[str, .
     return rows.mapInArrow(run, f"c struct<{SCHEMAS['contexts']}>, m struct<{_MATCH}>")
 
 
-def resolve(drafts: DataFrame, contexts: DataFrame, now: int, scope: tuple[str, ...] = ("subtype",), threshold: float = C.REUSE_SCORE, limit: int = C.REUSE_LIMIT, round_drafts: int = ROUND_DRAFTS) -> tuple[DataFrame, DataFrame]:
-    """(contexts, matches): all contexts after the drafts, and for each draft the context it made or reuses.
+def resolve(drafts: DataFrame, contexts: DataFrame, now: int, scope: tuple[str, ...] = ("subtype",), threshold: float = C.REUSE_SCORE, limit: int = C.REUSE_LIMIT, round_drafts: int = ROUND_DRAFTS, changed_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(contexts, matches): all contexts after the drafts (or those made or changed), and for each draft the context it made or reuses.
 
     Drafts (columns of DRAFT) count in order of (at, event_id, context_index).
     A draft reuses the best ranked active context of its scope with its
@@ -297,6 +297,8 @@ def resolve(drafts: DataFrame, contexts: DataFrame, now: int, scope: tuple[str,
     blank = lambda df: df.withColumns({s: text(s) for s in scope})
     drafts, held = written(blank(as_drafts(drafts)), "drafts"), blank(held)
     n = drafts.count()
+    if n == 0:
+        return (held.limit(0) if changed_only else held), spark.createDataFrame([], _MATCH)
     rounds = max(1, -(-n // round_drafts))
     cuts = drafts.agg(F.percentile_approx("at", [i / rounds for i in range(1, rounds)], 10 * rounds).alias("p")).first()["p"] if rounds > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
@@ -316,7 +318,7 @@ def resolve(drafts: DataFrame, contexts: DataFrame, now: int, scope: tuple[str,
     matches = found[0]
     for more in found[1:]:
         matches = matches.unionByName(more)
-    return held, matches
+    return (held.join(matches.select(F.col("context_id").alias("id")).distinct(), "id", "left_semi") if changed_only else held), matches
 
 
 def edges_of(matches: DataFrame, contexts: DataFrame) -> DataFrame:

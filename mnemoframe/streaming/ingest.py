@@ -1,19 +1,17 @@
 """Streams of observations into the memory graph.
 
-One writer per namespace: each micro-batch is written as one version, so a
-replayed batch (same batch id) changes nothing. Everything past the batch is a
-declared query; state is bounded by watermarks.
+Each micro-batch is written as one version, so a replayed batch (same batch id)
+changes nothing. Everything past the batch is a declared query; the state of
+windows, sessions and repeated ids is bounded by their watermarks. Supersession
+over a stream stands in ``chains``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.measures import event_key
 from ..functions.text import text
@@ -73,25 +71,3 @@ def sessions(stream: DataFrame, time_col: str, key: str, gap: str = "30 minutes"
 def unique_episodes(stream: DataFrame, time_col: str, ttl: str = "1 hour") -> DataFrame:
     """Each id once within its time to live."""
     return stream.withWatermark(time_col, ttl).dropDuplicatesWithinWatermark(["id"])
-
-
-CHANGES = "from_id string, to_id string, entity string, attribute string, value_before string, value_after string"
-
-
-def supersede(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State per (entity, attribute): the latest value and its event; a different later value supersedes it."""
-    at, held_id, held = state.get if state.exists else (-1, "", "")
-    rows = pd.concat(list(parts)).sort_values(["timestamp", "id"]).drop_duplicates(["timestamp", "id"])
-    rows = rows[(rows["timestamp"] > at) | ((rows["timestamp"] == at) & (rows["id"] > held_id))]  # the others are older than what is known
-    if len(rows):
-        after, before = (rows[c].fillna("").astype(str).str.strip() for c in ("value_after", "value_before"))
-        old_id, old = rows["id"].shift(fill_value=held_id), after.shift(fill_value=held)
-        changed = (old_id != "") & (after != "") & (after != old) & ~((before != "") & (old != "") & (before != old))
-        out = pd.DataFrame({"from_id": old_id, "to_id": rows["id"], "entity": key[0], "attribute": key[1], "value_before": old.where(old != "", before), "value_after": after})
-        state.update((int(rows["timestamp"].iloc[-1]), rows["id"].iloc[-1], after.iloc[-1]))
-        yield out[changed]
-
-
-def supersession_stream(states: DataFrame) -> DataFrame:
-    """Supersession edges as state changes (id, timestamp, entity, attribute, value_before, value_after) arrive."""
-    return states.groupBy("entity", "attribute").applyInPandasWithState(supersede, CHANGES, "at long, id string, value string", "append", GroupStateTimeout.NoTimeout)

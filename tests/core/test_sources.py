@@ -1,7 +1,7 @@
+from concurrent.futures import ThreadPoolExecutor
 import json
 
 import pytest
-from pyspark.errors import AnalysisException
 
 from mnemoframe.sources import catalog, lines, records, tables
 
@@ -100,7 +100,7 @@ def test_appends_leave_parts_as_they_are(spark, tmp_path, monkeypatch):
     # a writer that took the number meanwhile is not overwritten
     stale = space._newest("users")
     space.append("users", rows("c"))
-    with pytest.raises(AnalysisException):
+    with pytest.raises(tables.Taken):
         space._point("users", stale["number"] + 1, stale["parts"])
     assert sorted(r.id for r in space.read("users").collect()) == ["a", "b", "c"]
     monkeypatch.setattr(tables, "MAX_PARTS", 3)
@@ -109,6 +109,44 @@ def test_appends_leave_parts_as_they_are(spark, tmp_path, monkeypatch):
     assert sorted(r.id for r in space.read("users").collect()) == ["a", "b", "c", "d"] and space.expire("users") == 0
 
 
+def test_writers_side_by_side_lose_nothing(spark, tmp_path):
+    space = tables.Namespace(spark, str(tmp_path), "db3")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: [space.append("users", spark.createDataFrame([(f"{i}-{j}",)], "id string")) for j in range(4)], range(4)))
+    assert space.read("users").count() == 16 and sorted(space._numbers("users")) == list(range(1, 17))
+
+
+def test_changes_write_the_changed_rows_only(spark, tmp_path, monkeypatch):
+    space = tables.Namespace(spark, str(tmp_path), "db4")
+    rows = spark.range(20_000).selectExpr("concat('e', id) as id", "sha2(cast(id as string), 256) as summary", "id as timestamp")
+    space.write("events", rows)
+    size = lambda part: sum(f.stat().st_size for f in (tmp_path / "db4" / "events" / part).glob("*.parquet"))
+    space.upsert("events", spark.createDataFrame([("e1", "one", 1), ("e2", "first", 1), ("e2", "last", 2), ("new", "n", 3)], "id string, summary string, updated_at long"), ["id"])
+    space.append("events", spark.createDataFrame([("late", "l")], "id string, summary string"))
+    space.delete("events", spark.createDataFrame([("e3",), ("late",), ("nowhere",)], "id string"), ["id"])
+    space.upsert("events", spark.createDataFrame([("e3", "again"), (None, "null")], "id string, summary string"), ["id"])
+    space.upsert("events", spark.createDataFrame([(None, "null too")], "id string, summary string"), ["id"])
+    base, *changed = [p["part"] for p in space._newest("events")["parts"]]
+    assert sum(map(size, changed)) < 0.1 * size(base)
+    got = {r.id: r.summary for r in space.read("events").filter("length(summary) < 64").collect()}
+    assert got == {"e1": "one", "e2": "last", "new": "n", "e3": "again", None: "null too"} and space.read("events").count() == 20_002
+    before = sorted(space.read("events").select("id", "summary").collect(), key=str)
+    monkeypatch.setattr(tables, "MAX_CHANGES", 4)
+    space.delete("events", spark.createDataFrame([("e1",)], "id string"), ["id"])
+    assert [p["kind"] for p in space._newest("events")["parts"]] == ["rows", "gone"]
+    assert sorted(space.read("events").select("id", "summary").collect(), key=str) == [r for r in before if r.id != "e1"]
+    # another key than before: what there is becomes one part first
+    space.delete("events", spark.createDataFrame([("last",)], "summary string"), ["summary"])
+    assert space.read("events").filter("id in ('e1', 'e2')").isEmpty()
+
+
+def test_a_part_without_a_pointer_is_not_seen(spark, tmp_path):
+    space = tables.Namespace(spark, str(tmp_path), "db5")
+    space.write("users", spark.createDataFrame([("a",)], "id string"))
+    space._part("users", spark.createDataFrame([("lost",)], "id string"))
+    assert [r.id for r in space.read("users").collect()] == ["a"] and space.versions("users").count() == 1
+
+
 def test_split_by_places(spark):
     rows = spark.range(1000).selectExpr("id", "id % 7 as timestamp").repartition(5)
     base, rest = records.split_episodes(rows, ["timestamp", "id"], ratio=0.3)

@@ -23,24 +23,6 @@ def test_ingest_is_repeatable(spark, tmp_path):
     assert e.status == "active" and e.created_at == 100 and set(model.SCHEMAS) >= {"events"}
 
 
-def test_supersession_over_batches(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
-    row = lambda i, t, v: json.dumps({"id": i, "timestamp": t, "entity": "car", "attribute": "temp", "value_before": None, "value_after": v})
-    stream = spark.readStream.schema("id string, timestamp long, entity string, attribute string, value_before string, value_after string").json(str(source))
-    out = str(tmp_path / "out")
-
-    def run():
-        ingest.supersession_stream(stream).writeStream.format("json").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-
-    (source / "a.json").write_text(row("e1", 1, "20") + "\n" + row("e2", 2, "25"))
-    run()
-    (source / "b.json").write_text(row("late", 0, "1") + "\n" + row("e3", 3, "25") + "\n" + row("e4", 4, "30"))
-    run()
-    got = sorted((r.from_id, r.to_id, r.value_before, r.value_after) for r in spark.read.schema(ingest.CHANGES).json(out).collect())
-    assert got == [("e1", "e2", "20", "25"), ("e3", "e4", "25", "30")]
-
-
 def test_windows(spark, tmp_path):
     rows = spark.createDataFrame([("a", 0), ("a", 600), ("a", 9000), ("b", 10)], "k string, s long").selectExpr("k", "timestamp_seconds(s) as t")
     rows.write.parquet(str(tmp_path / "in"))
