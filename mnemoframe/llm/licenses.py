@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_texts import TEXTS
+from .license_texts import TEXTS, VERSIONS
 from .storage import written
 
 TEMPLATES = TEXTS
@@ -35,6 +35,8 @@ LICENSE_FILES = ["license", "licence", "copying", "copyright", "notice", "unlice
 _TERM = r"[a-z0-9]+(?:\\.[0-9]+)*"
 #: Blocks of two lines or more.
 BLOCKS = r"filter(split(regexp_replace(text, '\\r\\n?', '\n'), '\n(?:[ \\t#*/;%-]*\n)+'), b -> contains(trim('\n' from b), '\n'))"
+#: Terms that may name a version.
+NUMBER = r"^[1-9](\.[0-9])?$"
 SALTS = 16
 #: A term with more than this part (1 in FREQUENT) of the units' rows counts as frequent.
 FREQUENT = 5000
@@ -86,7 +88,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
 
     ``origin`` is "own", "inherited" or null; ``license`` and ``score`` are the
     best unit's (ties to the identifier first in order; those in ``WEAK`` only if
-    nothing else reaches the threshold) or the inherited ones.
+    nothing else reaches the threshold) or the inherited ones. A unit that names
+    versions, but not the licence's own, is not that licence, however similar.
     Licence files are told by name, or by a whole text that reaches the
     threshold; a directory with several takes the best (ties: smaller
     path). A null path is a file in no directory; null and empty texts have no
@@ -112,6 +115,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
         norm = math.sqrt(sum((own.count(t) * idf[t]) ** 2 for t in set(own)))
         weights += [(t, idf[t], name, i, own.count(t) * idf[t] / norm) for t in sorted(set(own))]
     held = F.broadcast(spark.createDataFrame(weights, "term string, idf double, license string, template int, weight double"))  # fixed size
+    versions = F.create_map(*[x for name, vs in VERSIONS.items() for x in (F.lit(name), F.array(*map(F.lit, vs)))])
 
     # units of the files that have a signal; identical rows add up, which no cosine sees
     regex = f"(?<![a-z0-9]){one_of(signals([x for _, x in texts], idf, threshold))}(?![a-z0-9])"
@@ -129,10 +133,11 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     weighed = units.join(F.broadcast(used.filter(many).select("term", "idf")), "term", "left")
     rest = weighed.filter("idf is null").drop("idf").join(used.filter(~many).select("term", "idf"), "term")
     weighed = weighed.filter("idf is not null").unionByName(rest)
-    norms = weighed.groupBy("path", "hash", "pos").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), F.lit(2.0)))).alias("norm"))
+    norms = weighed.groupBy("path", "hash", "pos").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), F.lit(2.0)))).alias("norm"), F.collect_set(F.when(F.col("term").rlike(NUMBER), F.col("term"))).alias("numbers"))  # at most 99 of a unit
     dots = units.join(held, "term").groupBy("path", "hash", "pos", "license", "template").agg(F.sum(F.col("n") * F.col("idf") * F.col("weight")).alias("dot"))
     same = lambda a, b: (F.col(f"{a}.hash") == F.col(f"{b}.hash")) & F.col(f"{a}.path").eqNullSafe(F.col(f"{b}.path"))
-    scored = dots.alias("d").join(norms.alias("n"), same("d", "n") & (F.col("d.pos") == F.col("n.pos"))).select("d.path", "d.hash", "d.pos", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
+    scored = dots.alias("d").join(norms.alias("n"), same("d", "n") & (F.col("d.pos") == F.col("n.pos"))).select("d.path", "d.hash", "d.pos", "license", "numbers", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
+    scored = scored.filter((F.size("numbers") == 0) | F.coalesce(F.arrays_overlap("numbers", F.try_element_at(versions, F.col("license"))), F.lit(True))).drop("numbers")
     # the whole text stands at 0: it tells licence files, and counts for these
     best = scored.groupBy("path", "hash").agg(F.min(F.struct(F.col("license").isin(WEAK).alias("w"), (-F.col("score")).alias("s"), "license")).alias("b"), F.max(F.col("pos") == 0).alias("is_text"))
     best = best.select("path", "hash", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "is_text")
@@ -157,7 +162,9 @@ def text_matches(column: str, regex: str) -> Column:
     return F.lower(F.col(column)).rlike(regex)
 
 
-def paths_of(docs: DataFrame) -> DataFrame:
-    """Documents as files: a source is a repository, a language a directory of it."""
+def paths_of(docs: DataFrame, path_col: str = "path") -> DataFrame:
+    """Documents as files: a source is a repository, a language a directory of it. A column called ``path_col`` would be lost, so it is an error."""
+    if path_col in docs.columns:
+        raise ValueError(f"{path_col} is a column already; name another")
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
-    return docs.withColumn("path", F.concat_ws("/", part("source"), part("lang"), F.concat(part("doc_id"), F.lit(".txt"))))
+    return docs.withColumn(path_col, F.concat_ws("/", part("source"), part("lang"), F.concat(part("doc_id"), F.lit(".txt"))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .host_rules import LIMIT, PRIOR_DOCUMENTS
+from .license_texts import VERSIONS
 from .licenses import TEMPLATES, WEAK, flat
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -83,10 +84,11 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 _TEMPLATES = ", ".join("('{}', {}, '{}')".format(k, i, v.replace("'", "''")) for i, (k, v) in enumerate(flat(TEMPLATES)))
 _TERM = r"'[a-z0-9]+(?:\.[0-9]+)*'"
+_VERSIONS = ", ".join(f"('{name}', {vs})" for name, vs in VERSIONS.items())
 _WEAK = f"license IN ({str(WEAK)[1:-1]})"
 
 OP8 = f"""
-WITH t(license, tid, x) AS (VALUES {_TEMPLATES}),
+WITH t(license, tid, x) AS (VALUES {_TEMPLATES}), vs(license, own) AS (VALUES {_VERSIONS}),
 tb AS (SELECT license, tid, term, count(*) AS n FROM (SELECT license, tid, unnest(regexp_extract_all(lower(x), {_TERM})) AS term FROM t) GROUP BY ALL),
 f AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, coalesce(source, '_') AS a, coalesce(source, '_') || '/' || coalesce(lang, '_') AS b, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || doc_id || '.txt' AS path FROM documents),
 df AS (SELECT term, count(*) AS c FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), {_TERM}))) AS term FROM f) GROUP BY term),
@@ -95,10 +97,10 @@ u AS (SELECT id, 0 AS pos, text AS unit FROM f UNION ALL
       SELECT id, pos, unit FROM (SELECT id, unnest(string_split_regex(text, '\\r\\n?|\\n')) AS unit, generate_subscripts(string_split_regex(text, '\\r\\n?|\\n'), 1) AS pos FROM f) WHERE trim(unit) <> '' UNION ALL
       SELECT id, -pos, unit FROM (SELECT id, unnest(blocks) AS unit, generate_subscripts(blocks, 1) AS pos FROM (SELECT id, string_split_regex(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n(?:[ \\t#*/;%-]*\\n)+') AS blocks FROM f)) WHERE contains(trim(unit, chr(10)), chr(10))),
 ub AS (SELECT id, pos, term, count(*) AS n FROM (SELECT id, pos, unnest(regexp_extract_all(lower(unit), {_TERM})) AS term FROM u) GROUP BY ALL),
-un AS (SELECT id, pos, sqrt(sum(pow(n * w, 2))) AS norm FROM ub JOIN idf USING (term) GROUP BY ALL),
+un AS (SELECT id, pos, sqrt(sum(pow(n * w, 2))) AS norm, list(term) FILTER (WHERE regexp_matches(term, '^[1-9](\\.[0-9])?$')) AS numbers FROM ub JOIN idf USING (term) GROUP BY ALL),
 tn AS (SELECT tid, sqrt(sum(pow(n * w, 2))) AS norm FROM tb JOIN idf USING (term) GROUP BY tid),
 dot AS (SELECT id, pos, license, tid, sum(ub.n * tb.n * w * w) AS d FROM ub JOIN tb USING (term) JOIN idf USING (term) GROUP BY ALL),
-sc AS (SELECT id, pos, license, round(d / un.norm / tn.norm, 9) AS s FROM dot JOIN un USING (id, pos) JOIN tn USING (tid) WHERE round(d / un.norm / tn.norm, 9) >= 0.6),
+sc AS (SELECT id, pos, license, round(d / un.norm / tn.norm, 9) AS s FROM dot JOIN un USING (id, pos) JOIN tn USING (tid) LEFT JOIN vs USING (license) WHERE round(d / un.norm / tn.norm, 9) >= 0.6 AND (numbers IS NULL OR own IS NULL OR list_has_any(numbers, own))),
 best AS (SELECT id, license, s FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_WEAK}, s DESC, license, pos) = 1),
 decl AS (SELECT b AS dir, license, s FROM best JOIN f USING (id) WHERE id IN (SELECT id FROM sc WHERE pos = 0) QUALIFY row_number() OVER (PARTITION BY b ORDER BY {_WEAK}, s DESC, path) = 1)
 SELECT doc_id, path, coalesce(best.license, decl.license) AS license, round(coalesce(best.s, decl.s), 6) AS score,

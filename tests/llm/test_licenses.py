@@ -5,6 +5,8 @@ import textwrap
 from collections import Counter
 from pathlib import Path
 
+import pytest
+
 from mnemoframe.llm import licenses as lic
 
 
@@ -17,13 +19,14 @@ def brute(files, threshold=0.6):
     idf = lambda t: math.log((1 + len(files)) / (1 + df[t])) + 1
     vector = lambda x: {t: n * idf(t) for t, n in Counter(terms(x)).items()}
     norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
-    templates = [(n, vector(x)) for n, x in lic.flat(lic.TEMPLATES)]
+    templates = [(n, t, norm(t)) for n, t in ((n, vector(x)) for n, x in lic.flat(lic.TEMPLATES))]
 
     def scores(x):
         v = vector(x)
-        for n, t in templates:
-            if v:
-                yield n in lic.WEAK, -round(sum(w * t.get(k, 0) for k, w in v.items()) / norm(v) / norm(t), 9), n
+        length, numbers = norm(v), {t for t in v if re.fullmatch(r"[1-9](\.[0-9])?", t)}
+        for n, t, size in templates:
+            if v and (not numbers or n not in lic.VERSIONS or numbers & set(lic.VERSIONS[n])):
+                yield n in lic.WEAK, -round(sum(w * t.get(k, 0) for k, w in v.items()) / length / size, 9), n
 
     own, declared = [], {}
     for p, x in files:
@@ -125,3 +128,24 @@ def test_real_licences_and_headers(spark):
     want |= {p: (None, None) for p, _ in prose}
     got = {r.doc.path: (r.license, r.origin) for r in lic.scan(spark.createDataFrame(files + prose, "path string, text string")).collect()}
     assert {p: got[p] for p in want if got[p] != want[p]} == {}
+
+
+def test_versions_decide(spark):
+    said = {
+        "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."],
+        "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"], "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"], "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991"],
+        "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"], "EPL-2.0": ["Eclipse Public License - v 2.0"], "Zlib": ["Released under the zlib License"], "Artistic-2.0": ["The Artistic License 2.0"],
+        None: ["GNU GENERAL PUBLIC LICENSE\nVersion 1, February 1989", "Mozilla Public License Version 1.1", "Licensed under the Apache License, Version 1.1", "Eclipse Public License - v 1.0", "plain words"],
+    }
+    rows = [(f"{name}/{i}", x) for name, xs in said.items() for i, x in enumerate(xs)] + [(f"other/{i}", f"some common words {i} of the version of the public license software general") for i in range(6)]
+    got = {r.doc.path: r.license for r in lic.scan(spark.createDataFrame(rows, "path string, text string")).collect() if not r.doc.path.startswith("other")}
+    # a directory with a licence text hands it down; here each stands alone
+    assert {p: n for p, n in got.items() if not p.startswith("None")} == {f"{name}/{i}": name for name, xs in said.items() if name for i in range(len(xs))}
+    assert {n for p, n in got.items() if p.startswith("None")} == {None}
+
+
+def test_paths_keep_a_column_of_that_name(spark):
+    docs = spark.createDataFrame([(1, "x", "en", "s", "mine")], "doc_id long, text string, lang string, source string, path string")
+    assert lic.paths_of(docs, "file").first().asDict() == {"doc_id": 1, "text": "x", "lang": "en", "source": "s", "path": "mine", "file": "s/en/1.txt"}
+    with pytest.raises(ValueError):
+        lic.paths_of(docs)
