@@ -1,18 +1,19 @@
 """BM25 search: over documents directly, or over a maintained index.
 
-A query needs only its own terms' document frequencies and the mean length, so
-the direct form reads the texts once, keeps each document's length and counts of
-the query's terms, and scores from these: no shuffle.
+A query needs only its own terms' document frequencies and the mean length. The
+direct form reads the texts once: these are observed while the documents that
+hold a term are written, with their lengths and counts, and the scores follow
+from that: no shuffle, and no row for a document without a hit.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import text, tokens
+from ..functions.text import once, text, tokens
 from ..sources.shared import written
 
 K1, B = 1.5, 0.75
@@ -32,7 +33,7 @@ def _score(tf: Column, length: Column, average: float, idf: float) -> Column:
 
 
 def _times(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term)).cast("double")
+    return (F.size(words) - F.size(F.array_remove(words, term))).cast("double")
 
 
 def _cut(docs: DataFrame, columns: list[Column], text_expr: Column | str, cut) -> DataFrame:
@@ -52,8 +53,10 @@ def bm25(docs: DataFrame, query: str, top_k: int | None = 5, id_col: str = "id",
         return docs.limit(0).select(*schema[:1], F.lit(0.0).alias("score"))
     distinct = sorted(set(terms))
     counts = _cut(docs, schema, text_expr, cut).select(*[c for c in ("id", "recency")[: len(schema)]], F.size("words").alias("length"), F.array(*[_times("words", t) for t in distinct]).alias("tf"))
-    counts = written(counts, "term-counts")
-    stats = counts.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(distinct))]).first()
+    seen = Observation()
+    counts = counts.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(distinct))])
+    counts = written(counts.filter(F.exists("tf", lambda n: n > 0)), "term-counts")
+    stats = seen.get
     score = F.lit(0.0)
     for i, t in enumerate(distinct):
         score = score + terms.count(t) * _score(F.col("tf")[i], F.col("length").cast("double"), stats["avg"], _weight(stats["n"], stats[f"df{i}"]))
@@ -62,28 +65,44 @@ def bm25(docs: DataFrame, query: str, top_k: int | None = 5, id_col: str = "id",
     return (scored if top_k is None else scored.orderBy(*order).limit(top_k)).select("id", "score")
 
 
+def _counted(words: Column) -> Column:
+    """array<struct(term, tf)>: sorted, equal words stand together, so a document's words are counted within its row."""
+    def runs(w: Column) -> Column:
+        new = lambda i: (i == 1) | (F.element_at(w, i) != F.element_at(w, F.greatest(i - 1, F.lit(1))))
+        starts = F.filter(F.sequence(F.lit(1), F.size(w)), new)
+        return once(starts, lambda at: F.transform(at, lambda s, k: F.struct(F.element_at(w, s).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(w) + 1) - s).cast("long").alias("tf"))))
+
+    return F.when(F.size(words) > 0, once(F.sort_array(words), runs)).otherwise(F.expr("cast(array() as array<struct<term:string,tf:bigint>>)"))
+
+
+def _index(whole: DataFrame, lengths: DataFrame | None = None) -> dict[str, DataFrame]:
+    return {"postings": whole.filter("term <> ''").select("id", "term", "tf", "length"), "lengths": whole.filter("term = ''").select("id", "length") if lengths is None else lengths, "whole": whole}
+
+
 def build_index(docs: DataFrame, id_col: str = "id", text_expr: Column | str = "text", cut=tokens) -> dict[str, DataFrame]:
-    """postings(id, term, tf, length) and lengths(id, length)."""
-    words = _cut(docs, [F.col(id_col).alias("id")], text_expr, cut).select("id", F.size("words").alias("length"), "words")
-    postings = words.select("id", "length", F.explode("words").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    return {"postings": postings.select("id", "term", "tf", "length"), "lengths": words.select("id", "length")}
+    """postings(id, term, tf, length), lengths(id, length), and ``whole``: both in one table, in which each document has
+    a row of the empty term besides, so that what is written is cut once and documents without words count."""
+    words = _cut(docs, [F.col(id_col).alias("id")], text_expr, cut)
+    none = F.expr("array(named_struct('term', '', 'tf', 0L))")
+    rows = words.select("id", F.size("words").alias("length"), F.explode(F.concat(none, _counted(F.col("words")))).alias("p"))
+    return _index(rows.select("id", "p.term", "p.tf", "length"), words.select("id", F.size("words").alias("length")))
 
 
 def write_index(index: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The index as tables in the shared folder, postings ranged by term, so a search reads its terms' row groups."""
-    postings = index["postings"].repartitionByRange("term").sortWithinPartitions("term")
-    return {"postings": written(postings, "postings"), "lengths": written(index["lengths"], "lengths")}
+    """The index as one table in the shared folder, ranged by term, so a search reads its terms' row groups."""
+    return _index(written(index["whole"].repartitionByRange("term", "id").sortWithinPartitions("term"), "postings"))
 
 
 def remove_from_index(index: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    return {name: table.join(ids.select("id").distinct(), "id", "left_anti") for name, table in index.items()}
+    gone = ids.select("id").distinct()
+    return _index(*[index[name].join(gone, "id", "left_anti").select(*index[name].columns) for name in ("whole", "lengths")])
 
 
 def add_to_index(index: dict[str, DataFrame], docs: DataFrame, **more) -> dict[str, DataFrame]:
     """Adds documents, replacing those of the same id."""
     new = build_index(docs, **more)
     old = remove_from_index(index, new["lengths"])
-    return {name: old[name].unionByName(new[name]) for name in index}
+    return _index(*[old[name].unionByName(new[name]) for name in ("whole", "lengths")])
 
 
 def index_stats(index: dict[str, DataFrame]) -> DataFrame:

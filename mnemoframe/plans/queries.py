@@ -15,8 +15,9 @@ from ..functions import measures as M
 from ..functions import text as T
 from ..operators import consolidation, contexts, joins, mutations, patterns, recall, relations, reports, scans, search, task_recall
 from ..sources.lines import flatten_json
-from . import flows, lookups  # noqa: F401 (flows adds to lookups)
+from . import flows, lookups, texts  # noqa: F401 (flows and texts add to lookups)
 from .demo import ctes, graph
+from .task_oracle import PATTERN, TASK, TASK_BULLETS
 
 NOW = 1_760_000_000
 SEARCH = "the erblest thon and the"
@@ -237,9 +238,9 @@ def pattern_sections(spark, d):
 
 def task_bullets(spark, d):
     g = graph(spark, d)
-    docs = spark.createDataFrame([("p1", "user_2", "## Clicks\nuser 2 clicks often\n## Other\nnothing", 1, 2)], "id string, entity_id string, content string, created_at long, updated_at long")
+    docs = spark.createDataFrame([("p1", "user_2", PATTERN, 1, 2)], "id string, entity_id string, content string, created_at long, updated_at long")
     memory = task_recall.Graph(g["events"], g["contexts"], g["entities"], docs, g["involves"], g["in_rel"], g["event_relation"])
-    found = task_recall.project(memory, "what did user number 2 click in lot 7, see LOT_7")
+    found = task_recall.project(memory, TASK)
     return task_recall.bullets(task_recall.select(task_recall.fold(task_recall.walk(memory, found))))
 
 
@@ -380,5 +381,6 @@ ORACLES["turn_overlap"] = f"""WITH t AS (SELECT a.conv_id, a.turn, a.text AS p,
   SELECT conv_id, turn, round(CASE WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 WHEN len(x) <= len(y) AND contains(y, x) THEN len(x) / CAST(len(y) AS DOUBLE) WHEN len(x) > len(y) AND contains(x, y) THEN len(y) / CAST(len(x) AS DOUBLE) ELSE {_JACCARD} END, 6) AS overlap,
   round(len(list_intersect(c, d)) / CAST(len(d) AS DOUBLE), 6) AS characters FROM n"""
 ORACLES["pattern_sections"] = """SELECT CAST(doc_id AS VARCHAR) AS entity_id, 'section' AS mode, length('intro' || chr(10) || '## First ' || lang || chr(10) || text || chr(10) || '## Second' || chr(10) || source) AS total_chars, 1 AS n_sections, '## First ' || lang AS heading FROM documents"""
+ORACLES["task_bullets"] = TASK_BULLETS
 QUERIES |= lookups.QUERIES
 ORACLES |= lookups.ORACLES
