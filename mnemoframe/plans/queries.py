@@ -15,7 +15,7 @@ from ..functions import measures as M
 from ..functions import text as T
 from ..operators import consolidation, contexts, joins, mutations, patterns, recall, relations, reports, scans, search, task_recall
 from ..sources.lines import flatten_json
-from . import flows, lookups, texts  # noqa: F401 (flows and texts add to lookups)
+from . import flows, lookups, memories, texts  # noqa: F401 (they add to lookups)
 from .demo import ctes, graph
 from .task_oracle import PATTERN, TASK, TASK_BULLETS
 
