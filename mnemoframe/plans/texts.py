@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..functions import text as T
-from ..operators import consolidation, contexts, joins, mutations, scans
+from ..operators import consolidation, contexts, joins, mutations, reports, scans
 from ..plans.model import context_status, context_subtype, relation_type, with_event_defaults
 from .demo import ctes, graph
 from .lookups import NOW, _query
@@ -187,3 +187,15 @@ def touching_relations(spark, d) -> DataFrame:
     """Relations at either end of a table of events."""
     g = graph(spark, d)
     return joins.touching(g["event_relation"], g["events"].filter("n % 40 = 0"), "from_id", "to_id").select("from_id", "to_id", "relation_type")
+
+
+@_query("""WITH r AS (SELECT source, count(*) AS n, sum(n_chars) AS total FROM documents WHERE n_chars IS NOT NULL GROUP BY source) SELECT source, n, round(total / n, 6) AS latency_avg, q.name, true AS within FROM r, (VALUES ('p50'), ('p95'), ('p99')) q(name)""")
+def sketched_latencies(spark, d) -> DataFrame:
+    """Quantiles from sketches of two runs, merged: whether each one's true rank is within 2 % of what it stands for."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", F.col("n_chars").alias("latency_ms"))
+    runs = reports.latency_sketches(docs.filter("doc_id % 2 = 0"), "a", ["source"]).unionByName(reports.latency_sketches(docs.filter("doc_id % 2 = 1"), "b", ["source"]))
+    found = reports.sketched_latency(reports.merged_sketches(runs, ["source"]))
+    each = found.select("source", "n", F.round("latency_avg", 6).alias("latency_avg"), F.explode(F.create_map(*[x for q in reports.QUANTILES for x in (F.lit(q), F.col(f"latency_{q}"))])).alias("name", "value"))
+    below = docs.join(each, "source").groupBy("source", "name").agg((F.count_if(F.col("latency_ms") < F.col("value")) / F.first("n")).alias("low"), (F.count_if(F.col("latency_ms") <= F.col("value")) / F.first("n")).alias("high"))
+    asked = F.when(F.col("name") == "p50", 0.5).when(F.col("name") == "p95", 0.95).otherwise(0.99)
+    return each.join(below, ["source", "name"]).select("source", "n", "latency_avg", "name", ((F.col("low") - 0.02 <= asked) & (F.col("high") + 0.02 >= asked)).alias("within"))
