@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters stripped from the ends of clauses (fixed value).
+#: Characters stripped from the ends of clauses, fragments, sentences and names.
 CLAUSE_MARKS = " ，,。；;"
 FRAGMENT_MARKS = " ，,。；;:：|"
 SENTENCE_MARKS = " ，,。；;：:"
@@ -20,7 +20,7 @@ NAME_MARKS = " ，,。；;：:\"'()[]{}"
 #: What tells a passing intent, and what tells a lasting trait.
 INTENT_MARKERS = ["想", "希望", "打算", "计划", "准备", "请求", "要求", "需要", "我要", "我想", "帮我", "请", "为了", "目标", "意图", "want", "wants", "hope", "hopes", "plan", "plans", "intend", "intends", "request", "requests", "need", "needs", "goal"]
 STABLE_MARKERS = ["长期", "稳定", "习惯", "偏好", "经常", "通常", "常常", "画像", "身份", "角色", "能力", "关系", "long-term", "stable", "habit", "usually"]
-#: Unanchored on purpose: "no" also counts inside words.
+#: Fixed value. Unanchored on purpose: "no" also counts inside words.
 NEGATION = "不|没|无|非|否|停止|取消|避免|without|not|no|never"
 
 _CJK = r"一-鿿"
@@ -108,7 +108,7 @@ def lexical_score(x: Column | str, query: Column | str, entities: Column | None
 
 
 def normalized(x: Column | str) -> Column:
-    """Lower case without white space and common punctuation."""
+    """Lower case without white space and common punctuation (a fixed value)."""
     return F.regexp_replace(F.lower(F.trim(text(x))), r"[\s，,。；;：:、/\\-]+", "")
 
 
@@ -157,6 +157,7 @@ LITERALS = [
     r"\b[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+\b",
 ]
 QUOTED = "[`\"'“”‘’]([^`\"'“”‘’]{2,120})[`\"'“”‘’]"
+#: Fixed value: a number of two to five digits that is no part of a word or a longer number.
 BARE_NUMBER = r"(?<![\w.])\d{2,5}(?![\w.])"
 
 
@@ -252,7 +253,10 @@ def normalize_key(x: Column | str) -> Column:
     return F.regexp_replace(F.lower(text(x)), r"\s+", "")
 
 
-_DATETIME = r"\b20\d{2}[-/]\d{1,2}[-/]\d{1,2}\s+\d{1,2}:\d{2}(?::\d{2})?\b"
+#: A day of this century by numbers, and a time of day with or without seconds.
+DAY = r"20[0-9]{2}(?:[-/][0-9]{1,2}){2}"
+CLOCK = r"[0-9]{1,2}(?::[0-9]{2}){1,2}"
+_DATETIME = rf"\b{DAY}\s+{CLOCK}\b"
 
 
 def clean_fragment(x: Column | str, limit: int = 80) -> Column:
