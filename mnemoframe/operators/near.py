@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
-RECALL, CHUNK, BLOCK = 0.995, 4000, 256
+RECALL, CHUNK, BLOCK = 0.995, 16_000, 128
 #: Fewest and most planes of a table; flips of the least certain bits; rows that travel once cost as much as so many comparisons.
-PLANES, FLIPS, TRAVEL = (3, 24), (0, 1, 2, 3), 200
+PLANES, FLIPS, TRAVEL = (3, 24), (0, 1), 6000
+#: Crowded signatures that are broadcast (some 30 bytes each); more of them meet by a shuffle.
+BROADCAST_CROWDS = 100_000
 
 
 @lru_cache
 def plan(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int, int]:
-    """(planes, flips, tables) of least work for ``n`` vectors.
+    """(planes, flips, tables) of least work for ``n`` vectors, with so many planes that an even signature is no crowd.
 
     The chance to meet at the threshold is estimated from simulated pairs: the
     margins of a query are normal, a bit of its partner differs if the partner's
@@ -43,6 +45,8 @@ def plan(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int, in
     differs = own * math.sqrt(max(0.0, 1 - threshold**2)) > threshold * margin
     best = None
     for planes in range(PLANES[0], most + 1):
+        if n / 2**planes > CHUNK / 2 and planes < most:
+            continue
         rank = margin[:, :planes].argsort(axis=1).argsort(axis=1)
         for flips in FLIPS:
             met = float((~differs[:, :planes] | (rank < flips)).all(axis=1).mean())
@@ -65,8 +69,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def _signed(rows: DataFrame, planes: int, flips: int, tables: int, dimensions: int) -> DataFrame:
-    """(scope, part, code, cls, before, v): ``part`` is the table, ``code`` the signature; with ``flips`` also the flipped ones."""
+def _signed(rows: DataFrame, planes: int, flips: int, tables: int, dimensions: int, bare: bool = False) -> DataFrame:
+    """(scope, part, code, cls, before, v): ``part`` is the table, ``code`` the signature; with ``flips`` also the flipped
+    ones. ``bare`` gives the first three, to be counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normals, powers = planes_of(planes, tables, dimensions), 1 << np.arange(planes)
@@ -83,9 +88,11 @@ def _signed(rows: DataFrame, planes: int, flips: int, tables: int, dimensions: i
                     for bit in range(flips):
                         if chosen >> bit & 1:
                             mask ^= unsure[:, bit]
-                    yield pa.RecordBatch.from_arrays([batch.column("scope"), pa.array(np.full(len(every), part, np.int32)), pa.array((code ^ mask).astype(np.int64)), batch.column("cls"), batch.column("before"), batch.column("v")], ["scope", "part", "code", "cls", "before", "v"])
+                    own = [batch.column("scope"), pa.array(np.full(len(every), part, np.int32)), pa.array((code ^ mask).astype(np.int64))]
+                    rest = [] if bare else ["cls", "before", "v"]
+                    yield pa.RecordBatch.from_arrays([*own, *[batch.column(c) for c in rest]], ["scope", "part", "code", *rest])
 
-    return rows.select("scope", "cls", "before", "v").mapInArrow(run, "scope string, part int, code long, cls string, before long, v array<float>")
+    return rows.select("scope", "cls", "before", "v").mapInArrow(run, "scope string, part int, code long" + ("" if bare else ", cls string, before long, v array<float>"))
 
 
 _HIT = "scope string, asked string, cls string, similarity double"
@@ -100,14 +107,22 @@ def _compared(k: int, threshold: float):
             names, places, before = asked.column("cls").to_pylist(), rows.column("cls").to_numpy(zero_copy_only=False), rows.column("before").to_numpy()
             for start in range(0, len(q), BLOCK):
                 near = np.round(np.clip(q[start : start + BLOCK] @ v.T, 0, 1), 12)
-                for i, line in enumerate(near):
-                    at = np.flatnonzero(line >= threshold)
-                    if len(at) > k:
-                        at = at[line[at] >= np.partition(line[at], len(at) - k)[len(at) - k]]
-                        at = at[np.lexsort((places[at].astype(str), before[at], -line[at]))[:k]]
-                    found[0] += [names[start + i]] * len(at)
-                    found[1] += places[at].tolist()
-                    found[2] += line[at].tolist()
+                line, at = np.nonzero(near >= threshold)
+                close = near[line, at]
+                # of each query the nearest k: most similar, then latest, then by name
+                many = np.flatnonzero(np.bincount(line, minlength=len(near)) > k)
+                keep = np.ones(len(line), bool)
+                for i in many:
+                    own = np.flatnonzero(line == i)
+                    edge = np.partition(close[own], len(own) - k)[len(own) - k]
+                    keep[own] = close[own] >= edge
+                    own = own[close[own] >= edge]
+                    if len(own) > k:
+                        keep[own] = False
+                        keep[own[np.lexsort((places[at[own]].astype(str), before[at[own]], -close[own]))[:k]]] = True
+                found[0] += [names[start + i] for i in line[keep]]
+                found[1] += places[at[keep]].tolist()
+                found[2] += close[keep].tolist()
         scope = (asked if asked.num_rows else rows).column("scope")[0].as_py() if asked.num_rows or rows.num_rows else None
         return pa.table({"scope": pa.array([scope] * len(found[0]), pa.string()), "asked": pa.array(found[0], pa.string()), "cls": pa.array(found[1], pa.string()), "similarity": pa.array(found[2], pa.float64())})
 
@@ -142,11 +157,13 @@ def similar(rows: DataFrame, threshold: float, k: int, queries: DataFrame | None
     classes = written(members.withColumns({"cls": F.col("members")[0]["id"], "before": F.col("members")[0]["before"]}), "near-classes")
     questions = classes if queries is None else written(asking.groupBy("scope", "v").agg(F.min("id").alias("cls"), F.lit(0).cast("long").alias("before")), "near-questions")
     planes, flips, tables = plan(max(classes.count(), 1), threshold, recall)
-    held = written(_signed(classes, planes, 0, tables, size), "near-rows")
-    asked = written(_signed(questions, planes, flips, tables, size), "near-asked")
     key = ["scope", "part", "code"]
-    crowd = lambda t, name: t.groupBy(*key).agg((F.count("*") / CHUNK).alias(name)).filter(F.col(name) > 1)
-    crowds = crowd(held, "nr").join(crowd(asked, "nq"), key, "full_outer").select(*key, *[F.ceil(F.coalesce(c, F.lit(1))).cast("int").alias(c) for c in ("nr", "nq")])
+    count = lambda t, f, name: _signed(t, planes, f, tables, size, bare=True).groupBy(*key).agg((F.count("*") / CHUNK).alias(name)).filter(F.col(name) > 1)
+    crowds = count(classes, 0, "nr").join(count(questions, flips, "nq"), key, "full_outer").select(*key, *[F.ceil(F.coalesce(c, F.lit(1))).cast("int").alias(c) for c in ("nr", "nq")])
+    crowds = written(crowds, "near-crowds")
+    crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_CROWDS else crowds
+    # signatures are made anew rather than written: they are many, and hold the vectors
+    held, asked = _signed(classes, planes, 0, tables, size), _signed(questions, planes, flips, tables, size)
 
     def dealt(t: DataFrame, own: str, other: str) -> DataFrame:
         t = t.join(crowds, key, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("nr", "nq")})

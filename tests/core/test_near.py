@@ -78,7 +78,7 @@ def test_plans_trade_planes_for_tables():
     small, large = near.plan(1_000, 0.8), near.plan(10**9, 0.8)
     assert large[0] > small[0] and large[2] > small[2] and near.plan(10**6, 0.95)[2] < near.plan(10**6, 0.6)[2]
     planes, flips, tables = large
-    assert tables * 2**flips * 1e9 / 2**planes < 1e-3 * 1e9  # of a thousand rows one is compared
+    assert tables * 2**flips / 2**planes < 0.01  # of a hundred rows one is compared
 
 
 def test_merging_without_a_block(spark):
