@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import clamp
 from ..functions.text import text
 from ..plans.model import MEANING_UPDATE, SHARED_CONTEXT
+from ..sources.shared import written
 
 MAX_LINKS, MIN_CONFIDENCE = 3, 0.75
 SEMANTIC_GATE, AGGREGATE_GATE = 0.82, 0.25
@@ -34,7 +35,7 @@ def state_updates(pairs: DataFrame, states: DataFrame) -> DataFrame:
     s = clean_states(states)
     new = s.select(F.col("id").alias("new_id"), F.col("at").alias("new_at"), "entity", "attribute", F.col("before").alias("new_before"), F.col("after").alias("new_after"))
     old = s.select(F.col("id").alias("old_id"), F.col("at").alias("old_at"), "entity", "attribute", F.col("after").alias("old_after"))
-    met = pairs.select("new_id", "old_id").distinct().join(new, "new_id").join(old, ["old_id", "entity", "attribute"])
+    met = pairs.select("new_id", "old_id").join(new, "new_id").join(old, ["old_id", "entity", "attribute"])
     met = met.filter(F.struct("old_at", "old_id") < F.struct(F.col("new_at").alias("old_at"), F.col("new_id").alias("old_id")))
     met = met.filter((F.col("new_after") != "") & (F.col("new_after") != F.col("old_after")) & ~((F.col("new_before") != "") & (F.col("old_after") != "") & (F.col("new_before") != F.col("old_after"))))
     one = met.groupBy("new_id", "old_id").agg(F.min(F.struct("entity", "attribute", "old_after", "new_before", "new_after")).alias("m"))
@@ -54,10 +55,13 @@ def supersession_chain(states: DataFrame) -> DataFrame:
 
 def explicit_references(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """Of pairs (new_id, old_id): those of which one names the other as its parent."""
-    parent = lambda name: events.select(F.col("id").alias(f"{name}_id"), F.trim(text("parent_event_id")).alias(f"{name}_parent"))
-    both = pairs.select("new_id", "old_id").distinct().join(parent("new"), "new_id").join(parent("old"), "old_id")
-    direction = F.when(F.col("new_parent") == F.col("old_id"), "candidate_to_new").when(F.col("old_parent") == F.col("new_id"), "new_to_candidate")
-    return both.select("new_id", "old_id", F.lit("co_recall").alias("operation"), F.lit(0.9).alias("confidence"), direction.alias("direction"), F.lit("").alias("value_before"), F.lit("").alias("value_after")).filter("direction is not null")
+    named = events.select(F.col("id").alias("child"), F.trim(text("parent_event_id")).alias("parent")).filter("parent <> ''")
+    named = named.join(events.select(F.col("id").alias("parent")), "parent", "left_semi")
+    ends = lambda new, old, direction: named.select(F.col(new).alias("new_id"), F.col(old).alias("old_id"), F.lit(direction).alias("direction"))
+    # of a pair that names each other the new one's parent counts
+    either = ends("child", "parent", "candidate_to_new").unionByName(ends("parent", "child", "new_to_candidate")).groupBy("new_id", "old_id").agg(F.min("direction").alias("direction"))
+    both = pairs.select("new_id", "old_id").join(either, ["new_id", "old_id"]).distinct()
+    return both.select("new_id", "old_id", F.lit("co_recall").alias("operation"), F.lit(0.9).alias("confidence"), "direction", F.lit("").alias("value_before"), F.lit("").alias("value_after"))
 
 
 def priority(channels: Column) -> Column:
@@ -139,7 +143,11 @@ def report(executed: DataFrame) -> DataFrame:
 
 
 def process(candidates: DataFrame, events: DataFrame, states: DataFrame, in_rel: DataFrame, judge=None, max_links: int = MAX_LINKS) -> DataFrame:
-    """Split, judge, execute. ``judge``: DataFrame of routed candidates -> with operation, confidence, direction (default: skip all)."""
+    """Split, judge, execute. ``judge``: DataFrame of routed candidates -> with operation, confidence, direction (default: skip all).
+
+    The candidates are written first: rules, contexts and routes each read them.
+    """
+    candidates = written(candidates, "candidates")
     routed = split_candidates(candidates, events, states, in_rel, max_links)
     fields = ["operation", "confidence", "direction", "value_before", "value_after"]
     ruled = routed.filter("route = 'rule'").select("query_id", "cand_id", *[F.col(f"rule.{f}").alias(f) for f in fields])
