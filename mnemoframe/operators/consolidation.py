@@ -67,8 +67,8 @@ def merge_plan(events: DataFrame, block: Column | None = None, gate: float = GAT
 
     Two aggregated events never merge; one only within its scope. The canonical
     one has more support, then was created later. ``judge`` may filter and
-    rescore the pairs before matching. With ``focus`` only these events look for
-    a partner.
+    rescore the pairs before matching. Equal scores count in order of the ids.
+    With ``focus`` only these events look for a partner.
     """
     pairs = near_pairs(events, block, near, focus=focus, search=search)
     scope = same_scope("a", "b") if {"session_id", "episode_id"} <= set(events.columns) else F.lit(False)
@@ -86,7 +86,7 @@ def merge_plan(events: DataFrame, block: Column | None = None, gate: float = GAT
     ).dropDuplicates(["canonical_id", "merged_id"])
     scored = scored.filter(F.col("score") >= gate)
     scored = judge(scored) if judge is not None else scored
-    return disjoint_plan(scored, max_pairs).join(scored.drop("score"), ["canonical_id", "merged_id"])
+    return disjoint_plan(scored, max_pairs, by_id=True).join(scored.drop("score"), ["canonical_id", "merged_id"])
 
 
 def merged_text(a: Column, b: Column) -> Column:

@@ -165,19 +165,20 @@ def near_merge_candidates(contexts: DataFrame, threshold: float = 0.58, top_k: i
     return _judged(ids.join(side("a"), "a_id").join(side("b"), "b_id"), threshold)
 
 
-def disjoint_plan(pairs: DataFrame, max_pairs: int | None = None, rounds: int | None = None) -> DataFrame:
+def disjoint_plan(pairs: DataFrame, max_pairs: int | None = None, rounds: int | None = None, by_id: bool = False) -> DataFrame:
     """Greedy matching, best score first: each id in one pair at most.
 
     A pair that is the best of both its ids is what greedy takes first, so
     rounds of mutual bests give the greedy result without a serial loop. Equal
     scores are ordered by a hash of the pair, which keeps the rounds few among
     copies; where scores fall along a chain, each round settles one of its pairs.
+    With ``by_id`` they are ordered by canonical and merged id instead.
     It ends when no pair is left; ``rounds`` bounds it, and pairs left then are
     an error.
     """
     spark = pairs.sparkSession
     left = written(pairs.select("canonical_id", "merged_id", "score"), "open-pairs")
-    order = F.struct((-F.col("score")).alias("s"), F.xxhash64("canonical_id", "merged_id").alias("h"), F.col("canonical_id").alias("c"), F.col("merged_id").alias("m"))
+    order = F.struct((-F.col("score")).alias("s"), (F.lit(0).cast("long") if by_id else F.xxhash64("canonical_id", "merged_id")).alias("h"), F.col("canonical_id").alias("c"), F.col("merged_id").alias("m"))
     plan, taken = left.limit(0), []
     while not left.isEmpty():
         if rounds is not None and len(taken) >= rounds:
