@@ -4,7 +4,7 @@ Resolution depends on order: a draft may reuse a context that an earlier draft
 of the same batch made or changed. So drafts are folded in order, scope by
 scope: the rows of a scope (a subtype, or finer) pass through one task in time
 order, scopes side by side. A fold streams; it holds the newest few contexts of
-its scope and those that the drafts touch. A large table of drafts is cut into
+its scope and those that the drafts touch. Scopes of many drafts are cut into
 rounds by time, so that what a round touches stays small, and each round's
 contexts are written before the next.
 """
@@ -25,7 +25,7 @@ from ..sources.shared import written
 from . import contexts as C
 from . import payloads
 
-#: Drafts of a round; a round's touched contexts are in memory, a few kilobytes each.
+#: Drafts of large scopes in a round; a round's touched contexts are in memory, a few kilobytes each.
 ROUND_DRAFTS = 200_000
 ROWS = 1000
 
@@ -131,8 +131,15 @@ def _recent(c: dict) -> tuple:
     return (c["last_seen_at"] is None, -(c["last_seen_at"] or 0), c["id"])
 
 
-def strengthen(c: dict, d: dict, now: int) -> None:
-    """One piece of evidence: longest texts, missing facts and subject, references, support and confidence up."""
+def _reference(r: dict) -> frozenset:
+    return frozenset(r.items())
+
+
+def strengthen(c: dict, d: dict, now: int, seen: set[frozenset]) -> None:
+    """One piece of evidence: longest texts, missing facts and subject, references, support and confidence up.
+
+    ``seen`` belongs to the context: the references it holds, so that a new one is not compared with each.
+    """
     longer = lambda a, b: b if len(b or "") > len(a or "") else a
     c["summary"], c["description"] = longer(c["summary"], d["summary"]), longer(c["description"], d["description"])
     c["condition"], c["applies_when"] = longer(c["condition"], d["condition"]), longer(c["applies_when"], d["applies_when"])
@@ -147,8 +154,13 @@ def strengthen(c: dict, d: dict, now: int) -> None:
     c["valid_from"] = min(c["valid_from"] or at, d["valid_from"] or at)
     if d["valid_to"]:
         c["valid_to"] = max(c["valid_to"] or 0, d["valid_to"])
-    known = c.get("source_refs") or []
-    c["source_refs"] = known + [r for i, r in enumerate(d.get("source_refs") or ()) if r not in known and r not in d["source_refs"][:i]] or c.get("source_refs")
+    if not seen:
+        seen.update(_reference(r) for r in c.get("source_refs") or ())
+    for r in d.get("source_refs") or ():
+        if (key := _reference(r)) not in seen:
+            seen.add(key)
+            c["source_refs"] = c.get("source_refs") or []
+            c["source_refs"].append(r)
     c["confidence"] = min(1.0, (c["confidence"] or 0.0) * 0.8 + (d["confidence"] or 0.0) * 0.2 + C.REINFORCEMENT * 0.2)
     c["status"] = "active"
 
@@ -156,6 +168,8 @@ def strengthen(c: dict, d: dict, now: int) -> None:
 def new_context(d: dict, now: int, key: str) -> dict:
     at = d["valid_from"] or now
     kept = {k: d[k] for k in ("subtype", "summary", "description", "subject", "condition", "applies_when", "confidence", "valid_to", "source_refs")}
+    if kept["source_refs"] is not None:
+        kept["source_refs"] = list(kept["source_refs"])
     return kept | {"id": key, "context_type": "context", "facts": dict(d["facts"] or {}), "support_count": 1, "created_at": at, "updated_at": at, "last_seen_at": at, "valid_from": d["valid_from"], "status": "active", "merged_from": None, "embedding": None}
 
 
@@ -165,6 +179,7 @@ class Scope:
     def __init__(self, now: int, threshold: float, limit: int):
         self.now, self.threshold, self.limit = now, threshold, limit
         self.held: dict[str, dict] = {}
+        self.refs: dict[str, set[frozenset]] = {}
         self.by_key: dict[str, set[str]] = {}
         self.pool: list[dict] = []
         self.touched: set[str] = set()
@@ -202,7 +217,7 @@ class Scope:
             self.hold(c)
         else:
             before = plain.normalized(c["summary"])
-            strengthen(c, d, self.now)
+            strengthen(c, d, self.now, self.refs.setdefault(c["id"], set()))
             if (after := plain.normalized(c["summary"])) != before:
                 self.by_key[before].discard(c["id"])
                 self.by_key.setdefault(after, set()).add(c["id"])
@@ -288,19 +303,20 @@ def resolve(drafts: DataFrame, contexts: DataFrame, now: int, scope: tuple[str,
     ``scope`` names columns that contexts and drafts have, subtype among them;
     a finer one (subtype, subject) lets more tasks work side by side, and then
     only contexts of the same subject are reused. Null scopes are a scope of
-    their own. A table of more than ``round_drafts`` drafts is resolved in
-    rounds by time; drafts of one second share a round.
+    their own. Scopes of more than ``round_drafts`` drafts are resolved in rounds
+    by time, so many that a round holds no more of theirs; others need none, as
+    a task holds a scope at a time. Drafts of one second share a round.
     """
     if "subtype" not in scope:
         raise ValueError("a scope includes the subtype")
     spark, held = drafts.sparkSession, conform(contexts, "contexts")
     blank = lambda df: df.withColumns({s: text(s) for s in scope})
     drafts, held = written(blank(as_drafts(drafts)), "drafts"), blank(held)
-    n = drafts.count()
-    if n == 0:
+    if drafts.isEmpty():
         return (held.limit(0) if changed_only else held), spark.createDataFrame([], _MATCH)
-    rounds = max(1, -(-n // round_drafts))
-    cuts = drafts.agg(F.percentile_approx("at", [i / rounds for i in range(1, rounds)], 10 * rounds).alias("p")).first()["p"] if rounds > 1 else []
+    large = drafts.join(drafts.groupBy(*scope).count().filter(F.col("count") > round_drafts), list(scope), "left_semi")
+    rounds = max(1, -(-large.count() // round_drafts))
+    cuts = large.agg(F.percentile_approx("at", [i / rounds for i in range(1, rounds)], 10 * rounds).alias("p")).first()["p"] if rounds > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
     found = []
     for low, high in zip(edges[:-1], edges[1:], strict=True):
@@ -344,16 +360,16 @@ def with_evidence(contexts: DataFrame, evidence: DataFrame, now: int) -> DataFra
     rows = _dealt(rows, ["key"]).sortWithinPartitions("key", "kind", "d.valid_from", "d.summary", "d.evidence_span")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, kind, done = None, None, []
+        c, kind, done, seen = None, None, [], set()
         flat = lambda rows: pa.RecordBatch.from_arrays(pa.array(rows, kind).flatten(), [f.name for f in kind])
         for batch in batches:
             kind = batch.schema.field("c").type
             for row in batch.to_pylist():
                 if row["kind"] == 0:
                     done += [_entries(c)] if c is not None else []
-                    c = _plain(row["c"])
+                    c, seen = _plain(row["c"]), set()
                 else:
-                    strengthen(c, _plain(row["d"]), now)
+                    strengthen(c, _plain(row["d"]), now, seen)
             if len(done) >= ROWS:
                 yield flat(done)
                 done = []
