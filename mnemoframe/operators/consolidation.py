@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import clamp, dot, merge_reason, merge_similarity, norm
+from ..functions.measures import merge_reason, merge_similarity
 from ..functions.text import text
 from .contexts import disjoint_plan
-from .near import similar
+from .near import nearest, similar
 
 NEAR, TOP_K, GATE, WINDOW, ARCHIVE, POOL = 0.80, 8, 0.78, 172800, 7776000, 300
 
@@ -41,25 +41,16 @@ def near_pairs(events: DataFrame, block: Column | None = None, threshold: float
     """(a, b, similarity, rank): of each event (or those in ``focus``) the ``top_k`` most similar others, not merged or archived, of its block.
 
     ``block`` keys what is compared (session, episode, cluster). With
-    ``search="pairs"`` every pair of a block is, which without a block suits the
-    recent pool only; ``"signatures"`` (see ``near.similar``) suits whole tables.
+    ``search="pairs"`` every pair of a block is (see ``near.nearest``), which without a
+    block suits the recent pool only; ``"signatures"`` (see ``near.similar``) suits whole tables.
     Only ids, vectors and times are paired; the rows join the pairs that stay.
     """
     rows = lambda n: events.select(F.col("id").alias(f"{n}_id"), F.struct(*[F.col(c) for c in events.columns]).alias(n))
     whole = lambda pairs: pairs.join(rows("a"), "a_id").join(rows("b"), "b_id").select("a", "b", "similarity", "rank")
     alive = events.filter(~F.col("status").isin("merged", "archived") & (F.size("embedding") > 0))
-    if search == "signatures":
-        asked = alive.select("id", F.col("embedding").alias("v"), F.coalesce("last_active", "timestamp").alias("at"), *([block.cast("string").alias("scope")] if block is not None else []))
-        return whole(similar(asked, threshold, top_k, asked.filter(F.col("id").isin(focus)) if focus else None).withColumnsRenamed({"query_id": "a_id", "id": "b_id"}))
-    keyed = alive.withColumn("_b", block if block is not None else F.lit(0))
-    side = lambda n: keyed.select("_b", F.col("id").alias(f"{n}_id"), F.col("embedding").alias(f"{n}_v"), norm("embedding").alias(f"{n}_n"), F.coalesce("last_active", "timestamp").alias(f"{n}_at"))
-    asked = side("a").filter(F.col("a_id").isin(focus)) if focus else side("a")
-    length = F.col("a_n") * F.col("b_n")
-    near = F.when(length > 0, clamp(dot("a_v", "b_v") / length)).otherwise(F.lit(0.0))
-    pairs = asked.join(side("b"), "_b").filter("a_id <> b_id").select("a_id", "b_id", "b_at", near.alias("similarity")).filter(F.col("similarity") >= threshold)
-    rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("similarity"), F.desc("b_at"), "b_id"))
-    pairs = pairs.withColumn("rank", rank).filter(F.col("rank") <= top_k)
-    return whole(pairs)
+    asked = alive.select("id", F.col("embedding").alias("v"), F.coalesce("last_active", "timestamp").alias("at"), *([block.cast("string").alias("scope")] if block is not None else [F.lit("").alias("scope")] if search == "pairs" else []))
+    search_in = nearest if search == "pairs" else similar
+    return whole(search_in(asked, threshold, top_k, asked.filter(F.col("id").isin(focus)) if focus else None).withColumnsRenamed({"query_id": "a_id", "id": "b_id"}))
 
 
 def merge_plan(events: DataFrame, block: Column | None = None, gate: float = GATE, near: float = NEAR, same_scope_only: bool = False, max_pairs: int | None = None, judge=None, focus: list[str] | None = None, search: str = "pairs") -> DataFrame:

@@ -181,3 +181,105 @@ def similar(rows: DataFrame, threshold: float, k: int, queries: DataFrame | None
     lists = lists.join(questions.select("scope", F.col("cls").alias("asked"), "v"), ["scope", "asked"])
     each = asking.join(lists, ["scope", "v"]).select(F.col("id").alias("query_id"), F.slice(F.filter("found", lambda x: x["id"] != F.col("id")), 1, k).alias("found"))
     return each.select("query_id", F.posexplode("found").alias("rank", "f")).select("query_id", F.col("f.id").alias("id"), (-F.col("f.less")).alias("similarity"), (F.col("rank") + 1).cast("int").alias("rank"))
+
+
+_EXACT = "scope string, asked long, cls long, similarity double"
+
+
+def _rows_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors in double precision, filled up with zeros to one length; their lengths; their norms."""
+    lists = t.column("v").combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    vectors = np.zeros((len(size), int(size.max(initial=0))))
+    vectors[np.arange(vectors.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return vectors, size, t.column("norm").to_numpy(zero_copy_only=False)
+
+
+def _exact(k: int, threshold: float):
+    """Of each asked class the nearest k: matrix products say which pairs can be among them, these are summed in order."""
+
+    def similarity(q: tuple, v: tuple, line: np.ndarray, at: np.ndarray) -> np.ndarray:
+        n = min(q[0].shape[1], v[0].shape[1])
+        parts = q[0][line, :n] * v[0][at, :n]
+        parts[np.arange(n) >= np.minimum(q[1][line], v[1][at])[:, None]] = 0.0
+        length = q[2][line] * v[2][at]
+        some = ~(length <= 0)
+        # as Spark's least and greatest, to which NaN is the largest number
+        with np.errstate(invalid="ignore"):
+            out = np.fmax(0.0, np.fmin(1.0, parts.cumsum(axis=1)[:, -1] / np.where(some, length, 1.0)))
+        return np.where(some, out, 0.0)
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found: list[list] = [[], [], []]
+        if asked.num_rows and rows.num_rows:
+            rows = rows.sort_by([("before", "ascending"), ("id", "ascending")])  # of equal similarity the first comes first
+            q, v = _rows_of(asked), _rows_of(rows)
+            n = min(q[0].shape[1], v[0].shape[1])
+            odd = lambda norms: ~((norms == 0) | ((norms > 1e-100) & (norms < 1e100)))
+            plain = [(x[2] != 0) & ~odd(x[2]) for x in (q, v)]
+            units = [(np.where(p[:, None], x[0][:, :n], 0.0) / np.where(p, x[2], 1.0)[:, None]).astype(np.float32) for p, x in zip(plain, (q, v))]
+            names, classes, odd_q, odd_v = asked.column("cls").to_numpy(), rows.column("cls").to_numpy(), odd(q[2]), odd(v[2])
+            few, slack = min(k, len(classes)), 4e-7 * (n + 8)
+            for start in range(0, len(names), BLOCK):
+                near = np.clip(units[0][start : start + BLOCK] @ units[1].T, 0, 1)
+                edge = np.partition(np.where(odd_v, -1, near) if odd_v.any() else near, len(classes) - few, axis=1)[:, len(classes) - few]
+                can = near >= np.maximum(edge - 2 * slack, threshold - slack)[:, None]
+                if odd_v.any() or odd_q[start : start + BLOCK].any():
+                    can |= odd_v | odd_q[start : start + BLOCK, None]
+                line, at = np.nonzero(can)
+                close = np.empty(len(line))
+                for first in range(0, len(line), CHUNK):
+                    close[first : first + CHUNK] = similarity(q, v, line[first : first + CHUNK] + start, at[first : first + CHUNK])
+                kept = close >= threshold
+                line, at, close = line[kept], at[kept], close[kept]
+                order = np.lexsort((at, -close, line))
+                line, at, close = line[order], at[order], close[order]
+                best = np.arange(len(line)) - np.searchsorted(line, line) < k
+                for out, values in zip(found, (names[line[best] + start], classes[at[best]], close[best])):
+                    out.append(values)
+        scope = (asked if asked.num_rows else rows).column("scope")[0].as_py() if asked.num_rows or rows.num_rows else None
+        each = [np.concatenate(x) if x else np.empty(0) for x in found]
+        return pa.table({"scope": pa.array([scope] * len(each[0]), pa.string()), "asked": pa.array(each[0], pa.int64()), "cls": pa.array(each[1], pa.int64()), "similarity": pa.array(each[2], pa.float64())})
+
+    return run
+
+
+def nearest(rows: DataFrame, threshold: float, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank): as ``similar``, but every pair of a scope is compared and similarity is not rounded.
+
+    ``rows`` and ``queries`` hold id, v, at (nulls last) and scope (rows of none take
+    no part). Vectors of any length meet over the shorter one; what has no norm is
+    0 to all. Equal vectors are one class here too; a scope is compared in chunks,
+    of which only the nearest few of each class leave a task, so the work is the
+    square of a scope's classes in matrix products, and the rows shuffled are the
+    classes once for each chunk of their scope.
+    """
+    whole = lambda t: t.select(F.col("scope").cast("string").alias("scope"), "id", F.coalesce(-F.col("at").cast("long"), F.lit((1 << 63) - 1)).alias("before"), "v").filter("scope is not null and id is not null and size(v) > 0")
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    alive = whole(rows)
+    asking = alive if queries is None else whole(queries)
+    newest = Window.partitionBy("scope", "v").orderBy("before", "id")
+    few = alive.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= k + 1)
+    members = few.groupBy("scope", "v").agg(F.array_sort(F.collect_list(F.struct("before", "id"))).alias("members"))
+    numbered = lambda t: t.withColumns({"cls": F.monotonically_increasing_id(), "norm": F.coalesce(F.sqrt(square), F.lit(0.0))})
+    classes = written(numbered(members), "nearest-classes")
+    questions = classes if queries is None else written(numbered(asking.select("scope", "v").distinct()), "nearest-questions")
+    count = lambda t, name: t.groupBy("scope").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
+    parts = written(count(classes, "nr").join(count(questions, "nq"), "scope"), "nearest-scopes")
+
+    def dealt(t: DataFrame, own: str, other: str, *more) -> DataFrame:
+        mine = F.pmod(F.xxhash64("cls"), F.col(f"n{own}")).cast("int").alias(own)
+        return t.join(parts, "scope").select(*[F.col(c).alias(c) for c in ("scope", "cls", "v", "norm")], *more, mine, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)).alias(other))
+
+    chunk = ["scope", "q", "r"]
+    first = [F.col("members")[0][c].alias(c) for c in ("before", "id")]
+    hits = dealt(questions, "q", "r").groupBy(*chunk).cogroup(dealt(classes, "r", "q", *first).groupBy(*chunk)).applyInArrow(_exact(k + 1, threshold), _EXACT)
+    # at most (k + 1) squared candidates of a class from each chunk
+    listed = F.transform("members", lambda m: F.struct((-F.col("similarity")).alias("less"), m["before"].alias("before"), m["id"].alias("id")))
+    hits = hits.join(classes.select("cls", "members"), "cls").select("scope", "asked", "similarity", "members")
+    best = Window.partitionBy("asked").orderBy(F.desc("similarity"), F.col("members")[0])
+    top = hits.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1)
+    lists = top.groupBy("asked").agg(F.slice(F.array_sort(F.flatten(F.collect_list(listed))), 1, k + 1).alias("found"))
+    lists = lists.join(questions.select("scope", F.col("cls").alias("asked"), "v"), "asked")
+    each = asking.join(lists, ["scope", "v"]).select(F.col("id").alias("query_id"), F.slice(F.filter("found", lambda x: x["id"] != F.col("id")), 1, k).alias("found"))
+    return each.select("query_id", F.posexplode("found").alias("rank", "f")).select("query_id", F.col("f.id").alias("id"), (-F.col("f.less")).alias("similarity"), (F.col("rank") + 1).cast("int").alias("rank"))
