@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import parse_time, time_range
-from ..functions.text import text
+from ..functions.text import once, text
 
 #: Names under which a payload may hold each field, first found first taken.
 NAMES = {
@@ -30,20 +30,24 @@ _NONE = ["", "[]", "{}", "null"]
 def pick(payload: Column, field: str) -> Column:
     """The first of a field's names that holds something, as text or JSON; null if none."""
     found = [F.get_json_object(payload, f"$.{n}") for n in NAMES[field]]
-    return F.coalesce(*[F.when(~F.trim(text(x)).isin(_NONE), x) for x in found])
+    return F.coalesce(*[once(x, lambda v: F.when(~F.trim(text(v)).isin(_NONE), v)) for x in found])
 
 
 def plain(value: Column) -> Column:
     """Text of a scalar; of a list its items, comma-joined."""
-    items = F.from_json(value, F.lit("array<string>"))
-    listed = F.array_join(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""), ", ")
-    return F.when(F.ltrim(text(value)).startswith("["), F.coalesce(listed, F.lit(""))).otherwise(F.trim(text(value)))
+
+    def one(v: Column) -> Column:
+        items = F.from_json(v, F.lit("array<string>"))
+        listed = F.array_join(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""), ", ")
+        return F.when(F.ltrim(text(v)).startswith("["), F.coalesce(listed, F.lit(""))).otherwise(F.trim(text(v)))
+
+    return once(value, one)
 
 
 def _list(value: Column) -> Column:
     """A JSON list's items, or the value alone."""
-    one = F.when(~F.trim(text(value)).isin(_NONE), F.array(value)).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.when(F.ltrim(text(value)).startswith("["), F.from_json(value, F.lit("array<string>"))).otherwise(one)
+    one = lambda v: F.when(~F.trim(text(v)).isin(_NONE), F.array(v)).otherwise(F.expr("cast(array() as array<string>)"))
+    return once(value, lambda v: F.when(F.ltrim(text(v)).startswith("["), F.from_json(v, F.lit("array<string>"))).otherwise(one(v)))
 
 
 def _is_object(x: Column) -> Column:
@@ -78,8 +82,7 @@ def evidence(value: Column) -> Column:
 
 def happened(value: Column) -> Column:
     """The time range of a moment or of an object with a start."""
-    obj = _is_object(value)
-    return F.when(obj, time_range(pick(value, "start"), pick(value, "end"), pick(value, "label"), pick(value, "bucket"))).otherwise(time_range(value, None, value))
+    return once(value, lambda v: F.when(_is_object(v), time_range(pick(v, "start"), pick(v, "end"), pick(v, "label"), pick(v, "bucket"))).otherwise(time_range(v, None, v)))
 
 
 def rest(payload: Column) -> Column:
@@ -95,8 +98,8 @@ def normalized_payloads(rows: DataFrame, column: str = "payload") -> DataFrame:
     action, else the causality, else the outcome; a missing action is the
     summary, a missing causality the outcome. What is no object gives blanks.
     """
-    inner = F.get_json_object(F.col(column), "$.event")
-    p = F.when(_is_object(inner), inner).otherwise(F.when(_is_object(F.col(column)), F.col(column)).otherwise(F.lit("{}")))
+    own = F.when(_is_object(F.col(column)), F.col(column)).otherwise(F.lit("{}"))
+    p = once(F.get_json_object(F.col(column), "$.event"), lambda inner: F.when(_is_object(inner), inner).otherwise(own))
     out = rows.withColumn("_p", p)
     raw = {k: plain(pick(F.col("_p"), k)) for k in ("summary", "action", "causality", "outcome")}
     out = out.withColumns({f"_{k}": v for k, v in raw.items()})

@@ -28,3 +28,10 @@ def test_items(spark):
     answers = [json.dumps({"events": [{"summary": "a"}, {"x": 1}, {"action": "b"}]}), json.dumps([{"summary": "c"}]), json.dumps({"summary": "d"}), json.dumps({"event": {"cause": "e"}}), "{}"]
     df = spark.createDataFrame([(a,) for a in answers], "payload string")
     assert sorted(json.loads(r.item).get("summary") or "-" for r in payloads.event_items(df).collect()) == ["-", "-", "a", "c", "d"]
+
+
+def test_each_name_is_read_once(spark):
+    rows = spark.range(4).selectExpr("id", "concat('{\"Action\": \"', id, '\", \"participants\": [\"Ann\"]}') as payload")
+    plan = payloads.normalized_payloads(rows).select("summary", "action", "causality", "participants")._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("$.event", "$.Action", "$.event_summary", "$.cause", "$.impact", "$.Actors"):
+        assert plan.count(f"{name})") == 1, name
