@@ -17,6 +17,8 @@ from ..functions.text import once, text, tokens
 from ..sources.shared import written
 
 K1, B = 1.5, 0.75
+#: Parts of a term's postings, so that a frequent one fills no task.
+SPREAD = 32
 
 
 def query_terms(spark: SparkSession, query: str, cut=tokens) -> list[str]:
@@ -89,8 +91,10 @@ def build_index(docs: DataFrame, id_col: str = "id", text_expr: Column | str = "
 
 
 def write_index(index: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The index as one table in the shared folder, ranged by term, so a search reads its terms' row groups."""
-    return _index(written(index["whole"].repartitionByRange("term", "id").sortWithinPartitions("term"), "postings"))
+    """The index as one table in the shared folder, each term in up to ``SPREAD`` files in which it stands together, so
+    a search reads its terms' pages. Dealt by hash: a range would cut all texts once more, to draw its bounds."""
+    dealt = index["whole"].repartition("term", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+    return _index(written(dealt.sortWithinPartitions("term"), "postings"))
 
 
 def remove_from_index(index: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
