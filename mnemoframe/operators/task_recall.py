@@ -24,6 +24,10 @@ def _array(values: list[str]):
     return F.array(*[F.lit(v) for v in values]) if values else F.expr("cast(array() as array<string>)")
 
 
+def _ids(spark, values: list[str], column: str = "id") -> DataFrame:
+    return spark.createDataFrame([(v,) for v in values], f"{column} string")
+
+
 class Graph:
     """The tables a task walks. Missing columns of the text fields count as blank."""
 
@@ -85,20 +89,25 @@ def walk(graph: Graph, found: dict, per_anchor: int = PER_ANCHOR) -> DataFrame:
     """Paths from the anchors: patterns of entities, contexts, events by entity, by text and by context, and relations."""
     spark, literals = graph.spark, _array(found["literals"])
     terms = found["literals"] + found["lexical"]
-    targets = {r["id"]: r["canonical"] for r in canonical_ids(graph.entities).filter(F.col("id").isin(found["entities"])).collect()} if found["entities"] else {}
+    # any number of entities may match, so they are rows to join and no literals of a plan
+    targets = {r["id"]: r["canonical"] for r in canonical_ids(graph.entities).join(_ids(spark, found["entities"]), "id", "left_semi").collect()} if found["entities"] else {}
     entity_ids = list(dict.fromkeys(targets.get(e, e) for e in found["entities"]))
     zero = F.lit(0)
     at = F.coalesce(F.when(F.col("last_active") != 0, F.col("last_active")), F.col("timestamp"), zero)
     known = lambda c: F.coalesce(c, F.lit(1))
 
-    def event_paths(rows: DataFrame, stage: int, length: int, among: list[str], entity_hits=zero) -> DataFrame:
-        rows = rows.withColumn("_matched", matched_terms(event_text(payload="payload"), _array(among), loose=True))
-        matched = F.col("_matched")
-        return rows.select(place(stage, F.col("pos") if "pos" in rows.columns else latest_first("last_active"), "id").alias("seq"), F.lit("event").alias("memory_type"), F.col("id").alias("primary_id"), matched.alias("anchor_terms"), F.lit(length).alias("path_length"), literal_hits(matched, literals).alias("literal_hits"), entity_hits.alias("entity_hits"), known(F.col("support_count")).alias("support_count"), at.alias("last_active"), event_card().alias("folded"), F.lit("event").alias("reason"), ((F.size(matched) > 0) | (entity_hits > 0)).alias("has_value"), F.lit(False).alias("warning"))
+    def event_paths(rows: DataFrame, stage: int, length: int, entity_hits=zero, names: list[str] | None = None) -> DataFrame:
+        rows = rows.withColumn("_matched", matched_terms(event_text(payload="payload"), _array(terms), loose=True))
+        matched = anchors = F.col("_matched")
+        if names:
+            # a name adds no literal hit: one that is a literal matches as the literal does, which is a term
+            rows = rows.crossJoin(F.broadcast(spark.createDataFrame([(names,)], "_names array<string>")))
+            anchors = F.array_distinct(F.concat(matched, matched_terms(event_text(payload="payload"), F.col("_names"), loose=True)))
+        return rows.select(place(stage, F.col("pos") if "pos" in rows.columns else latest_first("last_active"), "id").alias("seq"), F.lit("event").alias("memory_type"), F.col("id").alias("primary_id"), anchors.alias("anchor_terms"), F.lit(length).alias("path_length"), literal_hits(matched, literals).alias("literal_hits"), entity_hits.alias("entity_hits"), known(F.col("support_count")).alias("support_count"), at.alias("last_active"), event_card().alias("folded"), F.lit("event").alias("reason"), ((F.size(matched) > 0) | (entity_hits > 0)).alias("has_value"), F.lit(False).alias("warning"))
 
     held = graph.patterns.filter(F.col("entity_id").isin(entity_ids[:per_anchor]))
     cut = recall_patterns(held, found["task"], "section", 1).join(held.select("entity_id", F.coalesce("updated_at", "created_at", zero).alias("last_active")), "entity_id")
-    order = F.array_position(_array(entity_ids), F.col("entity_id"))
+    order = F.array_position(_array(entity_ids[:per_anchor]), F.col("entity_id"))
     rules = cut.filter(F.trim("content") != "").select(place(0, order, "entity_id").alias("seq"), F.lit("rule").alias("memory_type"), F.lit(None).cast("string").alias("primary_id"), F.array("entity_id").alias("anchor_terms"), F.lit(2).alias("path_length"), zero.alias("literal_hits"), F.lit(1).alias("entity_hits"), F.lit(1).alias("support_count"), "last_active", plain_markdown("content").alias("folded"), F.lit("rule").alias("reason"), F.lit(True).alias("has_value"), F.lit(False).alias("warning"))
 
     own = by_ids(graph.contexts, found["contexts"][:per_anchor], ["active"]).withColumn("_matched", matched_terms(context_text(), _array(terms), loose=True))
@@ -106,11 +115,11 @@ def walk(graph: Graph, found: dict, per_anchor: int = PER_ANCHOR) -> DataFrame:
     telling = (F.size(matched) > 0) | (F.coalesce(F.size("facts"), zero) > 0) | (text("applies_when") != "") | (text("condition") != "")
     contexts = own.select(place(1, F.col("pos"), "id").alias("seq"), F.lit("context").alias("memory_type"), F.col("id").alias("primary_id"), matched.alias("anchor_terms"), F.lit(1).alias("path_length"), literal_hits(matched, literals).alias("literal_hits"), zero.alias("entity_hits"), known(F.col("support_count")).alias("support_count"), F.coalesce("last_seen_at", "updated_at", "created_at", zero).alias("last_active"), context_card().alias("folded"), F.lit("context").alias("reason"), telling.alias("has_value"), F.lit(False).alias("warning"))
 
-    linked = graph.involves.filter(F.col("entity_id").isin(entity_ids)).groupBy(F.col("event_id").alias("id")).agg(F.count_distinct("entity_id").alias("_hits"), F.max(F.col("entity_id").isin(entity_ids[:per_anchor])).alias("_near"))
+    linked = graph.involves.join(F.broadcast(_ids(spark, entity_ids, "entity_id")), "entity_id", "left_semi").groupBy(F.col("event_id").alias("id")).agg(F.count_distinct("entity_id").alias("_hits"), F.max(F.col("entity_id").isin(entity_ids[:per_anchor])).alias("_near"))
     by_entity = graph.events.filter("status = 'active'").join(linked.filter("_near"), "id")
-    paths = [rules, contexts, event_paths(by_entity, 2, 2, terms + entity_ids, F.col("_hits").cast("int"))]
-    paths.append(event_paths(by_ids(graph.events, found["events"][:per_anchor], ["active"]), 3, 1, terms))
-    paths.append(event_paths(events_by_contexts(graph.events, graph.in_rel, found["contexts"][:per_anchor], per_anchor * 2).filter("status = 'active'"), 4, 2, terms))
+    paths = [rules, contexts, event_paths(by_entity, 2, 2, F.col("_hits").cast("int"), entity_ids)]
+    paths.append(event_paths(by_ids(graph.events, found["events"][:per_anchor], ["active"]), 3, 1))
+    paths.append(event_paths(events_by_contexts(graph.events, graph.in_rel, found["contexts"][:per_anchor], per_anchor * 2).filter("status = 'active'"), 4, 2))
     plain = paths[0]
     for p in paths[1:]:
         plain = plain.unionByName(p)
