@@ -150,7 +150,7 @@ class Memory:
         for c in ("parent_event_id", "thread_id", "session_id", "episode_id"):
             events, queries = (df if c in df.columns else df.withColumn(c, F.get_json_object("payload", f"$.{c}")) for df in (events, queries))
         found = recall.recall(queries, events, self.table("involves"), states)
-        done = relations.process(found, events, states, self.table("in_rel"), judge)
+        done = written(relations.process(found, events, states, self.table("in_rel"), judge), "decisions")
         edges = relations.edges_of(done, events, now).withColumn("created_at", F.col("updated_at"))
         self.space.write("event_relation", mutations.upsert_relations(self.table("event_relation"), conform(edges, "event_relation")))
         return done
