@@ -32,7 +32,8 @@ def clean_states(states: DataFrame) -> DataFrame:
 def _facts(**parts: DataFrame) -> DataFrame:
     """(id, lists of the parts): one row an id; each part has (id, x)."""
     rows = [rows.select("id", *[(F.col("x") if n == name else F.lit(None)).alias(n) for n in parts]) for name, rows in parts.items()]
-    return reduce(DataFrame.unionByName, rows).groupBy("id").agg(*[F.collect_list(n).alias(n) for n in parts])
+    # dealt as they are: an id has few rows, lists made of them before would only be larger
+    return reduce(DataFrame.unionByName, rows).repartition("id").groupBy("id").agg(*[F.collect_list(n).alias(n) for n in parts])
 
 
 def _selves(events: DataFrame) -> DataFrame:
@@ -62,10 +63,8 @@ def _bits(values: Column | str, bit) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
 
 
-def _meeting(values: str, bits: str, bit) -> Column:
-    """Of a list the values that may be in that of ``bits``; null if there are none."""
-    met = F.filter(values, lambda x: F.col(bits).bitwiseAND(bit(x)) != 0)
-    return F.when(F.size(met) > 0, met)
+def _shares(a: str, b: str) -> Column:
+    return F.coalesce(F.col(a).bitwiseAND(F.col(b)) != 0, F.lit(False))
 
 
 def _changing() -> Column:
@@ -178,16 +177,18 @@ def _routed(told: DataFrame, alone: Column, events: DataFrame, states: DataFrame
     asked = _with(told, "query_id", facts, new=_parents(), keys=_bits(_changing(), key), until=F.array_max(F.transform(_changing(), lambda n: n["at"])), marks=_bits("contexts", mark))
     marks = F.when(alone == "judge", F.col("marks")) if decided else F.col("marks")
     asked = asked.select(*kept, _names("new", "cand_id").alias("names"), "keys", "until", marks.alias("marks"))
-    there = _with(asked, "cand_id", facts, old=_parents(), inactive=F.exists("selves", lambda x: x["inactive"]), states=F.transform("states", lambda s: F.struct(*[s[c].alias(c) for c in ("at", "entity", "attribute", "after")])), contexts=F.col("contexts"))
-    there = there.withColumn("states", F.filter("states", lambda s: F.struct(s["at"], F.col("cand_id")) < F.struct("until", "query_id")))
-    named = _towards(F.col("names") & F.col("old").isNotNull(), _names("old", "query_id"))
-    back = there.select(*kept, F.coalesce("inactive", F.lit(False)).alias("inactive"), named.alias("towards"), _meeting("states", "keys", key).alias("old_states"), _meeting("contexts", "marks", mark).alias("old_contexts"))
+    there = _with(asked, "cand_id", facts, old=_parents(), inactive=F.exists("selves", lambda x: x["inactive"]), states=F.transform("states", lambda s: F.struct(*[s[c].alias(c) for c in ("at", "entity", "attribute", "after")])), held=_bits("states", key), since=F.array_min(F.transform("states", lambda s: s["at"])), contexts=F.col("contexts"), marked=_bits("contexts", mark))
+    # of each pair numbers are compared, of the few that may meet the lists
+    there = there.withColumns({"meets": _shares("keys", "held") & (F.col("since") <= F.col("until")), "inactive": F.coalesce("inactive", F.lit(False)), "towards": _towards(F.col("names") & F.col("old").isNotNull(), _names("old", "query_id"))})
     if decided:
-        back = back.filter(~F.col("inactive") & ((F.coalesce(alone, F.lit("")) == "judge") | F.col("towards").isNotNull() | F.col("old_states").isNotNull()))
+        there = there.filter(~F.col("inactive") & ((F.coalesce(alone, F.lit("")) == "judge") | F.col("towards").isNotNull() | F.col("meets")))
+    met = F.filter("states", lambda s: (F.struct(s["at"], F.col("cand_id")) < F.struct("until", "query_id")) & (F.col("keys").bitwiseAND(key(s)) != 0))
+    marks = F.filter("contexts", lambda c: F.col("marks").bitwiseAND(mark(c)) != 0)
+    back = there.select(*kept, "inactive", "towards", F.when(F.col("meets"), met).alias("old_states"), F.when(_shares("marks", "marked"), marks).alias("old_contexts"))
     out = _with(back, "query_id", facts, new=_parents(), new_states=_changing(), new_contexts=F.col("contexts"))
     towards = F.when((F.col("towards") == "candidate_to_new") | F.col("new").isNotNull(), F.col("towards"))
     shared = F.coalesce(F.arrays_overlap("new_contexts", "old_contexts"), F.lit(False))
-    out = out.select(*kept, "inactive", towards.alias("towards"), _update("new_states", "old_states").alias("m"), shared.alias("shared"))
+    out = out.select(*kept, "inactive", towards.alias("towards"), F.when(F.size("old_states") > 0, _update("new_states", "old_states")).alias("m"), shared.alias("shared"))
     rule = F.when(F.col("m").isNotNull(), F.struct(F.lit(1).alias("_o"), *_update_fields("m"))).when(F.col("towards").isNotNull(), F.struct(F.lit(2).alias("_o"), *_reference_fields("towards")))
     route = F.when(F.col("inactive"), "inactive").when(F.col("m").isNotNull() | F.col("towards").isNotNull(), "rule").when(F.col("shared"), "shared_context").otherwise(alone)
     out = out.withColumns({"rule": rule, "route": route})
