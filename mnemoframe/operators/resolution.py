@@ -135,7 +135,7 @@ def _reference(r: dict) -> frozenset:
     return frozenset(r.items())
 
 
-def strengthen(c: dict, d: dict, now: int, seen: set[frozenset]) -> None:
+def strengthen(c: dict, d: dict, now: int, seen: set[frozenset] | None = None) -> None:
     """One piece of evidence: longest texts, missing facts and subject, references, support and confidence up.
 
     ``seen`` belongs to the context: the references it holds, so that a new one is not compared with each.
@@ -154,6 +154,7 @@ def strengthen(c: dict, d: dict, now: int, seen: set[frozenset]) -> None:
     c["valid_from"] = min(c["valid_from"] or at, d["valid_from"] or at)
     if d["valid_to"]:
         c["valid_to"] = max(c["valid_to"] or 0, d["valid_to"])
+    seen = set() if seen is None else seen
     if not seen:
         seen.update(_reference(r) for r in c.get("source_refs") or ())
     for r in d.get("source_refs") or ():
